@@ -28,7 +28,7 @@ PATTERNS = {
 BASE = ("email", "ip", "card", "phone")
 #: A quick test that no match can fail.
 _HINT = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
-#: Words that raise or lower the score of a kind when they stand within ``REACH`` characters before the span.
+#: Words that raise or lower the score when they stand within ``REACH`` characters before the span, after the kind's last match.
 RAISE = {
     "iban": r"(?i)\b(?:iban|account|konto|compte|cuenta)\b",
     "ssn": r"(?i)\b(?:ssn|social security)\b",
@@ -38,7 +38,7 @@ RAISE = {
     "email": r"(?i)\b(?:e-?mail|contact)\b",
     "ip": r"(?i)\b(?:ip|address|host|server)\b",
 }
-LOWER = {kind: r"(?i)\b(?:example|sample|isbn|version|sha(?:1|256)?|md5|commit|checksum)\b" for kind in PATTERNS}
+LOWER = r"(?i)\b(?:example|sample|isbn|version|sha(?:1|256)?|md5|commit|checksum)\b"
 REACH, STEP, THRESHOLD = 40, 0.3, 0.6
 BLOCK = 128
 
@@ -76,22 +76,32 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """Confirmed matches of a kind: array of (kind_no, kind, start, end, score)."""
-    pattern, score = PATTERNS[kind]
-    no = list(PATTERNS).index(kind)
+SPAN = "struct<start:int,no:int,end:int,kind:string,value:string,score:double>"
+
+
+def _score(kind: str, before: Column) -> Column:
+    """The score of a confirmed match, moved by the words that stand before it."""
+    move = F.when(before.rlike(RAISE[kind]), STEP).otherwise(0.0) - F.when(before.rlike(LOWER), STEP).otherwise(0.0)
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(PATTERNS[kind][1]) + move)), 2)
+
+
+def _matches(text: Column, kind: str, threshold: float) -> Column:
+    """Spans of a kind in order: confirmed, and of a base kind or with a score of ``threshold``."""
+    pattern, no = PATTERNS[kind][0], list(PATTERNS).index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda z: F.struct(F.length(z["g"]).alias("g"), F.length(z["m"]).alias("n"), z["m"].alias("m")))
-    none = F.array().cast("array<struct<no:int,kind:string,start:int,end:int,value:string,score:double>>")
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), found.alias("m"))
+    parts = F.transform(zipped, lambda z: F.struct(F.length(z["g"]).alias("g"), F.length(z["m"]).alias("n"), z["m"].alias("m"), F.right(z["g"], F.lit(REACH)).alias("b")))
+    none = F.array().cast(f"array<{SPAN}>")
     # Spans are gathered in blocks, so that a text with very many of them isn't copied once per span.
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<no:int,kind:string,start:int,end:int,value:string,score:double>>>").alias("blocks"), none.alias("last"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("blocks"), none.alias("last"))
 
     def step(a: Column, z: Column) -> Column:
         at = a["at"] + z["g"]
         end = at + F.coalesce(z["n"], F.lit(0))
-        one = F.array(F.struct(F.lit(no).alias("no"), F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), z["m"].alias("value"), F.lit(score).alias("score")))
         keep = F.when(z["m"].isNotNull(), confirmed(kind, z["m"])).otherwise(False)
+        if kind not in BASE:
+            keep = keep & (_score(kind, z["b"]) >= threshold)
+        one = F.array(F.struct(at.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), z["m"].alias("value"), _score(kind, z["b"]).alias("score")))
         full = F.size(a["last"]) >= BLOCK
         return F.struct(
             end.alias("at"),
@@ -99,24 +109,13 @@ def _matches(text: Column, kind: str) -> Column:
             F.concat(F.when(full, none).otherwise(a["last"]), F.when(keep, one).otherwise(none)).alias("last"),
         )
 
-    whole = F.aggregate(lengths, begin, step, lambda a: F.flatten(F.concat(a["blocks"], F.array(a["last"]))))
+    whole = F.aggregate(parts, begin, step, lambda a: F.flatten(F.concat(a["blocks"], F.array(a["last"]))))
     possible = F.contains(text, F.lit(_HINT[kind])) if kind in _HINT else F.lit(True)
     return F.when(possible & (F.size(found) > 0), whole).otherwise(none)
 
 
-def _scored(text: Column, s: Column) -> Column:
-    """The span with its score moved by words that stand before it."""
-    before = F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
-    move = F.lit(0.0)
-    for kind in PATTERNS:
-        by = F.when(before.rlike(RAISE[kind]), STEP).otherwise(0.0) - F.when(before.rlike(LOWER[kind]), STEP).otherwise(0.0)
-        move = F.when(s["kind"] == kind, by).otherwise(move)
-    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s["score"] + move)), 2)
-    return F.struct(s["no"].alias("no"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
-
-
 def find_spans(docs: DataFrame, *, text: str = "text", out: str = "pii_spans", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``out``: array of (no, kind, start, end, value, score), by start, then kind in the order of ``PATTERNS``.
+    """``docs`` with ``out``: array of (start, no, end, kind, value, score), by start, then kind in the order of ``PATTERNS``.
 
     Offsets are code points, the end exclusive. Spans of the base kinds stay whatever their score, the others need
     ``threshold``. A null or empty text has no span.
@@ -124,10 +123,9 @@ def find_spans(docs: DataFrame, *, text: str = "text", out: str = "pii_spans", t
     body = free_name(docs, "pii_body")
     names = {kind: free_name(docs, f"pii_{kind}") for kind in PATTERNS}
     found = docs.withColumn(body, F.coalesce(docs[text], F.lit("")))
-    found = found.withColumns({names[k]: _matches(F.col(body), k) for k in PATTERNS})
+    found = found.withColumns({names[k]: _matches(F.col(body), k, threshold) for k in PATTERNS})
     every = F.concat(*(F.col(c) for c in names.values()))
-    scored = F.filter(F.transform(every, lambda s: _scored(F.col(body), s)), lambda s: s["no"].isin(*range(len(BASE))) | (s["score"] >= threshold))
-    ordered = F.array_sort(scored, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["no"] - b["no"]))
+    ordered = F.array_sort(every)
     return found.withColumn(out, ordered).drop(body, *names.values())
 
 

@@ -1,9 +1,6 @@
 import re
 from collections import defaultdict
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
-
 from strandline.llm import mixing, queries
 
 from .odd import no_docs, odd_docs
