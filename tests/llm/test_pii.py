@@ -48,7 +48,7 @@ def test_base_spans_equal_the_plain_patterns(spark):
 
 def test_long_runs_take_linear_time(spark):
     texts = ["a" * 200_000, "1" * 200_000, "1 " * 100_000, "1." * 20_000, "+1" * 100_000, "a@" * 100_000, "+1" + "-" * 200_000]
-    assert run(spark, texts) == [brute(t) if len(set(t)) > 1 else "" for t in texts]
+    assert run(spark, texts) == ["", "", "", ",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(5000)), "", "", ""]
 
 
 def test_added_kinds_need_checksum_or_context(spark):
