@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, sharding
+from . import bpe, mixing, near_dedup, pii, sharding
 from .shelf import table
 
 
@@ -14,6 +14,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,5 +49,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op6_byte_bpe, op9_shard, op10_pii)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_near_duplicates, op6_byte_bpe, op9_shard, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
