@@ -75,13 +75,14 @@ def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANKS) ->
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; it depends on the bytes alone."""
+def hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> np.ndarray | list[np.ndarray]:
+    """A 64-bit hash of each span of bytes; it depends on the bytes alone. One array for each array of ends."""
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODES[data] * _power(_INVERSE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_BASE, n + 1)[ends]
-    return mix(h + (ends - starts).astype(np.uint64))
+    power = _power(_BASE, n + 1)
+    out = [mix((total[end] - total[starts]) * power[end] + (end - starts).astype(np.uint64)) for end in ends]
+    return out[0] if len(out) == 1 else out
 
 
 def row_ids(counts: np.ndarray) -> np.ndarray:

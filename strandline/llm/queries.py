@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dedup, pii, sharding
+from . import bpe, langid, mixing, near_dedup, pii, sharding, toxicity
 from .shelf import table
 
 
@@ -32,6 +32,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
+    return langid.predict(docs, langid.fit(docs), score="score", keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
+    return toxicity.score(docs, model, out="score", keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -49,5 +62,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_near_duplicates, op6_byte_bpe, op9_shard, op10_pii)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_near_duplicates, op6_byte_bpe, op7_language_id, op8_toxicity, op9_shard, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
