@@ -94,3 +94,38 @@ def lower_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     data = LOWER[data]
     starts, ends, counts = spans(data, offsets)
     return data, starts, ends, counts, hashes(data, starts, ends)
+
+
+class Lookup:
+    """Places of 64-bit keys in an array of distinct keys, by a hash table with linear probing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length() + 1)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.concatenate([keys, np.zeros(1, np.uint64)])  # place -1 reads the last
+        todo, at, self.probes = np.arange(len(keys), dtype=np.int32), self._slot(keys), 0
+        while len(todo):
+            self.probes += 1
+            free = self.table[at] < 0
+            self.table[at[free]] = todo[free]
+            late = self.table[at] != todo
+            todo, at = todo[late], (at[late] + 1) & (len(self.table) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for one that isn't there."""
+        at = self._slot(keys)
+        place = self.table[at]
+        out = np.where((place >= 0) & (self.keys[place] == keys), place, -1)
+        open_ = np.flatnonzero((place >= 0) & (out < 0))
+        for _ in range(1, self.probes):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & (len(self.table) - 1)
+            place = self.table[at[open_]]
+            hit = (place >= 0) & (self.keys[place] == keys[open_])
+            out[open_[hit]] = place[hit]
+            open_ = open_[(place >= 0) & ~hit]
+        return out

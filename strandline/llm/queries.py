@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, near_dedup, pii, sharding, toxicity
+from . import bpe, brown, langid, mixing, near_dedup, pii, sharding, toxicity
 from .shelf import table
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -62,5 +66,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_near_duplicates, op6_byte_bpe, op7_language_id, op8_toxicity, op9_shard, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op3_mix_sources, op4_near_duplicates, op6_byte_bpe, op7_language_id, op8_toxicity, op9_shard, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
