@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, langid, mixing, near_dedup, pii, sharding, toxicity
+from . import bpe, brown, langid, mixing, multiprobe, near_dedup, pii, sharding, threshold_topk, toxicity
 from .shelf import table
 
 
@@ -13,6 +13,10 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -22,6 +26,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,5 +74,41 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_lm, op3_mix_sources, op4_near_duplicates, op6_byte_bpe, op7_language_id, op8_toxicity, op9_shard, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_brown_lm, op2_threshold_topk, op3_mix_sources, op4_near_duplicates, op5_multiprobe_ann,
+        op6_byte_bpe, op7_language_id, op8_toxicity, op9_shard, op10_pii,
+    )
+}
+
+_OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_OP3 = f"""
+WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+             (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+w AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+             coalesce(sum(cap) OVER o, 0) AS caps_before, coalesce(sum(weight) OVER o, 0) AS weights_before
+      FROM s WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, cap * (weights - weights_before) <= weight * (total - caps_before) AS capped FROM w),
+f AS (SELECT *, total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0) AS rest,
+             weights - coalesce(sum(CASE WHEN capped THEN weight END) OVER (), 0) AS open_weights FROM c),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * rest)::DOUBLE / open_weights::DOUBLE END AS target FROM f),
+m AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate,
+             ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM m)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_threshold_topk": _OP2, "op3_mix_sources": _OP3}
