@@ -67,4 +67,4 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
     """Seconds between two timestamps to two decimals; 0 if the end is missing."""
-    return F.coalesce(round2((F.unix_micros(end) - F.unix_micros(start)) / 1_000_000), F.lit(0.0))
+    return F.coalesce(round2((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000), F.lit(0.0))
