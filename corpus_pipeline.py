@@ -42,7 +42,7 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document; ``exact`` says whether they decode to its bytes."""
     how = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    done = bpe.decode(bpe.encode(docs, **how), **how)
+    done = bpe.encode(docs, decoded="decoded", **how)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return done.select("doc_id", "lang", "source", "n_chars", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), exact.alias("exact"))
 

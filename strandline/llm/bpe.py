@@ -20,10 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shelf import lean, text_batches
+
 #: Pieces of more bytes than this merge by a queue of pairs instead (the matrix needs length ** 2 steps).
 LONG_PIECE = 1024
 #: Pieces that a worker remembers at most; the memo is emptied beyond that.
-MEMO = 400_000
+MEMO = 150_000
+#: Characters of the texts that are encoded at once.
+PART = 500_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -249,31 +253,42 @@ def _parts(texts: pa.Array, most: int) -> Iterator[list[str]]:
         yield part
 
 
-def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``ids``, the token ids of the whole text.
+def _binaries(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    raw, offsets = v.decode(ids, counts)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``ids``, the token ids of the whole text, and ``decoded``, the bytes that these ids decode to.
 
     A null text is encoded as an empty one: no ids. Repeated rows are encoded alike. ``path`` is read by the driver;
-    its bytes (half a MB) travel with the job. A column of the name ``ids`` is replaced.
+    its bytes (half a MB) travel with the job. Columns of the names ``ids`` and ``decoded`` are replaced. ``decoded`` takes
+    no second worker: ids are decoded where they are made.
     """
     with open(path, "rb") as f:
         data = f.read()
-    kept = [c for c in (docs.columns if keep is None else keep) if c != ids]
+    text_batches(docs.sparkSession)
+    made = [ids] if decoded is None else [ids, decoded]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     source = docs.select(*dict.fromkeys([*kept, text]))
-    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    types = [T.ArrayType(T.IntegerType(), False), T.BinaryType()]
+    schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(*x) for x in zip(made, types))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ready(data, pattern)[1]
+        v, encoder = _ready(data, pattern)
         for batch in batches:
             at = 0
             texts = batch.column(batch.schema.get_field_index(text))
-            for part in _parts(texts, 2_000_000):
+            for part in _parts(texts, PART):
                 flat, counts = encoder.encode(part)
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
+                columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))]
+                if decoded is not None:
+                    columns.append(_binaries(v, flat, counts))
                 rest = batch.slice(at, len(part))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([*(rest.column(rest.schema.get_field_index(c)) for c in kept), column], names=[*kept, ids])
+                yield pa.RecordBatch.from_arrays([*(rest.column(rest.schema.get_field_index(c)) for c in kept), *columns], names=[*kept, *made])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decode(docs: DataFrame, *, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -289,9 +304,8 @@ def decode(docs: DataFrame, *, path: str, pattern: str, ids: str = "token_ids",
             for at in range(0, batch.num_rows, 256):
                 rest = batch.slice(at, 256)
                 lists = rest.column(rest.schema.get_field_index(ids))
-                counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
-                raw, offsets = v.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+                counts = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+                column = _binaries(v, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
                 yield pa.RecordBatch.from_arrays([*(rest.column(rest.schema.get_field_index(c)) for c in names), column], names=[*names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

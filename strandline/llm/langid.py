@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .bytewords import LOWER, row_ids, slices
 from .convnet import TextConv, softmax
+from .shelf import lean, text_batches
 from .toxicity import remainder
 
 WIDTHS = (2, 3, 4)
@@ -93,6 +94,7 @@ class Model:
 
 def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", how: Fit = Fit()) -> Model:
     """Learn from rows with a language whose id has not the remainder 1."""
+    text_batches(docs.sparkSession)
     given = docs.select(docs[key].alias("id"), docs[lang].cast("string").alias("lang"), docs[text].alias("body")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.col("body") != "") & (remainder(F.col("id"), 3) != 1))
     names = given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str =
 
     schema = T.StructType([T.StructField("id", given.schema["id"].dataType), T.StructField("lang", T.StringType()), T.StructField("window", T.BinaryType())])
     most = how.documents * how.windows
-    got = found.mapInArrow(run, schema).limit(2 * most * how.languages).toArrow()
+    got = found.mapInArrow(lean(run), schema).limit(2 * most * how.languages).toArrow()
     rows = sorted(zip(got.column("lang").to_pylist(), got.column("window").to_pylist(), map(str, got.column("id").to_pylist())))
     languages = sorted({x for x, _, _ in rows})
     if len(languages) < 2:
@@ -142,6 +144,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", out: str = "la
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if no language was learned.
     """
+    text_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (out, score)]
     flag = "_has_letter"
     while flag in docs.columns:
@@ -163,4 +166,4 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", out: str = "la
             b, s = np.where(letters, b, -1), np.where(letters & (b >= 0), s, 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(index(c)) for c in kept), pa.array(names[b], pa.string()), pa.array(s, pa.float64())], names=[*kept, out, score])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

@@ -34,8 +34,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     how = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    ids = bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], **how)
-    done = bpe.decode(ids, **how)
+    done = bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded", keep=["doc_id"], **how)
     return done.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

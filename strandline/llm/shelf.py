@@ -6,9 +6,12 @@ the cluster shares (``spark.checkpoint.dir``), never by a local checkpoint.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,3 +57,28 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole documents go to Python in batches of ``rows``, not of Spark's 10,000, unless the session has a setting of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, rows)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory back to the system after a task: Python workers stay for later tasks and stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped

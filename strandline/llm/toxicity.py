@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .bytewords import LOWER, hashes, slices, spans
 from .convnet import TextConv, softmax
+from .shelf import lean, text_batches
 
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -35,8 +36,8 @@ class Fit:
     lowest; one of ``hold`` calibrates the thresholds
     and picks the best of ``tries`` nets. An embedding row is kept if at least ``seen`` learned texts use it."""
 
-    documents: int = 10_000
-    words: int = 1_500
+    documents: int = 8_000
+    words: int = 1_000
     hold: int = 5
     seen: int = 3
     bits: int = 17
@@ -116,14 +117,14 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(rows: list[tuple[np.ndarray, int, str | None]], how: Fit) -> Model:
-    """``rows``: (embedding rows of the words, label, language or null) in a fixed order."""
+    """``rows``: (embedding rows of the words, label, language or null) in a fixed order; rare words are overwritten in them."""
     labels = np.array([y for _, y, _ in rows])
     prior = float(labels.mean()) if len(rows) else 0.0
     names = sorted({x for _, _, x in rows if x is not None})
     if len(set(labels.tolist())) < 2:
         return Model(None, how.bits, np.array([THRESHOLD]), min(prior, 1.0))
     number = {x: i for i, x in enumerate(names)}
-    sample = [(w.copy(), [int(y), number.get(x, -1)]) for w, y, x in rows]
+    sample = [(w, [int(y), number.get(x, -1)]) for w, y, x in rows]
     seen = [np.zeros((1 << how.bits) + 1, np.int32) for _ in range(TABLES)]
     for ids, _ in sample:
         for t in range(TABLES):
@@ -163,6 +164,7 @@ def calibrated(model: Model, held: list[tuple[np.ndarray, int, str | None]]) ->
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", lang: str = "lang", how: Fit = Fit()) -> Model:
     """Learn from labelled rows whose id has not the remainder 1."""
+    text_batches(docs.sparkSession)
     order = F.xxhash64(F.col("id"))
     chosen = labels.select(labels[key].alias("id"), labels[label].alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & (remainder(F.col("id"), 3) != 1))
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(order, "id").limit(how.documents)
@@ -182,16 +184,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     types = {f.name: f.dataType for f in found.schema.fields}
     schema = T.StructType([*(T.StructField(c, types[c]) for c in ("id", "y", "lang")), T.StructField("words", T.ArrayType(T.IntegerType()))])
     # Ids may repeat: at most twice the sample comes to the driver.
-    got = found.mapInArrow(run, schema).limit(2 * how.documents).toArrow()
+    got = found.mapInArrow(lean(run), schema).limit(2 * how.documents).toArrow()
     words = got.column("words").combine_chunks()
-    flat, ends = words.flatten().to_numpy().reshape(-1, TABLES), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False) // TABLES)])
+    flat, ends = words.flatten().to_numpy().reshape(-1, TABLES).copy(), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False) // TABLES)])
     rows = [(flat[ends[i] : ends[i + 1]], int(y), x) for i, (y, x) in enumerate(zip(got.column("y").to_pylist(), got.column("lang").to_pylist()))]
     mark = [(str(k), len(r[0]), int(r[0].sum()), r[1]) for k, r in zip(got.column("id").to_pylist(), rows)]
-    return learn([rows[i] for i in sorted(range(len(rows)), key=mark.__getitem__)], how)
+    rows = [rows[i] for i in sorted(range(len(rows)), key=mark.__getitem__)]
+    del got, words
+    return learn(rows, how)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``out``, the score of the whole text; a null text is scored as an empty one."""
+    text_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
     source = docs.select(*dict.fromkeys([*kept, text]))
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(out, T.DoubleType())])
@@ -203,4 +208,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "toxi
             column = pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(index(c)) for c in kept), column], names=[*kept, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

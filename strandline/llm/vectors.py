@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shelf import Shelf
+from .shelf import Shelf, lean
 
 #: Rows of a block and queries of a chunk.
 BLOCK = 8192
@@ -126,4 +126,4 @@ def _search(indexed: DataFrame, q_ids: np.ndarray, q_vecs: list[np.ndarray], k:
         if vecs:
             yield from one(vecs, ids)
 
-    return indexed.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    return indexed.mapInArrow(lean(run), f"query_id long, vec_id long, score {score_type}")

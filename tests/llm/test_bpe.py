@@ -56,4 +56,6 @@ def test_round_trip_and_odd_rows(spark):
     for r in rows:
         assert list(r.token_ids) == BRUTE.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
+    both = bpe.encode(docs, path=PATH, pattern=P.PATTERN, decoded="score").collect()
+    assert sorted((r.text or "").encode() for r in both) == sorted(bytes(r.score) for r in both)
     assert bpe.encode(no_docs(spark), path=PATH, pattern=P.PATTERN).count() == 0
