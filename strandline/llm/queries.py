@@ -110,4 +110,62 @@ n AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 EN
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM n
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_threshold_topk": _OP2, "op3_mix_sources": _OP3}
+#: Links by counting shared shingles of all documents; components by reachability.
+_OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, b.y FROM reach JOIN both_ways b ON reach.y = b.x)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, r.c AS component_id, n.doc_id = r.c AS kept
+FROM n JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON n.doc_id = r.x
+"""
+
+
+def _op10() -> str:
+    """Spans from matches and the gaps between them; base kinds by the plain patterns of the contract."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "secret": r"\b[0-9a-f]{32,64}\b",
+    }
+    digits, bare = "regexp_replace(m, '[^0-9]', '', 'g')", "replace(m, ' ', '')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({digits})[i]::INT WHEN reverse({digits})[i]::INT > 4 THEN reverse({digits})[i]::INT * 2 - 9 ELSE reverse({digits})[i]::INT * 2 END)) % 10 = 0"
+    turned = f"string_split(substr({bare}, 5) || substr({bare}, 1, 4), '')"
+    checks = {
+        "email": "true",
+        "ip": r"len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR ('0' || right(x, 3))::INT > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 10 AND 15",
+        "iban": f"length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform({turned}, lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1",
+        "ssn": "true",
+        "secret": "true",
+    }
+    parts = []
+    for no, (kind, pattern) in enumerate(plain.items()):
+        score = f"{pii.PATTERNS[kind][1]} + CASE WHEN regexp_matches(b, '{pii.RAISE[kind]}') THEN {pii.STEP} ELSE 0 END - CASE WHEN regexp_matches(b, '{pii.LOWER}') THEN {pii.STEP} ELSE 0 END"
+        keep = "true" if kind in pii.BASE else f"round({score}, 2) >= {pii.THRESHOLD}"
+        parts.append(f"""
+SELECT doc_id, {no} AS no, '{kind}' AS kind, s, s + length(m) AS e FROM (
+  SELECT doc_id, ms[i] AS m, right(gs[i], {pii.REACH}) AS b, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS ms, regexp_split_to_array(coalesce(text, ''), '{pattern}') AS gs FROM documents)))
+WHERE {checks[kind]} AND {keep}""")
+    return f"""
+WITH x AS ({" UNION ALL ".join(parts)}),
+j AS (SELECT doc_id, {", ".join(f"sum((no = {i})::INT)::BIGINT AS n_{k}" for i, k in enumerate(pii.BASE))},
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 4) AS base FROM x GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_threshold_topk": _OP2, "op3_mix_sources": _OP3, "op4_near_duplicates": _OP4, "op10_pii": _op10()}
