@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..params import Params
 from ..plans.sizes import sent_if_small
+from .chunk import chunk_bounds
 
 _NONE = "array<string>"
 
@@ -39,6 +40,25 @@ def episodes(chunks: DataFrame, p: Params) -> DataFrame:
     return by.select("episode_id", _clean(F.col("guest_list"), False).alias("guests"), _clean(F.col("top_concepts"), True).alias("concepts"), "n_chunks", "last_chunk", chaos_flag(F.col("score"), F.col("episode_id"), p).alias("chaos"))
 
 
+def episodes_of(featured: DataFrame, lists: DataFrame, p: Params, *, key: str = "episode_id", text: str = "content_body", guests: str = "nlp_guests") -> DataFrame:
+    """The rows of ``episodes`` without a chunk table: from episodes with features and their concept lists.
+
+    Chunks are only counted, so rows without texts meet the lists.
+    """
+    body = t.prefix(F.col(text), p.chunk_chars)
+    lengths = F.when(F.length(body) > 0, F.transform(t.sentences(body), lambda x: F.length(x))).otherwise(F.array().cast("array<int>"))
+    counted = featured.select(
+        F.col(key).alias("episode_id"),
+        _clean(F.col(guests), False).alias("guests"),
+        t.let(lengths, lambda n: F.size(chunk_bounds(n, p))).cast("long").alias("n_chunks"),
+        chaos_flag(F.col("chaos_score"), F.col(key), p).alias("chaos"),
+    ).where("n_chunks > 0")
+    # The greatest id as a string: ordinals have four digits, or more beyond 9999, which sort lower.
+    last = F.format_string("%s-%04d", F.col("episode_id").cast("string"), F.least(F.col("n_chunks") - 1, F.lit(9999)))
+    met = counted.join(lists.select(F.col(key).alias("episode_id"), "top_concepts"), "episode_id", "left")
+    return met.select("episode_id", "guests", _clean(F.col("top_concepts"), True).alias("concepts"), "n_chunks", last.alias("last_chunk"), "chaos")
+
+
 def chaos_flag(score: Column, episode: Column, p: Params) -> Column:
     return F.coalesce(score > p.chaos_cut, F.lit(False)) | F.contains(episode.cast("string"), F.lit(p.chaos_marker))
 
@@ -97,6 +117,14 @@ def edges(chunks: DataFrame, valid: DataFrame) -> DataFrame:
     return discussed(each).select(*columns).union(co_occurring(each).select(*columns))
 
 
+def edges_of(valid: DataFrame) -> DataFrame:
+    """The same edge rows from valid episodes alone, with the ids that their chunks have."""
+    each = valid.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
+    each = each.select(F.format_string("%s-%04d", F.col("episode_id").cast("string"), "i").alias("chunk_id"), "guests", "concepts", "chaos")
+    columns = ["source", "target", "type", "chunk_id", "chaos", "weight"]
+    return discussed(each).select(*columns).union(co_occurring(each).select(*columns))
+
+
 def upserted(valid: DataFrame, nodes_: DataFrame) -> DataFrame:
     """One row for each ``source, target, type``: ``chunk_id`` and ``chaos`` of the greatest chunk, mentions and weight.
 

@@ -115,16 +115,6 @@ def chunk_bounds(spark, sf_dir):
     return chunk.exploded(_body(spark, sf_dir), PARAMS, text="text").select("doc_id", "ordinal", "first", "last", F.length("text_content").cast("long").alias("chars"))
 
 
-def _gold(spark, sf_dir):
-    """Documents as gold rows; the source is the only guest."""
-    docs = _body(spark, sf_dir).withColumn("nlp_guests", F.array("source"))
-    return enrich.gold(docs, PARAMS, key="doc_id", text="text", sentiment=lexicon_sentiment(MOODS))
-
-
-def _chunks(spark, sf_dir):
-    return chunk.chunks(_gold(spark, sf_dir), PARAMS, key="doc_id", text="text")
-
-
 def _plain_chunks(spark, sf_dir):
     """Chunks without concepts, for what doesn't need them: no exchange."""
     docs = _features(spark, sf_dir, "text", "chaos_score", "business_start_index")
@@ -144,7 +134,12 @@ def visual_corpus(spark, sf_dir):
 
 
 def _episodes(spark, sf_dir):
-    return graph.episodes(_chunks(spark, sf_dir), PARAMS)
+    """Documents as episodes; the source is the only guest."""
+    docs = _body(spark, sf_dir)
+    long = docs.where(F.length("text") >= PARAMS.min_feature_chars)
+    lists = enrich.concept_lists(enrich.ranked_concepts(long, PARAMS, key="doc_id", text="text"), "doc_id")
+    featured = enrich.features(docs, PARAMS, text="text").withColumn("guests", F.array("source"))
+    return graph.episodes_of(featured, lists, PARAMS, key="doc_id", text="text", guests="guests")
 
 
 def valid_concepts(spark, sf_dir):
@@ -156,8 +151,7 @@ def graph_nodes(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    own = _chunks(spark, sf_dir)
-    return graph.edges(own, graph.valid_episodes(graph.episodes(own, PARAMS), PARAMS))
+    return graph.edges_of(graph.valid_episodes(_episodes(spark, sf_dir), PARAMS))
 
 
 def edges_discussed(spark, sf_dir):

@@ -156,6 +156,17 @@ def test_graph_of_one_episode(spark):
     assert {r.episode_id: r.chaos for r in built(spark, [("a-0", "a", ["A"], ["x"], 15.0), ("FC-0", "FC-1", ["A"], ["x"], 0.0)])[1].collect()} == {"a": False, "FC-1": True}
 
 
+def test_episodes_with_and_without_a_chunk_table(spark):
+    rows = [("e", "Some words here. " * 300, ["A", "B"], 1.0, 0), ("f", "few words", ["A"], 20.0, 0), ("g", "", ["A"], 0.0, 0), ("h", None, None, 0.0, 0), ("i", "More. " * 400, ["C"], None, 0)]
+    docs = spark.createDataFrame(rows, "episode_id string, content_body string, nlp_guests array<string>, chaos_score double, business_start_index long")
+    lists = spark.createDataFrame([("e", ["x", "y"]), ("f", ["y"]), ("g", ["x"]), ("i", ["z", "x"])], "episode_id string, top_concepts array<string>")
+    own = chunk.chunks(docs.join(lists, "episode_id", "left"), P)
+    one, two = graph.episodes(own, P), graph.episodes_of(docs, lists, P)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and two.count() == 3
+    a, b = graph.valid_episodes(one, P), graph.valid_episodes(two, P)
+    assert sorted(map(tuple, graph.edges(own, a).collect())) == sorted(map(tuple, graph.edges_of(b).collect())) != []
+
+
 def test_graph_queries(spark):
     pairs = [("A", "x"), ("B", "x"), ("B", "y"), ("C", "y"), ("C", "z"), ("D", "z")]
     edges = spark.createDataFrame([(a, b, "DISCUSSED", f"{a}{b}", a == "A", 1.0) for a, b in pairs] + [("x", "z", "CO_OCCURRENCE", "c", True, 0.5)], "source string, target string, type string, chunk_id string, chaos boolean, weight double")
