@@ -9,6 +9,7 @@ from strandline.operators.clean import phrase_frequency
 from strandline.params import Params
 from strandline.session import session
 from strandline.sources import files, sinks
+from strandline.sources.prompt_list import PROMPTS
 from strandline.streaming import ingest as stream
 
 
@@ -60,6 +61,8 @@ def test_sinks(spark, tmp_path):
 def test_prompts_traces_and_schemas(spark, tmp_path):
     (tmp_path / "golden.json").write_text(json.dumps([{"category": "a", "query": "b"}, {"category": "c", "query": "d"}], indent=1))
     assert files.prompts(spark, str(tmp_path / "golden.json")).count() == 2 == files.literal_prompts(spark, [("a", "b"), ("c", "d")]).count()
+    built_in = files.literal_prompts(spark, PROMPTS)
+    assert {r.category: r["count"] for r in built_in.groupBy("category").count().collect()} == {"Deep Cut": 6, "Graph Logic": 5, "Ambiguous": 4, "Adversarial": 4, "Synthesis": 5}
     traces = spark.range(40).select(F.col("id").alias("trace_id"), (F.col("id") % 2 == 0).alias("is_root"), F.timestamp_seconds("id").alias("start_time"))
     got = [r.trace_id for r in files.recent_traces(traces, 3).collect()]
     assert got == [38, 36, 34]
