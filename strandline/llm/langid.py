@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .bytewords import LOWER, row_ids, slices
 from .convnet import TextConv, softmax
 from .shelf import lean, text_batches
-from .toxicity import remainder
+from .toxicity import draw, remainder
 
 WIDTHS = (2, 3, 4)
 UNDETERMINED = "und"
@@ -97,8 +97,11 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str =
     text_batches(docs.sparkSession)
     given = docs.select(docs[key].alias("id"), docs[lang].cast("string").alias("lang"), docs[text].alias("body")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.col("body") != "") & (remainder(F.col("id"), 3) != 1))
     names = given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = given.select("id", "lang").join(F.broadcast(names.select("lang")), "lang").withColumn("place", place).where(F.col("place") <= how.documents).select("id").distinct()
+    cut_off = names.select("lang", (F.lit(4.0 * how.documents) / F.col("n")).alias("most"))
+    # Only about four times the sample is ranked, however many rows and tasks a language has.
+    low = given.select("id", "lang", draw(F.col("id")).alias("u")).join(F.broadcast(cut_off), "lang").where(F.col("u") < F.col("most"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "id"))
+    chosen = low.withColumn("place", place).where(F.col("place") <= how.documents).select("id").distinct()
     found = given.join(F.broadcast(chosen), "id")  # at most languages * documents ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
