@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,3 +57,22 @@ def unique(df: DataFrame, *keys: str) -> bool:
 def vectors(df: DataFrame, name: str, vector: str) -> None:
     """A vector table with the column named ``vector``."""
     replace_table(df.withColumnRenamed(vector, "vector"), name)
+
+
+def in_batches(df: DataFrame, rows: int, send: Callable[[list[dict]], None]) -> None:
+    """Call ``send`` with at most ``rows`` rows at a time, from the tasks: for stores that Spark doesn't write itself.
+
+    A task that is run again sends its rows again, so ``send`` has to be an upsert.
+    """
+
+    def run(part) -> None:
+        batch: list[dict] = []
+        for r in part:
+            batch.append(r.asDict(recursive=True))
+            if len(batch) >= rows:
+                send(batch)
+                batch = []
+        if batch:
+            send(batch)
+
+    df.foreachPartition(run)

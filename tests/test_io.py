@@ -58,6 +58,18 @@ def test_sinks(spark, tmp_path):
     assert files.ordered_parts(files.table(spark, str(tmp_path / "p"))).select("part").distinct().count() > 2
 
 
+def test_rows_are_sent_in_batches(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def send(rows):
+        with open(f"{folder}/{rows[0]['id']}", "w") as f:
+            f.write(" ".join(str(r["id"]) for r in rows))
+
+    sinks.in_batches(spark.range(25).repartition(3), 4, send)
+    sent = [f.read_text().split() for f in tmp_path.iterdir()]
+    assert sorted(int(x) for b in sent for x in b) == list(range(25)) and max(map(len, sent)) == 4
+
+
 def test_prompts_traces_and_schemas(spark, tmp_path):
     (tmp_path / "golden.json").write_text(json.dumps([{"category": "a", "query": "b"}, {"category": "c", "query": "d"}], indent=1))
     assert files.prompts(spark, str(tmp_path / "golden.json")).count() == 2 == files.literal_prompts(spark, [("a", "b"), ("c", "d")]).count()
