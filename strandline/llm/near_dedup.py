@@ -8,16 +8,15 @@ of A with one of B, so ``side ** 2`` tables of four minhashes cost
 shares no table with probability 2 * (1 - 0.75 ** 2) ** side, 2e-5 for 14.
 
 Sketches that only one class has can't make a shared key, so they are left out
-before keys are made. In a bucket each member is paired with the few that share
-the most keys with others, mostly texts that the rest are copied from, and in
-some of the tables with the few before it in the order of the next sketches of A and B, which brings
-those together that agree further; never all with all. As a similar pair shares
-dozens of buckets, several of them with an order of their own, it need not be
-paired in any one of them. Pairs whose minhashes agree far too seldom are dropped, the others
-are confirmed on full sets made anew from the texts: first each node's most
-similar partner, then every pair that still joins two components. Members that
-are then outside the component of most of their bucket are paired with many more
-of its popular members, over tables enough that a similar pair shares several.
+before keys are made. In a bucket each member is first paired with the few that share
+the most keys with others, mostly texts that the rest are copied from. Pairs whose
+minhashes agree far too seldom are dropped, and each node's most similar partner is
+confirmed on full sets made anew from the texts. That joins most copies, and pairs
+inside a component need no look any more. All other pairs of a bucket are compared:
+in a bucket of few members one by one, by minhashes and then on full sets; the members
+of large buckets make families, whose full sets are dealt into blocks of bounded size,
+and every block is held against every other. No pair that shares a table is left out,
+so one such step is enough.
 """
 
 from __future__ import annotations
@@ -41,18 +40,19 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Banding:
     """``words`` a shingle; ``percent`` similarity; ``side`` sketches in each collection; ``agree``: the least share of
-    equal minhashes of a pair worth confirming (at 0.75 fewer have a chance of 1e-6). A member of a bucket is paired with its
-    ``hubs`` most popular members and, in each of ``checked * side`` tables, with ``near`` before it; in these one that stays
-    outside is paired with ``more`` popular members."""
+    equal minhashes of a pair worth confirming (at 0.75 fewer have a chance of 1e-6). A member of a bucket is first paired with
+    its ``hubs`` most popular members. Buckets of at most ``small`` members are compared pair by pair, larger ones in blocks of
+    about ``block`` shingles, where a set counts as ``least`` at least; a family of some size has ``deal`` blocks or more."""
 
     words: int = 5
     percent: int = 75
     side: int = 14
     agree: float = 0.46
     hubs: int = 3
-    near: int = 2
-    checked: int = 2
-    more: int = 32
+    small: int = 64
+    block: int = 1 << 19
+    least: int = 256
+    deal: int = 8
 
     @property
     def hashes(self) -> int:
@@ -153,8 +153,7 @@ def _sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def table_keys(classes: DataFrame, how: Banding) -> DataFrame:
-    """``key, node, n, next, checked``: the tensored keys that another class may have too; ``next`` combines the sketches that
-    follow, ``checked`` marks the tables of the last step."""
+    """``key, node, n``: the tensored keys that another class may have too."""
     side = how.side
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +166,6 @@ def table_keys(classes: DataFrame, how: Banding) -> DataFrame:
     shared = single.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("part")
     shared = single.join(shared, "part", "left_semi").groupBy("node").agg(F.expr("bit_or(shiftleft(1L, no))").alias("mask"))
     a_side = (1 << side) - 1
-    steps = (np.arange(side)[None, :] - np.arange(side)[:, None]) % side
-    diagonal = steps % (side // how.checked) == 0
     shared = shared.where((F.col("mask").bitwiseAND(F.lit(a_side)) != 0) & (F.col("mask").bitwiseAND(F.lit(a_side << side)) != 0))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +177,9 @@ def table_keys(classes: DataFrame, how: Banding) -> DataFrame:
                 has = (mask[:, None] >> np.arange(2 * side)) & 1 > 0
                 both = has[:, :side, None] & has[:, None, side:]
                 keys = mix(s[:, :side, None] * GOLD + s[:, None, side:])
-                after = np.roll(np.roll(keys, -1, 1), -1, 2)
-                some = np.broadcast_to(diagonal, both.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[both].view(np.int64)), pa.array(np.repeat(node, both.sum((1, 2)))), pa.array(np.repeat(sizes, both.sum((1, 2)))), pa.array(after[both].view(np.int64)), pa.array(some[both])], names=["key", "node", "n", "next", "checked"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[both].view(np.int64)), pa.array(np.repeat(node, both.sum((1, 2)))), pa.array(np.repeat(sizes, both.sum((1, 2))))], names=["key", "node", "n"])
 
-    return classes.join(shared, "node").select("node", "n", "sig", "mask").mapInArrow(lean(pairs), "key long, node long, n long, next long, checked boolean")
+    return classes.join(shared, "node").select("node", "n", "sig", "mask").mapInArrow(lean(pairs), "key long, node long, n long")
 
 
 def ranked(keys: DataFrame) -> DataFrame:
@@ -200,33 +195,152 @@ def _sizes_allow(n: Column, m: Column, how: Banding) -> Column:
 
 
 def bucket_pairs(keys: DataFrame, how: Banding) -> DataFrame:
-    """Distinct ``a, b``, ``a`` the more popular one: each member of a bucket with its hubs, and in checked
-    tables with those before it: hubs are much the same in all tables, neighbours differ in each."""
-    bucket = Window.partitionBy("key")
-    by_pop = bucket.orderBy(F.desc("pop"), "node").rowsBetween(Window.unboundedPreceding, 0)
-    by_next = bucket.orderBy("next", F.desc("pop"), "node")
+    """Distinct ``a, b``, ``a`` the more popular one: each member of a bucket with its hubs."""
+    by_pop = Window.partitionBy("key").orderBy(F.desc("pop"), "node").rowsBetween(Window.unboundedPreceding, 0)
     one = F.struct("pop", "node", "n")
     hubs = [F.nth_value(one, k).over(by_pop) for k in range(1, how.hubs + 1)]
-    near = [F.when(F.col("checked"), F.lag(one, k).over(by_next)) for k in range(1, how.near + 1)]
-    pairs = keys.select(one.alias("x"), F.array_distinct(F.array(*hubs, *near)).alias("seen")).select("x", F.explode("seen").alias("y"))
+    pairs = keys.select(one.alias("x"), F.array_distinct(F.array(*hubs)).alias("seen")).select("x", F.explode("seen").alias("y"))
     pairs = pairs.where(F.col("y").isNotNull() & (F.col("x.node") != F.col("y.node")) & _sizes_allow(F.col("x.n"), F.col("y.n"), how))
     first = (F.col("x.pop") > F.col("y.pop")) | ((F.col("x.pop") == F.col("y.pop")) & (F.col("x.node") < F.col("y.node")))
     return pairs.select(F.when(first, F.col("x.node")).otherwise(F.col("y.node")).alias("a"), F.when(first, F.col("y.node")).otherwise(F.col("x.node")).alias("b")).distinct()
 
 
-def left_over(keys: DataFrame, labels: DataFrame, how: Banding) -> DataFrame:
-    """Distinct ``a, b`` (a < b) of different components: a member outside the component that holds most of a checked bucket,
-    and one of the bucket's most popular members. A row for each such member and hub, however large the bucket."""
-    own = keys.where("checked").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = by.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "top")
-    mixed = own.join(top, "key")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "node"))
-    hubs = mixed.withColumn("place", place).where(F.col("place") <= how.more).groupBy("key").agg(F.collect_list(F.struct("node", "label", "n")).alias("hubs"))
-    # A node meets much the same hubs in all its buckets: at most ``more`` for each checked table, and each one once.
-    outside = mixed.where("label <> top").select("key", "node", "label", "n").join(hubs, "key").groupBy("node", "label", "n").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
-    both = outside.select("node", F.explode(F.filter("hubs", lambda h: (h["label"] != F.col("label")) & _sizes_allow(h["n"], F.col("n"), how))).alias("hub"))
-    return both.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+def _with_label(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with ``label``; a node without one is its own."""
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def mixed_buckets(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, node, n, label, members`` of the buckets whose members have more than one label."""
+    own = _with_label(keys.select("key", "node", "n"), labels)
+    by = own.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return own.join(by.where("low < high").select("key", "members"), "key").select("key", "node", "n", "label", "members")
+
+
+def families(mixed: DataFrame, shelf: Shelf, how: Banding) -> DataFrame:
+    """``node, family`` of the members of large mixed buckets; buckets with a member in common are of one family."""
+    large = mixed.where(F.col("members") > how.small)
+    least = large.groupBy("key").agg(F.min("node").alias("a"))
+    links = large.join(least, "key").select("a", F.col("node").alias("b")).distinct()
+    return components(links, shelf).withColumnRenamed("label", "family")
+
+
+def small_pairs(mixed: DataFrame, family: DataFrame, how: Banding) -> DataFrame:
+    """Distinct ``a, b`` (a < b) of different labels in the small mixed buckets, without those of one family."""
+    small = mixed.where(F.col("members") <= how.small).join(family, "node", "left")
+    each = small.groupBy("key").agg(F.collect_list(F.struct("node", "label", "n", "family")).alias("every"))
+    x = F.col("x")
+
+    def other(y: Column) -> Column:
+        apart = ~F.coalesce(y["family"] == x["family"], F.lit(False))
+        return (y["node"] > x["node"]) & (y["label"] != x["label"]) & apart & _sizes_allow(x["n"], y["n"], how)
+
+    both = each.select("every", F.explode("every").alias("x")).select("x", F.explode(F.filter("every", other)).alias("y"))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``left`` has in common with each of ``right``.
+
+    Elements that many sets have are counted by a matrix product, the others by their lists of sets.
+    """
+    out = np.zeros((len(left), len(right)), np.int64)
+    sizes = np.array([len(x) for x in (*left, *right)])
+    if not sizes.sum():
+        return out
+    _, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut, n = int(sizes[: len(left)].sum()), int(at.max()) + 1
+    at_l, at_r = at[:cut], at[cut:]
+    rows_l, rows_r = row_ids(sizes[: len(left)]), row_ids(sizes[len(left) :])
+    times = np.bincount(at_l, minlength=n) * np.bincount(at_r, minlength=n)
+    often = np.flatnonzero(times * 100 > len(left) * len(right))
+    for a in range(0, len(often), 1024):
+        column = np.full(n, -1)
+        column[often[a : a + 1024]] = np.arange(len(often[a : a + 1024]))
+        dense = []
+        for rows, own, many in ((rows_l, column[at_l], len(left)), (rows_r, column[at_r], len(right))):
+            x = np.zeros((many, len(often[a : a + 1024])), np.float32)
+            x[rows[own >= 0], own[own >= 0]] = 1
+            dense.append(x)
+        out += np.rint(dense[0] @ dense[1].T).astype(np.int64)
+    few = times > 0
+    few[often] = False
+    keep = few[at_r]
+    at_r, rows_r = at_r[keep], rows_r[keep]
+    order = np.argsort(at_r, kind="stable")
+    rows_r = rows_r[order]
+    count = np.bincount(at_r, minlength=n)
+    first = np.cumsum(count) - count
+    keep = few[at_l]
+    at_l, rows_l = at_l[keep], rows_l[keep]
+    made = np.cumsum(count[at_l])
+    a = 0
+    while a < len(at_l):
+        b = max(a + 1, int(np.searchsorted(made, (made[a - 1] if a else 0) + (4 << 20), side="right")))
+        own = count[at_l[a:b]]
+        each = row_ids(own)
+        place = first[at_l[a:b]][each] + np.arange(len(each)) - (np.cumsum(own) - own)[each]
+        out += np.bincount(rows_l[a:b][each] * len(right) + rows_r[place], minlength=out.size).reshape(out.shape)
+        a = b
+    return out
+
+
+def _texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, *, text: str, key: str) -> DataFrame:
+    """``node, body`` of the rows with the id of a node's class."""
+    need = nodes.join(classes.select("node", "id"), "node")
+    texts = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("body")).join(need, F.col("doc").eqNullSafe(F.col("id")))
+    return texts.select("node", "body")
+
+
+def family_links(family: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, shelf: Shelf, how: Banding, *, text: str, key: str) -> DataFrame:
+    """``a, b`` of different labels that are similar enough, one pair at least for each two labels that have such a pair in a family.
+
+    The members outside a family's largest component are dealt into blocks, and so are those inside it; each block of the
+    former is held against all blocks on full sets.
+    """
+    members = _with_label(family, labels).join(classes.select("node", "n"), "node").withColumn("n", F.greatest("n", F.lit(how.least)))
+    by = members.groupBy("family", "label").agg(F.sum("n").alias("n"))
+    top = by.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("every"), F.max("n").alias("inner"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    parts = lambda n: F.greatest(F.ceil(n / how.block), F.least(F.lit(how.deal), F.ceil(n * 32 / how.block))).cast("long")
+    top = top.select("family", "top", parts(F.col("every") - F.col("inner")).alias("p"), parts(F.col("inner")).alias("q"))
+    dealt = members.join(top, "family").withColumn("outside", F.col("label") != F.col("top"))
+    dealt = dealt.withColumn("block", F.when(F.col("outside"), F.pmod(F.xxhash64("node"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), "q")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids may repeat with other texts
+            node = _column(batch, "node").to_numpy()
+            for first, end, data, offsets in slices(_column(batch, "body")):
+                sets, sizes = shingle_sets(data, offsets, how.words)
+                same = np.flatnonzero(digests(sets, sizes) == node[first:end])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                yield pa.RecordBatch.from_arrays([pa.array(node[first:end][same]), pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in same], pa.binary())], names=["node", "set"])
+
+    sets = _texts_of(family.select("node"), docs, classes, text=text, key=key).mapInArrow(lean(own), "node long, set binary").dropDuplicates(["node"])
+    sets = shelf.put(sets)
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, node, label = (table.column(c).to_numpy() for c in ("block", "node", "label"))
+        found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(left), 1024):
+            part = left[at : at + 1024]
+            if not len(right):
+                break
+            both = shared_counts([found[x] for x in part], [found[x] for x in right])
+            whole = np.array([len(found[x]) for x in part])[:, None] + np.array([len(found[x]) for x in right])[None, :]
+            x, y = np.nonzero((100 * both >= how.percent * (whole - both)) & (label[part][:, None] != label[right][None, :]))
+            a.append(part[x])
+            b.append(right[y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        ends = np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])], 1)
+        one = np.unique(ends, axis=0, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(node[a[one]], pa.int64()), "b": pa.array(node[b[one]], pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
@@ -248,8 +362,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: Banding, *, text: str, key: str) -> DataFrame:
     """The pairs ``a, b`` whose full sets, made from the whole texts, are similar enough."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = need.join(classes.select("node", "id"), "node")
-    texts = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("body")).join(need, F.col("doc").eqNullSafe(F.col("id")))
+    texts = _texts_of(need, docs, classes, text=text, key=key)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # ids may repeat with other texts
@@ -258,7 +371,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: Banding,
                 same = digests(*shingle_sets(data, offsets, how.words)) == node.slice(first, end - first).to_numpy()
                 yield pa.RecordBatch.from_arrays([x.slice(first, end - first).filter(pa.array(same)) for x in (node, body)], names=["node", "body"])
 
-    texts = texts.select("node", "body").mapInArrow(lean(own), "node long, body string").dropDuplicates(["node"])
+    texts = texts.mapInArrow(lean(own), "node long, body string").dropDuplicates(["node"])
     of = lambda x: texts.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,9 +417,15 @@ def _labelled(docs: DataFrame, shelf: Shelf, how: Banding, *, text: str, key: st
     links = shelf.put(confirm(best, docs, classes, how, text=text, key=key))
     labels = components(links, shelf)
     known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _crossing(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
-    missed = plausible(left_over(keys, labels, how).join(known, ["a", "b"], "left_anti"), classes, how).select("a", "b")
+    mixed = shelf.put(mixed_buckets(keys, labels))
+    family = families(mixed, shelf, how)
+    missed = plausible(small_pairs(mixed, family, how).join(known, ["a", "b"], "left_anti"), classes, how).select("a", "b")
+    of = lambda x: family.select(F.col("node").alias(x), F.col("family").alias(f"family_{x}"))
+    rest = _crossing(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(~F.coalesce(F.col("family_a") == F.col("family_b"), F.lit(False))).select("a", "b")
     rest = shelf.put(rest.union(missed))
+    if family.limit(1).count():
+        labels = joined(labels, shelf.put(family_links(family, labels, docs, classes, shelf, how, text=text, key=key)), shelf)
     if rest.limit(1).count():
         more = shelf.put(confirm(rest, docs, classes, how, text=text, key=key))
         labels = joined(labels, more, shelf)

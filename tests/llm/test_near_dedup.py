@@ -117,3 +117,66 @@ def test_components_with_more_links(spark):
     got = joined(labels, pairs([(2, 4), (9, 20), (30, 31), (1, 2)]), shelf)
     assert {r.node: r.label for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
     assert joined(labels, pairs([(2, 1)]), shelf).count() == 6
+
+
+def test_shared_counts_equal_sets():
+    r = np.random.default_rng(4)
+    make = lambda n: [np.unique(r.integers(0, 5000, k).astype(np.uint64) ** 2 // np.uint64(4000)) for k in r.integers(0, 300, n)]
+    left, right = make(90), make(70)
+    assert near_dedup.shared_counts(left, right).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+    assert near_dedup.shared_counts([left[0][:0]], right).sum() == 0
+
+
+def test_pairs_hidden_in_a_large_family(spark):
+    """Thousands of texts at about 0.6 to 0.74 to each other; a few have a twin at 0.76 to 0.8 and no other link."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(300)]
+
+    def changed(text, n):
+        text = list(text)
+        for k in range(n):  # spread, so each change costs five shingles
+            text[r.randrange(k * len(text) // n, (k + 1) * len(text) // n)] = word()
+        return text
+
+    texts = []
+    for i in range(3000):
+        own = changed(base, 7)
+        texts.append((i, " ".join(own)))
+        if i % 50 == 0:
+            texts.append((10_000 + i, " ".join(changed(own, 7))))
+    truth = brute_few(texts)
+    assert sum(c != k for k, _, c in truth) > 50 and len({c for _, _, c in truth}) > 2000
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()]
+    assert sorted(got) == sorted(truth)
+
+
+def brute_few(texts):
+    """As ``brute``, with the common shingles of a family counted as a matrix."""
+    sets = [shingles(t) for _, t in texts]
+    number = {}
+    for s in sets:
+        for g in s:
+            number.setdefault(g, len(number))
+    df = np.bincount([number[g] for s in sets for g in s])
+    common = {int(g): i for i, g in enumerate(np.flatnonzero(df > 20))}
+    dense, rare = np.zeros((len(sets), len(common)), np.float32), defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in map(number.get, s):
+            if g in common:
+                dense[i, common[g]] = 1
+            else:
+                rare[g].append(i)
+    both = np.rint(dense @ dense.T).astype(int)
+    for rows in rare.values():
+        both[np.ix_(rows, rows)] += 1
+    sizes = np.array([len(s) for s in sets])
+    label = np.array([k for k, _ in texts])
+    x, y = np.nonzero(100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        if (new == label).all():
+            return [(k, len(s), int(c)) for (k, _), s, c in zip(texts, sets, label)]
+        label = new
