@@ -32,12 +32,12 @@ THRESHOLD = 0.7
 
 @dataclass(frozen=True)
 class Fit:
-    """At most ``documents`` labelled rows of at most ``words`` words (whole texts) are learned from, those whose ids hash
-    lowest; one of ``hold`` calibrates the thresholds
+    """At most ``documents`` labelled rows, whole texts of any length, are learned from, those whose ids hash lowest; fewer if
+    they have more than ``documents * words`` words in all. One of ``hold`` calibrates the thresholds
     and picks the best of ``tries`` nets. An embedding row is kept if at least ``seen`` learned texts use it."""
 
-    documents: int = 8_000
-    words: int = 1_000
+    documents: int = 10_000
+    words: int = 1_500
     hold: int = 5
     seen: int = 3
     bits: int = 17
@@ -173,26 +173,39 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     chosen = labels.select(labels[key].alias("id"), labels[label].alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & (remainder(F.col("id"), 3) != 1))
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).withColumn("u", draw(F.col("id")))
     # Only about twice the sample is sorted, however many rows and tasks there are.
-    chosen = chosen.where(F.col("u") < 2 * how.documents / max(1, chosen.count())).orderBy("u", "id").limit(how.documents).select("id", "y")
+    chosen = chosen.where(F.col("u") < 2 * how.documents / max(1, chosen.count())).orderBy("u", "id").limit(how.documents).select("id", "y", "u")
     given = docs.select(docs[key].alias("id"), docs[text].alias("body"), docs[lang].cast("string").alias("lang")).where(F.col("body").isNotNull())
-    found = given.join(F.broadcast(chosen), "id").select("id", "y", "lang", "body")
+    found = given.join(F.broadcast(chosen), "id").select("id", "y", "lang", "body", "u")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(spans(data, offsets, NOT_WORD)[2].astype(np.int64))], names=["u", "n"])
+
+    # Whole texts, so fewer of them if they are long: up to the last one that the words' bound lets in.
+    sizes = found.select("u", "body").mapInArrow(lean(count), "u double, n long").limit(2 * how.documents).toArrow()
+    u, n = sizes.column("u").to_numpy(), sizes.column("n").to_numpy()
+    order = np.argsort(u, kind="stable")
+    over = order[np.cumsum(n[order]) > how.documents * how.words]
+    if len(over):
+        found = found.where((F.col("u") < float(u[over[0]])) | (F.col("u") == float(u[order[0]])))
+    found = found.drop("u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(3)):
                 words, counts = _words(data, offsets, how.bits)
-                few = counts <= how.words
-                words = words[np.repeat(few, counts)]
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[few] * TABLES)]), pa.int32()), pa.array(words.ravel()))
+                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts * TABLES)]), pa.int32()), pa.array(words.ravel()))
                 rest = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*(rest.column(i).filter(pa.array(few)) for i in range(3)), column], names=["id", "y", "lang", "words"])
+                yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(3)), column], names=["id", "y", "lang", "words"])
 
     types = {f.name: f.dataType for f in found.schema.fields}
     schema = T.StructType([*(T.StructField(c, types[c]) for c in ("id", "y", "lang")), T.StructField("words", T.ArrayType(T.IntegerType()))])
     # Ids may repeat: at most twice the sample comes to the driver.
     got = found.mapInArrow(lean(run), schema).limit(2 * how.documents).toArrow()
-    words = got.column("words").combine_chunks()
-    flat, ends = words.flatten().to_numpy().reshape(-1, TABLES).copy(), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False) // TABLES)])
+    words = got.column("words").chunks
+    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in words)]).reshape(-1, TABLES)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in words)]).astype(np.int64) // TABLES)])
     rows = [(flat[ends[i] : ends[i + 1]], int(y), x) for i, (y, x) in enumerate(zip(got.column("y").to_pylist(), got.column("lang").to_pylist()))]
     mark = [(str(k), len(r[0]), int(r[0].sum()), r[1]) for k, r in zip(got.column("id").to_pylist(), rows)]
     rows = [rows[i] for i in sorted(range(len(rows)), key=mark.__getitem__)]

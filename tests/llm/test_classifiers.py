@@ -90,3 +90,14 @@ def test_windows_hold_the_whole_text(n):
     data = np.arange(n, dtype=np.uint8) | 32
     windows, counts = langid.cut(data, np.array([0, n]), 128)
     assert counts.tolist() == [-(-n // 128)] and (windows.ravel()[:n] == langid.LOWER[data]).all() and (windows.ravel()[n:] == 32).all()
+
+
+def test_long_texts_are_learned_from_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * (1600 + i), "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda rows, how: seen.append(sorted(len(w) for w, _, _ in rows)))
+    toxicity.fit(docs, labels)
+    assert seen[-1] == [1600 + i for i in range(60) if not held(i)]
+    toxicity.fit(docs, labels, how=toxicity.Fit(documents=100, words=100))
+    assert len(seen[-1]) in (5, 6) and min(seen[-1]) >= 1600 and sum(seen[-1]) <= 10_000
