@@ -180,3 +180,19 @@ def brute_few(texts):
         if (new == label).all():
             return [(k, len(s), int(c)) for (k, _), s, c in zip(texts, sets, label)]
         label = new
+
+
+def test_twins_outside_the_largest_component(spark):
+    """Neither twin is in the component that holds most of a bucket of 200, and only they are similar."""
+    how = near_dedup.Banding()
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(199)]
+    docs = spark.createDataFrame([*texts, (199, texts[198][1] + " end")], "doc_id long, text string")
+    shelf = Shelf(spark, "test")
+    classes = shelf.put(near_dedup.profiles(docs, text="text", key="doc_id", how=how))
+    node = {r.id: r.node for r in classes.collect()}
+    labels = spark.createDataFrame([(node[i], node[0]) for i in range(150)], "node long, label long")
+    keys = spark.createDataFrame([(7, node[i], 26) for i in range(200)], "key long, node long, n long")
+    family = near_dedup.families(near_dedup.mixed_buckets(keys, labels), shelf, how)
+    assert family.count() == 200
+    links = near_dedup.family_links(family, labels, docs, classes, shelf, how, text="text", key="doc_id")
+    assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((node[198], node[199]))}
