@@ -1,39 +1,93 @@
-"""Connected components of a table of links, with tables in the shared folder between the rounds."""
+"""Connected components of a table of links, with tables in the shared folder between the levels."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shelf import Shelf
+from .bytewords import mix
+from .shelf import Shelf, lean
+
+#: Links that a task holds at a time.
+CHUNK = 1 << 20
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every end of the links and the root of its component among these links: the node whose mixed number is lowest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    by_rank = np.argsort(mix(nodes.view(np.uint64)), kind="stable")
+    rank = np.empty(len(nodes), np.int64)
+    rank[by_rank] = np.arange(len(nodes))
+    x, y = rank[at[: len(a)]], rank[at[len(a) :]]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes[by_rank], nodes[by_rank[label]]
+        label = new
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """``node, root`` of the links that a task holds at a time; a root has a row of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+                held.clear()
+                node, root = roots(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= CHUNK:
+                yield from out()
+        yield from out()
+
+    return links.select("a", "b").mapInArrow(lean(run), "node long, root long")
 
 
 def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """``node, label`` of every end of a link ``a, b`` (long): the label is the least node that can be reached.
 
-    In each round a node takes the least label of its neighbours and of its own label's node, so distances at least
-    halve. Labels only fall, so an unchanged sum ends the rounds; it is taken while a round is written. Partial minima
-    keep a hub's rows in their tasks.
+    Each task replaces its links by stars, then a node that has several roots links them: a graph of the roots alone, whose
+    stars are the next level. Roots are drawn by a mixed number, so a fair share of the nodes goes at each level, however
+    they are numbered. Going back, a node takes the label of its root. ``links`` is read once, in tasks of at least about
+    ``CHUNK`` links if there are as many.
     """
-    total = F.sum(F.col("label").cast("decimal(20,0)")).alias("sum")
-
-    def put(df: DataFrame) -> tuple[DataFrame, object]:
-        seen = Observation()
-        return shelf.put(df.observe(seen, total)), seen.get["sum"]
-
-    both = shelf.put(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels, before = put(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    levels = []
+    rows = Observation()
+    left = shelf.put(links.select("a", "b").observe(rows, F.count(F.lit(1)).alias("n")))
+    many = rows.get["n"]
     while True:
-        by_link = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "label")
-        up = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        by_label = labels.join(up, F.col("label") == F.col("at")).select("node", F.col("next").alias("label"))
-        new, now = put(labels.union(by_link).union(by_label).groupBy("node").agg(F.min("label").alias("label")))
-        shelf.drop(labels)
-        labels = new
-        if now == before:
-            shelf.drop(both)
-            return labels
-        before = now
+        few = left.coalesce(max(1, ceil(many / CHUNK)))
+        seen = Observation()
+        level = _stars(few).groupBy("node").agg(F.min("root").alias("to"), F.collect_set("root").alias("roots"))
+        level = shelf.put(level.observe(seen, F.sum(F.size("roots") - 1).alias("more")))
+        levels.append(level)
+        many = seen.get["more"] or 0
+        if not many:
+            break
+        left = level.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("to").alias("b")).where("a <> b")
+    labels = levels.pop().select("node", F.col("to").alias("label"))
+    while levels:
+        up = labels.select(F.col("node").alias("to"), "label")
+        labels = levels.pop().select("node", "to").join(up, "to", "left").select("node", F.coalesce("label", "to").alias("label"))
+    labels = shelf.put(labels)
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return shelf.put(labels.join(least, "label").select("node", F.col("least").alias("label")))
 
 
 def joined(labels: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:

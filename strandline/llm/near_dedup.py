@@ -8,15 +8,13 @@ of A with one of B, so ``side ** 2`` tables of four minhashes cost
 shares no table with probability 2 * (1 - 0.75 ** 2) ** side, 2e-5 for 14.
 
 Sketches that only one class has can't make a shared key, so they are left out
-before keys are made. In a bucket each member is first paired with the few that share
-the most keys with others, mostly texts that the rest are copied from. Pairs whose
-minhashes agree far too seldom are dropped, and each node's most similar partner is
-confirmed on full sets made anew from the texts. That joins most copies, and pairs
-inside a component need no look any more. All other pairs of a bucket are compared:
-in a bucket of few members one by one, by minhashes and then on full sets; the members
-of large buckets make families, whose full sets are dealt into blocks of bounded size,
+before keys are made. In a bucket each member is first held against the one whose
+sketches most others share, mostly a text that the rest are copied from. That joins
+most copies, and pairs inside a component need no look any more. All other pairs of
+a bucket are compared on full sets: in a bucket of few members one by one; the members
+of large buckets make families, whose sets are dealt into blocks of bounded size,
 and every block is held against every other. No pair that shares a table is left out,
-so one such step is enough.
+so one such step is enough. Sets are made once, for the classes that share a table.
 """
 
 from __future__ import annotations
@@ -26,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,16 +37,13 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Banding:
-    """``words`` a shingle; ``percent`` similarity; ``side`` sketches in each collection; ``agree``: the least share of
-    equal minhashes of a pair worth confirming (at 0.75 fewer have a chance of 1e-6). A member of a bucket is first paired with
-    its ``hubs`` most popular members. Buckets of at most ``small`` members are compared pair by pair, larger ones in blocks of
-    about ``block`` shingles, where a set counts as ``least`` at least; a family of some size has ``deal`` blocks or more."""
+    """``words`` a shingle; ``percent`` similarity; ``side`` sketches in each collection. Buckets of at most ``small`` members are
+    compared pair by pair, larger ones in blocks of about ``block`` shingles, where a set counts as ``least`` at least; a
+    family of some size has ``deal`` blocks or more."""
 
     words: int = 5
     percent: int = 75
     side: int = 14
-    agree: float = 0.46
-    hubs: int = 3
     small: int = 64
     block: int = 1 << 19
     least: int = 256
@@ -93,14 +88,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return out[new], np.bincount(rows[new], minlength=n_rows)
 
 
-def digests(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set, as signed; 0 for an empty one."""
-    out = np.zeros(len(sizes), np.uint64)
+def digests(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell sets apart, as two signed numbers of each set; zeros for an empty one."""
+    both = []
     full = sizes > 0
-    if full.any():
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-        out[full] = mix(np.add.reduceat(mix(sets ^ GOLD), starts) + sizes[full].astype(np.uint64) * GOLD)
-    return out.view(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full] if len(sizes) else np.zeros(0, np.int64)
+    for odd in (GOLD, np.uint64(0xD6E8FEB86659FD93)):
+        out = np.zeros(len(sizes), np.uint64)
+        if full.any():
+            out[full] = mix(np.add.reduceat(mix(sets ^ odd), starts) + sizes[full].astype(np.uint64) * odd)
+        both.append(out.view(np.int64))
+    return both[0], both[1]
 
 
 def minhashes(sets: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
@@ -131,7 +129,7 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, *, text: str, key: str, how: Banding) -> DataFrame:
-    """``id, n, node, sig`` of each row: set size, digest of the set, minhashes."""
+    """``id, n, d1, d2, sig`` of each row: set size, digest of the set, minhashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +137,17 @@ def profiles(docs: DataFrame, *, text: str, key: str, how: Banding) -> DataFrame
             for first, end, data, offsets in slices(_column(batch, "body")):
                 sets, sizes = shingle_sets(data, offsets, how.words)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), pa.array(sizes.astype(np.int64)), pa.array(digests(sets, sizes)), _binary(minhashes(sets, sizes, how.hashes))],
-                    names=["id", "n", "node", "sig"],
+                    [ids.slice(first, end - first), pa.array(sizes.astype(np.int64)), *map(pa.array, digests(sets, sizes)), _binary(minhashes(sets, sizes, how.hashes))],
+                    names=["id", "n", "d1", "d2", "sig"],
                 )
 
-    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("body")).mapInArrow(lean(run), "id long, n long, node long, sig binary")
+    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("body")).mapInArrow(lean(run), "id long, n long, d1 long, d2 long, sig binary")
+
+
+def set_classes(rows: DataFrame) -> DataFrame:
+    """``node, d1, d2, id, n, sig`` of each distinct set; to be written before use, since ``node`` is numbered anew in each run."""
+    each = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    return each.withColumn("node", F.monotonically_increasing_id())
 
 
 def _sketches(sig: np.ndarray) -> np.ndarray:
@@ -153,7 +157,7 @@ def _sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def table_keys(classes: DataFrame, how: Banding) -> DataFrame:
-    """``key, node, n``: the tensored keys that another class may have too."""
+    """``key, node, n, pop``: the tensored keys that another class may have too, and how many classes share the node's sketches."""
     side = how.side
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +167,8 @@ def table_keys(classes: DataFrame, how: Banding) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(s.reshape(-1).view(np.int64)), pa.array(np.repeat(node, 2 * side)), pa.array(np.tile(np.arange(2 * side, dtype=np.int32), len(node)))], names=["part", "node", "no"])
 
     single = classes.select("node", "sig").mapInArrow(lean(parts), "part long, node long, no int")
-    shared = single.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("part")
-    shared = single.join(shared, "part", "left_semi").groupBy("node").agg(F.expr("bit_or(shiftleft(1L, no))").alias("mask"))
+    shared = single.groupBy("part").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = single.join(shared, "part").groupBy("node").agg(F.expr("bit_or(shiftleft(1L, no))").alias("mask"), F.sum("many").alias("pop"))
     a_side = (1 << side) - 1
     shared = shared.where((F.col("mask").bitwiseAND(F.lit(a_side)) != 0) & (F.col("mask").bitwiseAND(F.lit(a_side << side)) != 0))
 
@@ -172,21 +176,15 @@ def table_keys(classes: DataFrame, how: Banding) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                node, sizes, mask = (_column(part, c).to_numpy() for c in ("node", "n", "mask"))
+                node, sizes, mask, pop = (_column(part, c).to_numpy() for c in ("node", "n", "mask", "pop"))
                 s = _sketches(_matrix(_column(part, "sig"), np.uint32))
                 has = (mask[:, None] >> np.arange(2 * side)) & 1 > 0
                 both = has[:, :side, None] & has[:, None, side:]
                 keys = mix(s[:, :side, None] * GOLD + s[:, None, side:])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[both].view(np.int64)), pa.array(np.repeat(node, both.sum((1, 2)))), pa.array(np.repeat(sizes, both.sum((1, 2))))], names=["key", "node", "n"])
-
-    return classes.join(shared, "node").select("node", "n", "sig", "mask").mapInArrow(lean(pairs), "key long, node long, n long")
+                made = both.sum((1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[both].view(np.int64)), *(pa.array(np.repeat(x, made)) for x in (node, sizes, pop))], names=["key", "node", "n", "pop"])
 
-
-def ranked(keys: DataFrame) -> DataFrame:
-    """``keys`` with ``pop``: with how many others its node shares a key, counted for each key."""
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    pop = keys.join(sizes, "key").groupBy("node").agg(F.sum("members").alias("pop"))
-    return keys.join(sizes.select("key"), "key", "left_semi").join(pop, "node")
+    return classes.join(shared, "node").select("node", "n", "sig", "mask", "pop").mapInArrow(lean(pairs), "key long, node long, n long, pop long")
 
 
 def _sizes_allow(n: Column, m: Column, how: Banding) -> Column:
@@ -194,15 +192,11 @@ def _sizes_allow(n: Column, m: Column, how: Banding) -> Column:
     return 100 * F.least(n, m) >= how.percent * F.greatest(n, m)
 
 
-def bucket_pairs(keys: DataFrame, how: Banding) -> DataFrame:
-    """Distinct ``a, b``, ``a`` the more popular one: each member of a bucket with its hubs."""
-    by_pop = Window.partitionBy("key").orderBy(F.desc("pop"), "node").rowsBetween(Window.unboundedPreceding, 0)
-    one = F.struct("pop", "node", "n")
-    hubs = [F.nth_value(one, k).over(by_pop) for k in range(1, how.hubs + 1)]
-    pairs = keys.select(one.alias("x"), F.array_distinct(F.array(*hubs)).alias("seen")).select("x", F.explode("seen").alias("y"))
-    pairs = pairs.where(F.col("y").isNotNull() & (F.col("x.node") != F.col("y.node")) & _sizes_allow(F.col("x.n"), F.col("y.n"), how))
-    first = (F.col("x.pop") > F.col("y.pop")) | ((F.col("x.pop") == F.col("y.pop")) & (F.col("x.node") < F.col("y.node")))
-    return pairs.select(F.when(first, F.col("x.node")).otherwise(F.col("y.node")).alias("a"), F.when(first, F.col("y.node")).otherwise(F.col("x.node")).alias("b")).distinct()
+def hub_pairs(keys: DataFrame, how: Banding) -> DataFrame:
+    """Distinct ``a, b``: each member ``b`` of a bucket with its member ``a`` of the highest ``pop``."""
+    hub = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("pop", "node", "n")).alias("hub")).where("members > 1")
+    pairs = keys.join(hub, "key").where((F.col("node") != F.col("hub.node")) & _sizes_allow(F.col("n"), F.col("hub.n"), how))
+    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _with_label(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,20 +279,31 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, *, text: str, key: str) -> DataFrame:
-    """``node, body`` of the rows with the id of a node's class."""
-    need = nodes.join(classes.select("node", "id"), "node")
+def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, how: Banding, *, text: str, key: str) -> DataFrame:
+    """``node, set`` of the classes in ``nodes``, made from the texts of the rows that gave them their ids."""
+    need = nodes.join(classes.select("node", "d1", "d2", "id"), "node")
     texts = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("body")).join(need, F.col("doc").eqNullSafe(F.col("id")))
-    return texts.select("node", "body")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids may repeat with other texts
+            node, d1, d2 = (_column(batch, c).to_numpy() for c in ("node", "d1", "d2"))
+            for first, end, data, offsets in slices(_column(batch, "body")):
+                sets, sizes = shingle_sets(data, offsets, how.words)
+                x, y = digests(sets, sizes)
+                same = np.flatnonzero((x == d1[first:end]) & (y == d2[first:end]))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                yield pa.RecordBatch.from_arrays([pa.array(node[first:end][same]), pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in same], pa.binary())], names=["node", "set"])
+
+    return texts.select("node", "d1", "d2", "body").mapInArrow(lean(run), "node long, set binary").dropDuplicates(["node"])
 
-def family_links(family: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, shelf: Shelf, how: Banding, *, text: str, key: str) -> DataFrame:
+
+def family_links(family: DataFrame, labels: DataFrame, sets: DataFrame, how: Banding) -> DataFrame:
     """``a, b`` of different labels that are similar enough, one pair at least for each two labels that have such a pair in a family.
 
     The members outside a family's largest component are dealt into blocks, and so are those inside it; each block of the
     former is held against all blocks on full sets.
     """
-    members = _with_label(family, labels).join(classes.select("node", "n"), "node").withColumn("n", F.greatest("n", F.lit(how.least)))
+    members = _with_label(family, labels).join(sets.select("node", (F.octet_length("set") / 8).cast("long").alias("n")), "node").withColumn("n", F.greatest("n", F.lit(how.least)))
     by = members.groupBy("family", "label").agg(F.sum("n").alias("n"))
     top = by.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("every"), F.max("n").alias("inner"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     parts = lambda n: F.greatest(F.ceil(n / how.block), F.least(F.lit(how.deal), F.ceil(n * 32 / how.block))).cast("long")
@@ -308,18 +313,6 @@ def family_links(family: DataFrame, labels: DataFrame, docs: DataFrame, classes:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # ids may repeat with other texts
-            node = _column(batch, "node").to_numpy()
-            for first, end, data, offsets in slices(_column(batch, "body")):
-                sets, sizes = shingle_sets(data, offsets, how.words)
-                same = np.flatnonzero(digests(sets, sizes) == node[first:end])
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([pa.array(node[first:end][same]), pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in same], pa.binary())], names=["node", "set"])
-
-    sets = _texts_of(family.select("node"), docs, classes, text=text, key=key).mapInArrow(lean(own), "node long, set binary").dropDuplicates(["node"])
-    sets = shelf.put(sets)
-
     def compare(table: pa.Table) -> pa.Table:
         block, node, label = (table.column(c).to_numpy() for c in ("block", "node", "label"))
         found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
@@ -343,93 +336,46 @@ def family_links(family: DataFrame, labels: DataFrame, docs: DataFrame, classes:
     return dealt.join(sets, "node").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, how: Banding) -> DataFrame:
-    """``a, b, agree`` of the pairs that may reach the similarity by their minhashes."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+def confirm(pairs: DataFrame, sets: DataFrame, how: Banding) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough."""
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            same = (_matrix(_column(batch, "sig_a"), np.uint32) == _matrix(_column(batch, "sig_b"), np.uint32)).sum(1).astype(np.int32)
-            ok = same >= int(how.agree * how.hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (_column(batch, "a").to_numpy(), _column(batch, "b").to_numpy(), same)], names=["a", "b", "agree"])
-
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a long, b long, agree int")
-
+            left, right = (_column(batch, c).to_pylist() for c in ("set_a", "set_b"))
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(left, right)):
+                known, mine = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                place = np.searchsorted(known, mine)
+                place[place == len(known)] = 0
+                both = int((known[place] == mine).sum())
+                ok[i] = 100 * both >= how.percent * (len(known) + len(mine) - both)
+            yield pa.RecordBatch.from_arrays([_column(batch, c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: Banding, *, text: str, key: str) -> DataFrame:
-    """The pairs ``a, b`` whose full sets, made from the whole texts, are similar enough."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _texts_of(need, docs, classes, text=text, key=key)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # ids may repeat with other texts
-            node, body = _column(batch, "node"), _column(batch, "body")
-            for first, end, data, offsets in slices(body):
-                same = digests(*shingle_sets(data, offsets, how.words)) == node.slice(first, end - first).to_numpy()
-                yield pa.RecordBatch.from_arrays([x.slice(first, end - first).filter(pa.array(same)) for x in (node, body)], names=["node", "body"])
-
-    texts = texts.mapInArrow(lean(own), "node long, body string").dropDuplicates(["node"])
-    of = lambda x: texts.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = _column(batch, "a").to_numpy(), _column(batch, "b").to_numpy()
-            left = _column(batch, "body_a")
-            ok = np.zeros(len(a), bool)
-            for first, end, data, offsets in slices(_column(batch, "body_b")):
-                sets, sizes = shingle_sets(data, offsets, how.words)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                for i in range(first, end):
-                    if a[i] != last:
-                        _, _, d, o = next(slices(left.slice(i, 1)))
-                        last, known = a[i], shingle_sets(d, o, how.words)[0]
-                    mine = sets[ends[i - first] : ends[i - first + 1]]
-                    place = np.searchsorted(known, mine)
-                    both = int((known[np.minimum(place, len(known) - 1)] == mine).sum()) if len(known) else 0
-                    ok[i] = 100 * both >= how.percent * (len(known) + len(mine) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-    joined = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
-    return joined.select("a", "b", "body_a", "body_b").mapInArrow(lean(run), "a long, b long")
-
-
-def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends have different labels; a node without a label is its own."""
-    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return joined.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(*pairs.columns)
+    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _labelled(docs: DataFrame, shelf: Shelf, how: Banding, *, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """``id, n, node`` of each row and ``node, id, label`` of each class: the label is common to all that links reach."""
+    """``id, n, d1, d2`` of each row and ``d1, d2, id, label`` of each class: the label is common to all that links reach."""
     text_batches(docs.sparkSession)
     rows = shelf.put(profiles(docs, text=text, key=key, how=how))
-    classes = shelf.put(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")))
+    classes = shelf.put(set_classes(rows))
     wide = classes.where("n > 2")  # two sets of which one has at most two elements reach 0.75 only if they are equal
-    keys = shelf.put(ranked(shelf.put(table_keys(wide, how))))
-    compared = shelf.put(bucket_pairs(keys, how))
-    pairs = shelf.put(plausible(compared, classes, how))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = shelf.put(confirm(best, docs, classes, how, text=text, key=key))
-    labels = components(links, shelf)
-    known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    keys = shelf.put(table_keys(wide, how))
+    compared = shelf.put(hub_pairs(keys, how))
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    sets = shelf.put(full_sets(keys.join(shared.select("key"), "key", "left_semi").select("node").distinct(), docs, classes, how, text=text, key=key))
+    labels = components(confirm(compared, sets, how), shelf)
     mixed = shelf.put(mixed_buckets(keys, labels))
     family = families(mixed, shelf, how)
-    missed = plausible(small_pairs(mixed, family, how).join(known, ["a", "b"], "left_anti"), classes, how).select("a", "b")
-    of = lambda x: family.select(F.col("node").alias(x), F.col("family").alias(f"family_{x}"))
-    rest = _crossing(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(~F.coalesce(F.col("family_a") == F.col("family_b"), F.lit(False))).select("a", "b")
-    rest = shelf.put(rest.union(missed))
-    if family.limit(1).count():
-        labels = joined(labels, shelf.put(family_links(family, labels, docs, classes, shelf, how, text=text, key=key)), shelf)
-    if rest.limit(1).count():
-        more = shelf.put(confirm(rest, docs, classes, how, text=text, key=key))
-        labels = joined(labels, more, shelf)
-    return rows, classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = shelf.put(small_pairs(mixed, family, how).join(known, ["a", "b"], "left_anti"))
+    labels = joined(labels, shelf.put(family_links(family, labels, sets, how).union(confirm(rest, sets, how))), shelf)
+    named = shelf.put(classes.select("node", "d1", "d2", "id").join(labels, "node", "left").select("d1", "d2", "id", F.coalesce("label", "node").alias("label")))
+    for done in (classes, keys, compared, sets, mixed, rest):
+        shelf.drop(done)
+    return rows.select("id", "n", "d1", "d2"), named
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", how: Banding = Banding()) -> DataFrame:
@@ -442,8 +388,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     """
     rows, named = _labelled(docs, Shelf(docs.sparkSession, "near"), how, text=text, key=key)
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_node = named.join(least, "label").select("node", "component_id")
-    out = rows.select("id", "n", "node").join(of_node, "node", "left")
+    of_class = named.join(least, "label").select("d1", "d2", "component_id")
+    out = rows.join(of_class, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
@@ -456,19 +402,21 @@ def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", how
     """
     shelf = Shelf(docs.sparkSession, "near")
     _, named = _labelled(docs, shelf, how, text=text, key=key)
-    first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("x"))
-    pick = lambda k, node: F.xxhash64(node, k)
-    chosen = first.select(pick(F.col("x.id"), F.col("x.node")).alias("pick"))
-    node, at = free_name(docs, "node"), free_name(docs, "pick")
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "d1", "d2")).alias("x")).select("x.id", "x.d1", "x.d2")
+    d1, d2, at = (free_name(docs, c) for c in ("d1", "d2", "at"))
+    chosen = first.select(F.col("id").alias(at), F.col("d1").alias(d1), F.col("d2").alias(d2))
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(d1, T.LongType()), T.StructField(d2, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.int64), *(digests(*shingle_sets(data, offsets, how.words)) for _, _, data, offsets in slices(_column(batch, text)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], names=[*names, node])
-
-    marked = docs.mapInArrow(lean(run), schema)
-    full = marked.where(F.col(node) != 0).withColumn(at, pick(F.col(key).cast("long"), F.col(node))).dropDuplicates([at])
-    stay = full.join(chosen.withColumnRenamed("pick", at), at, "left_semi")
-    return stay.select(*names).union(marked.where(F.col(node) == 0).select(*names))
+            found = [digests(*shingle_sets(data, offsets, how.words)) for _, _, data, offsets in slices(_column(batch, text))]
+            marks = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, marks)], names=[*names, d1, d2])
+
+    marked = docs.mapInArrow(lean(run), schema).withColumn(at, F.col(key).cast("long"))
+    no_set = (F.col(d1) == 0) & (F.col(d2) == 0)
+    full = marked.where(~no_set).dropDuplicates([at, d1, d2])
+    same = [full[c].eqNullSafe(chosen[c]) for c in (at, d1, d2)]
+    stay = full.join(chosen, same[0] & same[1] & same[2], "left_semi")
+    return stay.select(*names).union(marked.where(no_set).select(*names))

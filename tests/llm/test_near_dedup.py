@@ -188,11 +188,35 @@ def test_twins_outside_the_largest_component(spark):
     texts = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(199)]
     docs = spark.createDataFrame([*texts, (199, texts[198][1] + " end")], "doc_id long, text string")
     shelf = Shelf(spark, "test")
-    classes = shelf.put(near_dedup.profiles(docs, text="text", key="doc_id", how=how))
+    classes = shelf.put(near_dedup.set_classes(shelf.put(near_dedup.profiles(docs, text="text", key="doc_id", how=how))))
     node = {r.id: r.node for r in classes.collect()}
     labels = spark.createDataFrame([(node[i], node[0]) for i in range(150)], "node long, label long")
     keys = spark.createDataFrame([(7, node[i], 26) for i in range(200)], "key long, node long, n long")
     family = near_dedup.families(near_dedup.mixed_buckets(keys, labels), shelf, how)
     assert family.count() == 200
-    links = near_dedup.family_links(family, labels, docs, classes, shelf, how, text="text", key="doc_id")
+    sets = near_dedup.full_sets(classes.select("node"), docs, classes, how, text="text", key="doc_id")
+    links = near_dedup.family_links(family, labels, sets, how)
     assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((node[198], node[199]))}
+
+
+def test_components_of_many_chunks(spark, monkeypatch):
+    """Several levels: a task holds few links at a time."""
+    from strandline.llm import components as module
+
+    monkeypatch.setattr(module, "CHUNK", 7)
+    r = random.Random(3)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    r.shuffle(pairs)
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(9)
+    assert {x.node: x.label for x in components(links, Shelf(spark, "test")).collect()} == {x: find(x) for x in list(parent)}
+
+
+def test_equal_halves_of_a_digest_are_not_enough(spark):
+    """Classes are told apart by both halves."""
+    rows = spark.createDataFrame([(1, 5, 7, 1, b"x" * 224), (2, 5, 7, 2, b"x" * 224), (3, 5, 7, 1, b"x" * 224)], "id long, n long, d1 long, d2 long, sig binary")
+    assert sorted(r.id for r in near_dedup.set_classes(rows).collect()) == [1, 2]
