@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .bytewords import LOWER, row_ids, slices
 from .convnet import TextConv, softmax
-from .shelf import lean, text_batches
+from .shelf import free_name, lean, text_batches
 from .toxicity import draw, remainder
 
 WIDTHS = (2, 3, 4)
@@ -30,12 +30,12 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Fit:
-    """``documents`` of each language, those whose ids hash lowest, give at most ``windows`` windows each, evenly spaced
-    over the whole text. At most ``languages`` languages, the most frequent ones."""
+    """Whole texts are learned from, those whose ids hash lowest: of each language at most ``documents`` with ``windows`` windows
+    in all (one text at least). With more languages than ``windows * languages`` windows allow, they share that total."""
 
     documents: int = 400
-    windows: int = 6
-    languages: int = 500
+    windows: int = 6_000
+    languages: int = 100
     width: int = 128
     dim: int = 8
     filters: int = 8
@@ -93,39 +93,40 @@ class Model:
 
 
 def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", how: Fit = Fit()) -> Model:
-    """Learn from rows with a language whose id has not the remainder 1."""
+    """Learn all languages from rows with a language whose id has not the remainder 1.
+
+    Rows with a null id, text or language or an empty text teach nothing; of rows that repeat id, language and text one counts.
+    An empty table gives a model without languages.
+    """
     text_batches(docs.sparkSession)
     given = docs.select(docs[key].alias("id"), docs[lang].cast("string").alias("lang"), docs[text].alias("body")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.col("body") != "") & (remainder(F.col("id"), 3) != 1))
-    names = given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages)
-    cut_off = names.select("lang", (F.lit(4.0 * how.documents) / F.col("n")).alias("most"))
+    names = given.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    seen = names.agg(F.count(F.lit(1))).first()[0]
+    own = max(1, min(how.windows, how.windows * how.languages // max(1, seen)))  # windows of a language
     # Only about four times the sample is ranked, however many rows and tasks a language has.
-    low = given.select("id", "lang", draw(F.col("id")).alias("u")).join(F.broadcast(cut_off), "lang").where(F.col("u") < F.col("most"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "id"))
-    chosen = low.withColumn("place", place).where(F.col("place") <= how.documents).select("id").distinct()
-    found = given.join(F.broadcast(chosen), "id")  # at most languages * documents ids
+    low = given.select("id", "lang", draw(F.col("id")).alias("u"), F.xxhash64("body").alias("h"), F.ceil(F.octet_length("body") / how.width).alias("n_windows"))
+    low = low.join(names, "lang").where(F.col("u") < F.lit(4.0 * how.documents) / F.col("n")).drop("n").distinct()
+    by_draw = Window.partitionBy("lang").orderBy("u", "id", "h")
+    ranked = low.withColumn("place", F.row_number().over(by_draw)).withColumn("total", F.sum("n_windows").over(by_draw.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = ranked.where((F.col("place") == 1) | ((F.col("place") <= how.documents) & (F.col("total") <= own))).select("id", "lang", "h")
+    # Sent to all tasks: at most one row for each ``width`` bytes of the windows' total, or for each language.
+    found = given.withColumn("h", F.xxhash64("body")).join(F.broadcast(chosen), ["id", "lang", "h"]).dropDuplicates(["id", "lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index = batch.schema.get_field_index
-            for first, end, data, offsets in slices(batch.column(index("body"))):
+            for first, end, data, offsets in slices(batch.column(2)):
                 windows, counts = cut(data, offsets, how.width)
-                rows = row_ids(counts)
-                place = np.arange(len(rows)) - (np.cumsum(counts) - counts)[rows]
-                step = -(-counts // how.windows)
-                own = place % step[rows] == 0
+                take = pa.array(row_ids(counts))
                 ids = batch.slice(first, end - first)
-                take = pa.array(rows[own])
-                yield pa.RecordBatch.from_arrays([ids.column(index("id")).take(take), ids.column(index("lang")).take(take), pa.array([w.tobytes() for w in windows[own]], pa.binary())], names=["id", "lang", "window"])
-
-    schema = T.StructType([T.StructField("id", given.schema["id"].dataType), T.StructField("lang", T.StringType()), T.StructField("window", T.BinaryType())])
-    most = how.documents * how.windows
-    got = found.mapInArrow(lean(run), schema).limit(2 * most * how.languages).toArrow()
-    rows = sorted(zip(got.column("lang").to_pylist(), got.column("window").to_pylist(), map(str, got.column("id").to_pylist())))
-    languages = sorted({x for x, _, _ in rows})
+                yield pa.RecordBatch.from_arrays([ids.column(0).take(take), ids.column(1).take(take), pa.array([w.tobytes() for w in windows], pa.binary())], names=["h", "lang", "window"])
+
+    got = found.select("h", "lang", "body").mapInArrow(lean(run), "h long, lang string, window binary").toArrow()  # at most windows * languages rows, or a text of each language
+    rows = sorted(zip(got.column("lang").to_pylist(), got.column("window").to_pylist()))
+    languages = sorted({x for x, _ in rows})
     if len(languages) < 2:
         return Model(languages, None, how.width) if not languages else Constant(languages, how.width)
     number = {x: i for i, x in enumerate(languages)}
-    sample = [(np.frombuffer(w, np.uint8).astype(np.int64)[:, None], [number[x]]) for x, w, _ in rows]
+    sample = [(np.frombuffer(w, np.uint8)[:, None], [number[x]]) for x, w in rows]
     mixed = [sample[i] for i in np.random.default_rng(1).permutation(len(sample))]
     net = TextConv([256], how.dim, WIDTHS, how.filters, [len(languages)])
     net.train(mixed, epochs=min(40, max(how.epochs, round(400 * 64 / len(mixed)))))
@@ -145,28 +146,26 @@ class Constant(Model):
 def predict(docs: DataFrame, model: Model, *, text: str = "text", out: str = "lang_pred", score: str = "lang_score", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the language of the whole text and its score.
 
-    A text that is null or has no letter is ``und`` with score 0, and so is every text if no language was learned.
+    A text that is null or has no letter is ``und`` with score 0, and so is every text if no language was learned. Columns
+    named like the new ones (in any case) are replaced. Repeated rows are predicted each; an empty table gives an empty one.
     """
     text_batches(docs.sparkSession)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in (out, score)]
-    flag = "_has_letter"
-    while flag in docs.columns:
-        flag += "_"
-    source = docs.select(*dict.fromkeys([*kept, text]), F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias(flag))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (out.lower(), score.lower())]
+    body, flag = free_name(docs, "body"), free_name(docs, "has_letter")
+    source = docs.select(*kept, docs[text].alias(body), F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias(flag))
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(out, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
-            index = batch.schema.get_field_index
-            letters = batch.column(index(flag)).to_numpy(zero_copy_only=False)
+            letters = batch.column(len(kept) + 1).to_numpy(zero_copy_only=False)
             best, sure = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, data, offsets in slices(batch.column(index(text))):
+            for _, _, data, offsets in slices(batch.column(len(kept))):
                 b, s = model.predict(*cut(data, offsets, model.width))
                 best.append(b)
                 sure.append(s)
             b, s = np.concatenate(best), np.concatenate(sure)
             b, s = np.where(letters, b, -1), np.where(letters & (b >= 0), s, 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(index(c)) for c in kept), pa.array(names[b], pa.string()), pa.array(s, pa.float64())], names=[*kept, out, score])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(names[b], pa.string()), pa.array(s, pa.float64())], names=[*kept, out, score])
 
     return source.mapInArrow(lean(run), schema)

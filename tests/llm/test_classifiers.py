@@ -26,7 +26,7 @@ def test_gradients_match_differences():
         ids = np.full((3, 9 + net.reach, 1), 20)
         for i, s in enumerate(texts):
             ids[i, : len(s)] = s
-        z = net.logits(net._pooled(ids, np.array([5, 9, 3]))[2])[0].astype(float)
+        z = net.logits(net._pooled(ids, np.array([5, 9, 3]))[0])[0].astype(float)
         return -np.mean([z[i, c] - np.log(np.exp(z[i]).sum()) for i, c in enumerate(classes[:, 0])])
 
     grads, tables = net._gradients(texts, classes, [1.0], 0.0, r)
@@ -92,12 +92,91 @@ def test_windows_hold_the_whole_text(n):
     assert counts.tolist() == [-(-n // 128)] and (windows.ravel()[:n] == langid.LOWER[data]).all() and (windows.ravel()[n:] == 32).all()
 
 
-def test_long_texts_are_learned_from_whole(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * (1600 + i), "en") for i in range(60)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "learn", lambda rows, how: seen.append(sorted(len(w) for w, _, _ in rows)))
-    toxicity.fit(docs, labels)
-    assert seen[-1] == [1600 + i for i in range(60) if not held(i)]
-    toxicity.fit(docs, labels, how=toxicity.Fit(documents=100, words=100))
-    assert len(seen[-1]) in (5, 6) and min(seen[-1]) >= 1600 and sum(seen[-1]) <= 10_000
+def test_long_texts_are_learned_from_whole(spark):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * (1600 + i), "en") for i in range(60)] * 2, "doc_id long, text string, lang string")
+    known = toxicity.labelled_ids(spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"), key="doc_id", label="toxic")
+    names = {"text": "text", "key": "doc_id", "lang": "lang"}
+
+    def words(how):
+        rows = toxicity.sample(docs, known, known.count(), how, **names)[0].collect()
+        return sorted(len(r.words) // 4 // toxicity.TABLES for r in rows)
+
+    assert words(toxicity.Fit(hold=10**9)) == [1600 + i for i in range(60) if not held(i)]
+    few = words(toxicity.Fit(documents=100, words=100, hold=10**9))
+    assert len(few) in (5, 6) and min(few) >= 1600 and sum(few) <= 10_000
+    assert 20 < len(words(toxicity.Fit())) < 40  # a fifth is left out
+
+
+def test_pooling_equals_the_plain_convolution():
+    """Scoring's running maxima and training's parts against a loop over every window."""
+    r = np.random.default_rng(8)
+    net = TextConv([30] * toxicity.TABLES, 3, (1, 2, 3), 5, [2, 2], seed=2)
+    texts = [r.integers(0, 31, (n, toxicity.TABLES)).astype(np.int32) for n in (0, 1, 2, 3, 40, 41)]
+
+    def plain(s):
+        rows = np.concatenate([s, np.full((3, toxicity.TABLES), 30)])
+        e = np.concatenate([t[rows[:, i]] for i, t in enumerate(net.tables)], 1)
+        return np.concatenate([np.max([sum(e[at + j] @ k[j] for j in range(w)) for at in range(max(1, len(s)))], 0) for w, k in zip(net.widths, net.kernels)])
+
+    want = np.array([plain(s) for s in texts])
+    model = toxicity.Model(net, 5, np.array([0.5]), 0.1)
+    assert np.allclose(model.pooled(np.concatenate(texts), np.array([len(s) for s in texts])), want, atol=1e-5)
+    whole = net._pooled_in_parts(texts)
+    assert np.allclose(whole[0], want, atol=1e-5)
+    from strandline.llm import convnet
+
+    cells, convnet.CELLS = convnet.CELLS, 8
+    try:
+        parts = net._pooled_in_parts(texts)
+    finally:
+        convnet.CELLS = cells
+    assert np.allclose(parts[0], whole[0]) and all(np.allclose(x[0], y[0]) and (x[1] == y[1]).all() for a, b in zip(parts[1], whole[1]) for x, y in zip(a, b))
+
+
+def test_threshold_has_the_best_f1():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        clean, toxic = r.poisson(1, 50) * (r.random(50) < 0.5), r.poisson(1, 50) * (r.random(50) < 0.5)
+        clean[0], toxic[-1] = 3, 1
+        t, f1 = toxicity.best_threshold(clean, toxic)
+
+        def f1_at(t):
+            hit, wrong = toxic[np.arange(50) >= t * 50 - 1e-9].sum(), clean[np.arange(50) >= t * 50 - 1e-9].sum()
+            return 2 * hit / (hit + wrong + toxic.sum())
+
+        assert abs(f1 - max(f1_at(k / 50) for k in range(51))) < 1e-9
+        assert 0.05 <= t <= 0.95 and (t in (0.05, 0.95) or abs(f1_at(t) - f1) < 1e-9)
+
+
+def test_thresholds_by_language_count_all_labelled_rows(spark):
+    """Two languages whose raw scores part at different places, and a third with too few toxic rows."""
+
+    class Net:
+        def probabilities(self, words, counts):
+            first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            return (words[first + 1, 0] % 997) / 1000, words[first, 0] % 3
+
+    def word(want, mod):
+        return next(w for w in (f"v{i}" for i in range(100_000)) if toxicity._words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), 17)[0][0, 0] % mod == want)
+
+    langs = [word(k, 3) for k in range(3)]
+    rows, ids = [], iter(i for i in range(10_000) if not held(i))
+    for k, (low, high) in enumerate([(200, 400), (600, 800), (100, 900)]):
+        for p, y, n in ((low, 0, 40), (high, 1, 3 if k == 2 else 20)):
+            rows += [(next(ids), f"{langs[k]} {word(p, 997)}", y) for _ in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    known = toxicity.labelled_ids(docs, key="doc_id", label="toxic")
+    got = []
+    for sent in (1 << 20, 0):
+        model = toxicity.Model(None, 17, np.full(3, 0.5), 0.1)
+        model.probabilities = Net().probabilities
+        best = toxicity.calibrated([model], docs, known, len(rows), -1.0, toxicity.Fit(sent=sent), text="text", key="doc_id")
+        got.append(best.thresholds.tolist())
+    assert got[0] == got[1] and 0.2 < got[0][0] < 0.4 and 0.6 < got[0][1] < 0.8
+
+
+def test_clashing_names_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "some words here", "en", 5, 6, 7)], "doc_id long, text string, lang string, Toxicity int, Lang_Pred int, Body int")
+    rows = toxicity.score(docs, toxicity.Model(None, 17, np.array([0.7]), 0.25))
+    assert rows.select("toxicity").first()[0] == 0.25 and len(rows.columns) == 6
+    assert langid.predict(docs, langid.Constant(["en"], 128)).select("lang_pred").first()[0] == "en"
