@@ -232,8 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         return pa.table({"seed": pa.array([seed], pa.int32()), "model": pa.array([pickle.dumps(model)], pa.binary())})
 
     seeds = F.explode(F.array(*(F.lit(i) for i in range(how.tries)))).alias("seed")
-    made = words.select("*", seeds).groupBy("seed").applyInArrow(train, "seed int, model binary").orderBy("seed").collect()
-    return calibrated([pickle.loads(r.model) for r in made], docs, known, many, most, how, text=text, key=key)
+    made = words.select("*", seeds).groupBy("seed").applyInArrow(train, "seed int, model binary").collect()
+    return calibrated([pickle.loads(r.model) for r in sorted(made)], docs, known, many, most, how, text=text, key=key)
 
 
 def calibrated(models: list[Model], docs: DataFrame, known: DataFrame, many: int, most: float, how: Fit, *, text: str, key: str) -> Model:
