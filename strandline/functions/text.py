@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 MARK = "\u0001"
+#: White space of Unicode, as a class that Java and other engines read alike.
+SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def let(value: Column, body) -> Column:
@@ -24,13 +26,13 @@ def prefix(text: Column, n: int | None) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space of any script at either end, not only blanks."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def sentences(text: Column) -> Column:
     """Split after ``.``, ``!`` or ``?`` before white space, and at line ends."""
-    return F.split(F.regexp_replace(text, r"([.!?])\s+|\n", "$1" + MARK), MARK)
+    return F.split(F.regexp_replace(text, rf"([.!?]){SPACE}+|\n", "$1" + MARK), MARK)
 
 
 def words(text: Column) -> Column:

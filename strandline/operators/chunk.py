@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..functions import text as t
 from ..params import Params
+from ..sources.shelf import free_name
 
 _BOUNDS = "array<struct<first:int,last:int>>"
 
@@ -39,12 +40,14 @@ def chunk_bounds(lengths: Column, p: Params) -> Column:
 def exploded(docs: DataFrame, p: Params, *, text: str = "content_body") -> DataFrame:
     """``docs`` with ``ordinal, first, last, text_content``, a row for each chunk, in place of ``text``. No shuffle."""
     body = t.prefix(F.col(text), p.chunk_chars)
-    pieces = docs.withColumn("_pieces", F.when(F.length(body) > 0, t.sentences(body)).otherwise(F.array().cast("array<string>")))
-    sized = pieces.withColumn("_sizes", F.transform("_pieces", lambda x: F.length(x)))
+    made, sizes, bounds = (free_name(docs, c) for c in ("pieces", "sizes", "bounds"))
+    pieces = docs.withColumn(made, F.when(F.length(body) > 0, t.sentences(body)).otherwise(F.array().cast("array<string>")))
+    sized = pieces.withColumn(sizes, F.transform(made, lambda x: F.length(x)))
     rest = [c for c in docs.columns if c != text]
-    out = sized.select(*rest, "_pieces", F.posexplode(chunk_bounds(F.col("_sizes"), p)).alias("ordinal", "_b"))
-    content = F.array_join(F.slice("_pieces", F.col("_b.first"), F.col("_b.last") - F.col("_b.first") + 1), " ")
-    return out.select(*rest, "ordinal", F.col("_b.first").alias("first"), F.col("_b.last").alias("last"), content.alias("text_content"))
+    out = sized.select(*rest, made, F.posexplode(chunk_bounds(F.col(sizes), p)).alias("ordinal", bounds))
+    first, last = F.col(bounds)["first"], F.col(bounds)["last"]
+    content = F.array_join(F.slice(made, first, last - first + 1), " ")
+    return out.select(*rest, "ordinal", first.alias("first"), last.alias("last"), content.alias("text_content"))
 
 
 def chunks(gold: DataFrame, p: Params, *, key: str = "episode_id", text: str = "content_body", guests: str = "nlp_guests") -> DataFrame:

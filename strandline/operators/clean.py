@@ -2,7 +2,9 @@
 
 Phrases are first counted by a 64-bit hash, so that the wide shuffle moves numbers
 and not strings; only phrases whose hash is frequent enough are counted again as
-text, which makes the result exact.
+text, which makes the result exact. The frequent hashes are written once. Mined
+phrases that are few become part of the plan, so texts are cleaned row by row
+without a shuffle; more of them meet the sentences in a join.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.providers import Expression, capitalised_names
 from ..params import Params
-from ..plans.sizes import sent_if_small
+from ..plans.sizes import few_phrases, sent_if_small
+from ..sources.shelf import Shelf, free_name
 
 
 def document_grams(docs: DataFrame, p: Params, *, text: str = "raw_text") -> DataFrame:
@@ -26,10 +29,10 @@ def phrase_frequency(docs: DataFrame, p: Params, *, text: str = "raw_text", key:
     """``gram, df`` of the n-grams that occur in at least ``min_phrase_docs`` documents."""
     if p.mining_sample is not None:
         docs = docs.orderBy(F.xxhash64(F.col(key), F.lit(42)), key).limit(p.mining_sample)
-    grams = document_grams(docs, p, text=text)
-    h = F.xxhash64("gram")
-    often = grams.groupBy(h.alias("h")).count().where(F.col("count") >= p.min_phrase_docs).select("h")
-    again = grams.withColumn("h", h).join(sent_if_small(often), "h", "left_semi")
+    grams = document_grams(docs, p, text=text).withColumn("h", F.xxhash64("gram"))
+    often = grams.groupBy("h").count().where(F.col("count") >= p.min_phrase_docs).select("h")
+    often = Shelf(docs.sparkSession, "phrases").put(often)
+    again = grams.join(sent_if_small(often), "h", "left_semi")
     return again.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= p.min_phrase_docs)
 
 
@@ -47,17 +50,40 @@ def _rule(sentence: Column, p: Params) -> Column:
     return F.when(first, 1).when(second, 2).otherwise(0)
 
 
+def _third(sentence: Column, phrases: list[str], p: Params) -> Column:
+    """Whether a sentence of more than ``ad_min_chars`` characters holds one of the phrases."""
+    if not phrases:
+        return F.lit(False)
+    holds = F.exists(t.ngrams(t.words(sentence), p.ngram), lambda x: x.isin(phrases))  # a hash set at run time
+    return (F.length(sentence) > p.ad_min_chars) & holds
+
+
+def _pieces(text: Column, phrases: list[str] | None, p: Params) -> Column:
+    """``pos, sentence, rule`` of each sentence that isn't empty; rule 3 only if the phrases are given."""
+    stripped = F.transform(t.sentences(F.coalesce(text, F.lit(""))), t.strip)
+
+    def marked(x: Column, i: Column) -> Column:
+        first = _rule(x, p)
+        if phrases is None:
+            return F.struct(i.alias("pos"), x.alias("sentence"), first.alias("rule"))
+        return t.let(first, lambda r: F.struct(i.alias("pos"), x.alias("sentence"), F.when((r == 0) & _third(x, phrases, p), 3).otherwise(r).alias("rule")))
+
+    return F.filter(F.transform(stripped, marked), lambda x: x["sentence"] != "")
+
+
 def sentence_rules(docs: DataFrame, toxic: DataFrame, p: Params, *, text: str = "raw_text", key: str = "episode_id") -> DataFrame:
     """``key, pos, sentence, rule`` of each sentence that isn't empty; the first matching rule wins, 0 is kept.
 
-    Rule 3, a frequent phrase in a sentence of more than ``ad_min_chars`` characters, is a semi-join of the n-grams of the
-    sentences that the first two rules leave.
+    Rule 3 is a frequent phrase in a sentence of more than ``ad_min_chars`` characters. Few phrases are looked up in the
+    row; more are met by a semi-join of the n-grams of the sentences that the first two rules leave.
     """
-    pieces = F.transform(t.sentences(F.col(text)), t.strip)
-    each = docs.select(key, F.posexplode(pieces).alias("pos", "sentence")).where("sentence <> ''").withColumn("rule", _rule(F.col("sentence"), p))
+    phrases = few_phrases(toxic, "gram")
+    each = docs.select(key, F.explode(_pieces(F.col(text), phrases, p)).alias("x")).select(key, "x.pos", "x.sentence", "x.rule")
+    if phrases is not None:
+        return each
     left = each.where((F.col("rule") == 0) & (F.length("sentence") > p.ad_min_chars))
     grams = left.select(key, "pos", F.explode(F.array_distinct(t.ngrams(t.words(F.col("sentence")), p.ngram))).alias("gram"))
-    hit = grams.join(sent_if_small(toxic.select("gram")), "gram", "left_semi").groupBy(key).agg(F.collect_set("pos").alias("hits"))
+    hit = grams.join(toxic.select("gram"), "gram", "left_semi").groupBy(key).agg(F.collect_set("pos").alias("hits"))
     marked = each.join(hit, key, "left")
     third = (F.col("rule") == 0) & F.coalesce(F.array_contains("hits", F.col("pos")), F.lit(False))
     return marked.select(key, "pos", "sentence", F.when(third, 3).otherwise(F.col("rule")).alias("rule"))
@@ -66,16 +92,21 @@ def sentence_rules(docs: DataFrame, toxic: DataFrame, p: Params, *, text: str =
 def silver(docs: DataFrame, toxic: DataFrame, p: Params, *, names: Expression | None = None, text: str = "raw_text", key: str = "episode_id") -> DataFrame:
     """``docs`` without ``text`` and ``sentences``, with ``content_body, ads_removed_count, nlp_guests``.
 
-    Kept sentences are joined by blanks; a null or empty text gives an empty one. Only the positions of rule-3 sentences
-    are shuffled, and the texts once to meet them.
+    Kept sentences are joined by blanks; a null or empty text gives an empty one. With few phrases nothing is shuffled; with
+    more the positions of rule-3 sentences are, and the texts once to meet them.
     """
     find = names or capitalised_names(p.lexicons.blocked_names, p.max_guests)
-    rules = sentence_rules(docs, toxic, p, text=text, key=key).where("rule = 3").groupBy(key).agg(F.collect_set("pos").alias("hits"))
-    pieces = F.transform(t.sentences(F.coalesce(F.col(text), F.lit(""))), lambda s: t.strip(s))
-    marked = docs.join(rules, key, "left").withColumn("pieces", pieces)
-    numbered = F.transform("pieces", lambda s, i: F.struct(s.alias("s"), (_rule(s, p) + F.when(F.array_contains(F.coalesce("hits", F.array().cast("array<int>")), i), 3).otherwise(0)).alias("rule")))
-    full = marked.withColumn("pieces", F.filter(numbered, lambda x: x["s"] != ""))
-    body = F.array_join(F.transform(F.filter("pieces", lambda x: x["rule"] == 0), lambda x: x["s"]), " ")
-    dropped = F.size(F.filter("pieces", lambda x: x["rule"] > 0)).cast("long")
+    phrases = few_phrases(toxic, "gram")
+    made, hits = free_name(docs, "pieces"), free_name(docs, "hits")
+    pieces = _pieces(F.col(text), phrases, p)
+    if phrases is None:
+        found = sentence_rules(docs, toxic, p, text=text, key=key).where("rule = 3").groupBy(key).agg(F.collect_set("pos").alias(hits))
+        none = F.array().cast("array<int>")
+        again = lambda x: F.struct(x["sentence"].alias("sentence"), F.when(F.array_contains(F.coalesce(hits, none), x["pos"]), 3).otherwise(x["rule"]).alias("rule"))
+        full = docs.join(found, key, "left").withColumn(made, F.transform(pieces, again)).drop(hits)
+    else:
+        full = docs.withColumn(made, pieces)
+    body = F.array_join(F.transform(F.filter(made, lambda x: x["rule"] == 0), lambda x: x["sentence"]), " ")
+    dropped = F.size(F.filter(made, lambda x: x["rule"] > 0)).cast("long")
     out = full.withColumns({"content_body": body, "ads_removed_count": dropped})
-    return out.withColumn("nlp_guests", find(t.prefix(F.col("content_body"), p.name_chars))).drop(text, "sentences", "hits", "pieces")
+    return out.withColumn("nlp_guests", find(t.prefix(F.col("content_body"), p.name_chars))).drop(text, "sentences", made)

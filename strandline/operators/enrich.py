@@ -1,19 +1,19 @@
 """Silver to gold: features of each document.
 
-All features but the concepts are expressions over one row, so they take no
-shuffle. Concepts are counted after one exchange of the texts by document; the
-counts, their order and the join back need no other.
+All features are expressions over one row, so they take no shuffle. Concepts
+are counted by sorting the row's words and taking the lengths of their runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as s
 from ..functions import text as t
 from ..functions.providers import Expression, frequent_words, lexicon_sentiment
 from ..params import Params
+from ..sources.shelf import free_name
 
 
 def sentence_stats(text: Column, p: Params) -> Column:
@@ -53,23 +53,40 @@ def business_start(text: Column, p: Params) -> Column:
     return t.let(sized, find)
 
 
-def ranked_concepts(docs: DataFrame, p: Params, *, key: str, text: str, concepts: Expression | None = None) -> DataFrame:
-    """``key, term, n, rank``: a document's most frequent concepts, ties by first occurrence.
-
-    Documents are exchanged by key before their words are exploded; grouping and ranking stay in place then.
-    """
+def concept_counts(text: Column, p: Params, concepts: Expression | None = None) -> Column:
+    """The most frequent concepts of a text as structs ``less, first, term``: minus the count and the place, ties by first occurrence."""
     find = concepts or frequent_words(p.min_concept_chars, p.lexicons.stop_concepts)
-    own = docs.select(key, t.prefix(F.col(text), p.concept_chars).alias("body")).repartition(key)
-    each = own.select(key, F.posexplode(find(F.col("body"))).alias("pos", "term"))
-    counted = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= p.max_concepts).select(key, "term", "n", "rank")
+
+    def runs(w: Column) -> Column:
+        return F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))))
+
+    def best(rows: Column) -> Column:
+        n = F.size(rows)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 1) | (F.element_at(rows, i)["term"] != F.element_at(rows, F.greatest(i - 1, F.lit(1)))["term"]))
+
+        def counted(at: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                after = F.coalesce(F.get(at, k + 1), n + 1)
+                return F.struct((i - after).alias("less"), F.element_at(rows, i)["pos"].alias("first"), F.element_at(rows, i)["term"].alias("term"))
+
+            return F.slice(F.sort_array(F.transform(at, one)), 1, p.max_concepts)
+
+        return t.let(starts, counted)
+
+    return t.let(t.let(find(t.prefix(text, p.concept_chars)), runs), best)
+
+
+def ranked_concepts(docs: DataFrame, p: Params, *, key: str, text: str, concepts: Expression | None = None) -> DataFrame:
+    """``key, term, n, rank``: a document's most frequent concepts, ties by first occurrence."""
+    each = docs.select(key, F.posexplode(concept_counts(F.col(text), p, concepts)).alias("place", "x"))
+    return each.select(key, F.col("x.term").alias("term"), (-F.col("x.less")).cast("long").alias("n"), (F.col("place") + 1).alias("rank"))
 
 
-def concept_lists(ranked: DataFrame, key: str) -> DataFrame:
-    """``key, top_concepts`` in order of rank."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])
-    return ranked.groupBy(key).agg(listed.alias("top_concepts"))
+def concept_list(text: Column, p: Params, concepts: Expression | None = None) -> Column:
+    """A text's concepts in order of rank; none below ``min_feature_chars`` characters."""
+    listed = F.transform(concept_counts(text, p, concepts), lambda x: x["term"])
+    return F.when(F.length(text) >= p.min_feature_chars, listed).otherwise(F.array().cast("array<string>"))
 
 
 def features(docs: DataFrame, p: Params, *, text: str = "content_body", sentiment: Expression | None = None) -> DataFrame:
@@ -80,27 +97,25 @@ def features(docs: DataFrame, p: Params, *, text: str = "content_body", sentimen
     body = F.col(text)
     mood = s.round2((sentiment or lexicon_sentiment({}))(t.prefix(body, p.sentiment_chars)))
     alpha = F.filter(t.words(t.prefix(body, p.feature_chars)), lambda w: w.rlike(r"^\p{L}+$"))
-    with_stats = docs.withColumn("_st", sentence_stats(body, p)).withColumn("_alpha", alpha)
-    st = F.col("_st")
+    stats, letters = free_name(docs, "stats"), free_name(docs, "letters")
+    with_stats = docs.withColumn(stats, sentence_stats(body, p)).withColumn(letters, alpha)
+    st = F.col(stats)
     enough = body.isNotNull() & (F.length(body) >= p.min_feature_chars)
     full = enough & (st["n_long"] > 0)
-    n = F.size("_alpha")
-    rich = s.round2(s.complexity(F.size(F.array_distinct("_alpha")), n, st["mean"]))
+    n = F.size(letters)
+    rich = s.round2(s.complexity(F.size(F.array_distinct(letters)), n, st["mean"]))
     return with_stats.withColumns({
         "chaos_score": F.when(full, st["chaos"]).otherwise(0.0),
         "complexity_score": F.when(full, rich).otherwise(0.0),
         "sentiment": F.when(enough, mood).otherwise(0.0),
         "visual_event_count": F.when(full, t.phrase_hits(body, p.lexicons.visual_triggers)).otherwise(F.lit(0)).cast("long"),
         "business_start_index": F.when(full, business_start(t.prefix(body, p.feature_chars), p)).otherwise(F.lit(0)).cast("long"),
-    }).drop("_st", "_alpha")
+    }).drop(stats, letters)
 
 
-def gold(docs: DataFrame, p: Params, *, key: str = "episode_id", text: str = "content_body", sentiment: Expression | None = None, concepts: Expression | None = None) -> DataFrame:
+def gold(docs: DataFrame, p: Params, *, text: str = "content_body", sentiment: Expression | None = None, concepts: Expression | None = None) -> DataFrame:
     """Silver rows with all features and the concept list."""
-    lists = concept_lists(ranked_concepts(docs.where(F.length(text) >= p.min_feature_chars), p, key=key, text=text, concepts=concepts), key)
-    joined = features(docs, p, text=text, sentiment=sentiment).join(lists, key, "left")
-    has = F.length(text) >= p.min_feature_chars
-    return joined.withColumn("top_concepts", F.when(has & F.col("top_concepts").isNotNull(), F.col("top_concepts")).otherwise(F.array().cast("array<string>")))
+    return features(docs, p, text=text, sentiment=sentiment).withColumn("top_concepts", concept_list(F.col(text), p, concepts))
 
 
 def most(df: DataFrame, column: str, key: str, n: int = 3) -> DataFrame:

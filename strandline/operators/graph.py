@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..params import Params
 from ..plans.sizes import sent_if_small
+from ..sources.shelf import Shelf
 from .chunk import chunk_bounds
 
 _NONE = "array<string>"
@@ -40,23 +41,20 @@ def episodes(chunks: DataFrame, p: Params) -> DataFrame:
     return by.select("episode_id", _clean(F.col("guest_list"), False).alias("guests"), _clean(F.col("top_concepts"), True).alias("concepts"), "n_chunks", "last_chunk", chaos_flag(F.col("score"), F.col("episode_id"), p).alias("chaos"))
 
 
-def episodes_of(featured: DataFrame, lists: DataFrame, p: Params, *, key: str = "episode_id", text: str = "content_body", guests: str = "nlp_guests") -> DataFrame:
-    """The rows of ``episodes`` without a chunk table: from episodes with features and their concept lists.
-
-    Chunks are only counted, so rows without texts meet the lists.
-    """
+def episodes_of(gold: DataFrame, p: Params, *, key: str = "episode_id", text: str = "content_body", guests: str = "nlp_guests") -> DataFrame:
+    """The rows of ``episodes`` without a chunk table, from gold rows: chunks are only counted, and nothing is shuffled."""
     body = t.prefix(F.col(text), p.chunk_chars)
     lengths = F.when(F.length(body) > 0, F.transform(t.sentences(body), lambda x: F.length(x))).otherwise(F.array().cast("array<int>"))
-    counted = featured.select(
+    counted = gold.select(
         F.col(key).alias("episode_id"),
         _clean(F.col(guests), False).alias("guests"),
         t.let(lengths, lambda n: F.size(chunk_bounds(n, p))).cast("long").alias("n_chunks"),
         chaos_flag(F.col("chaos_score"), F.col(key), p).alias("chaos"),
+        _clean(F.col("top_concepts"), True).alias("concepts"),
     ).where("n_chunks > 0")
     # The greatest id as a string: ordinals have four digits, or more beyond 9999, which sort lower.
     last = F.format_string("%s-%04d", F.col("episode_id").cast("string"), F.least(F.col("n_chunks") - 1, F.lit(9999)))
-    met = counted.join(lists.select(F.col(key).alias("episode_id"), "top_concepts"), "episode_id", "left")
-    return met.select("episode_id", "guests", _clean(F.col("top_concepts"), True).alias("concepts"), "n_chunks", last.alias("last_chunk"), "chaos")
+    return counted.select("episode_id", "guests", "concepts", "n_chunks", last.alias("last_chunk"), "chaos")
 
 
 def chaos_flag(score: Column, episode: Column, p: Params) -> Column:
@@ -179,21 +177,19 @@ def shortest_path(edges_: DataFrame, start: str, end: str, hops: int = 4) -> lis
     Breadth-first search by joins: each level keeps one path for each new node, the least one.
     """
     own = edges_.where(F.col("type") == "DISCUSSED").select("source", "target").distinct()
-    links = own.union(own.select("target", "source")).toDF("at", "next").cache()
-    try:
-        return _search(links, start, end, hops)
-    finally:
-        links.unpersist()
+    shelf = Shelf(edges_.sparkSession, "paths")
+    links = shelf.put(own)
+    return _search(links.union(links.select("target", "source")).toDF("at", "next"), shelf, start, end, hops)
 
 
-def _search(links: DataFrame, start: str, end: str, hops: int) -> list[str] | None:
+def _search(links: DataFrame, shelf: Shelf, start: str, end: str, hops: int) -> list[str] | None:
     if start == end:
         return [start] if links.where(F.col("at") == start).limit(1).count() else None
     level = links.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")
     seen = level.select("at")
     for _ in range(hops):
         step = links.join(level, "at").select("next", F.concat("path", F.array("next")).alias("path"))
-        new = step.join(seen, step["next"] == seen["at"], "left_anti").groupBy(F.col("next").alias("at")).agg(F.min("path").alias("path")).cache()
+        new = shelf.put(step.join(seen, step["next"] == seen["at"], "left_anti").groupBy(F.col("next").alias("at")).agg(F.min("path").alias("path")))
         hit = new.where(F.col("at") == end).first()
         if hit:
             return list(hit.path)

@@ -19,6 +19,7 @@ from ..operators import chunk, clean, enrich, graph, ingest, report, vectors
 from ..operators.agent import graph_facts, hybrid
 from ..params import Lexicons, Params
 from ..sources.files import table
+from ..sources.shelf import Shelf, spread
 from ..streaming.ingest import windowed_events
 
 LEXICONS = replace(
@@ -41,7 +42,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "source", "text")
+    return spread(_docs(spark, sf_dir).select("doc_id", "source", "text"))
+
+
+def _toxic(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The mined phrases, written once."""
+    return Shelf(spark, "toxic").put(clean.toxic_phrases(docs, PARAMS, text="text", key="doc_id"))
 
 
 def sentence_stats(spark, sf_dir):
@@ -92,14 +98,14 @@ def toxic_phrases(spark, sf_dir):
 
 def ad_sentence_rules(spark, sf_dir):
     docs = _body(spark, sf_dir)
-    rules = clean.sentence_rules(docs, clean.toxic_phrases(docs, PARAMS, text="text", key="doc_id"), PARAMS, text="text", key="doc_id")
+    rules = clean.sentence_rules(docs, _toxic(spark, docs), PARAMS, text="text", key="doc_id")
     n = lambda k: F.sum((F.col("rule") == k).cast("long")).alias(f"rule_{k}")
     return rules.groupBy("doc_id").agg(*(n(k) for k in range(4)))
 
 
 def _silver(spark, sf_dir):
     docs = _body(spark, sf_dir)
-    return clean.silver(docs, clean.toxic_phrases(docs, PARAMS, text="text", key="doc_id"), PARAMS, text="text", key="doc_id")
+    return clean.silver(docs, _toxic(spark, docs), PARAMS, text="text", key="doc_id")
 
 
 def clean_text_digest(spark, sf_dir):
@@ -134,12 +140,9 @@ def visual_corpus(spark, sf_dir):
 
 
 def _episodes(spark, sf_dir):
-    """Documents as episodes; the source is the only guest."""
-    docs = _body(spark, sf_dir)
-    long = docs.where(F.length("text") >= PARAMS.min_feature_chars)
-    lists = enrich.concept_lists(enrich.ranked_concepts(long, PARAMS, key="doc_id", text="text"), "doc_id")
-    featured = enrich.features(docs, PARAMS, text="text").withColumn("guests", F.array("source"))
-    return graph.episodes_of(featured, lists, PARAMS, key="doc_id", text="text", guests="guests")
+    """Documents as episodes, written once; the source is the only guest."""
+    gold = enrich.gold(_body(spark, sf_dir), PARAMS, text="text").withColumn("guests", F.array("source"))
+    return Shelf(spark, "episodes").put(graph.episodes_of(gold, PARAMS, key="doc_id", text="text", guests="guests"))
 
 
 def valid_concepts(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import WORD
+from ..functions.text import SPACE, WORD
 from .queries import LEXICONS, MOODS, PARAMS
 
 
@@ -10,9 +10,9 @@ def _any(text: str, phrases, how: str = "contains") -> str:
     return "(" + " OR ".join(f"{how}({text}, '{p}')" for p in phrases) + ")"
 
 
-_PIECES = r"string_split(regexp_replace(text, '([.!?])\s+|\n', '\1' || chr(1), 'g'), chr(1))"
-_FULL_PIECES = r"string_split(regexp_replace(text, '([.!?]\s+|\n)', '\1' || chr(1), 'g'), chr(1))"
-_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_PIECES = rf"string_split(regexp_replace(text, '([.!?]){SPACE}+|\n', '\1' || chr(1), 'g'), chr(1))"
+_FULL_PIECES = rf"string_split(regexp_replace(text, '([.!?]{SPACE}+|\n)', '\1' || chr(1), 'g'), chr(1))"
+_STRIPPED = f"regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def _words(x: str) -> str:
@@ -76,7 +76,7 @@ _BOILER = ", ".join(f"'{x}'" for x in LEXICONS.boilerplate)
 _RULES = f"""
 {_MINED},
 toxic AS (SELECT gram FROM mined WHERE NOT {_SAFE}),
-rp AS (SELECT doc_id, list_transform({_PIECES}, lambda x: {_STRIP.format('x')}) AS p FROM documents),
+rp AS (SELECT doc_id, list_transform({_PIECES}, lambda x: {_STRIPPED}) AS p FROM documents),
 rs AS (SELECT doc_id, unnest(p) AS sentence, generate_subscripts(p, 1) - 1 AS pos FROM rp),
 rt AS (SELECT *, lower(sentence) AS low FROM rs WHERE sentence <> ''),
 ru AS (SELECT *, CASE WHEN regexp_replace(low, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') IN ({_BOILER}) THEN 1

@@ -45,6 +45,31 @@ def test_ad_rules(spark):
     assert (out["n"].content_body, out["n"].ads_removed_count, out["n"].nlp_guests) == ("", 0, []) and out["m"].content_body == ""
 
 
+def test_many_phrases_are_joined(spark, monkeypatch):
+    """The rows are the same whether the phrases are part of the plan or meet the sentences in a join."""
+    from strandline.plans import sizes
+
+    line = "the quick brown fox jumps over {} lazy dogs today"
+    docs = spark.createDataFrame([(i, f"{line.format('the' if i % 3 else 'some')}. Nothing else here.\u00a0 All day!", 1) for i in range(9)] + [(9, None, 1)], "id int, raw_text string, Pieces int")
+    toxic = spark.createDataFrame([("quick brown fox jumps over the",)] * 2, "gram string")
+    got = []
+    for most in (20_000, 0):
+        monkeypatch.setattr(sizes, "MOST_PHRASES", most)
+        rules = sorted(map(tuple, clean.sentence_rules(docs, toxic, P, key="id").collect()))
+        out = clean.silver(docs, toxic, P, key="id")
+        assert out.columns == ["id", "Pieces", "content_body", "ads_removed_count", "nlp_guests"]
+        got.append((rules, sorted(map(tuple, out.collect()))))
+    assert got[0] == got[1]
+    assert [r[1:] for r in got[0][0][:3]] == [(0, "the quick brown fox jumps over some lazy dogs today.", 0), (1, "Nothing else here.", 0), (2, "All day!", 1)]
+    assert sum(r[3] == 3 for r in got[0][0]) == 6
+    assert [r[3] for r in got[0][1]] == [1 + (i % 3 > 0) for i in range(9)] + [0]
+
+
+def test_white_space_of_unicode(spark):
+    assert values(spark, [("\u00a0\u2003x y\u3000\t",)], "a string", text.strip(F.col("a"))) == [("x y",)]
+    assert values(spark, [("One.\u00a0Two!\u2009 Three",)], "a string", text.sentences(F.col("a"))) == [(["One.", "Two!", "Three"],)]
+
+
 def test_phrase_safety_and_frequency(spark):
     phrases = ["i think we should all go", "i think you save a lot", "the best of all the things"]
     lex = P.lexicons
@@ -161,7 +186,7 @@ def test_episodes_with_and_without_a_chunk_table(spark):
     docs = spark.createDataFrame(rows, "episode_id string, content_body string, nlp_guests array<string>, chaos_score double, business_start_index long")
     lists = spark.createDataFrame([("e", ["x", "y"]), ("f", ["y"]), ("g", ["x"]), ("i", ["z", "x"])], "episode_id string, top_concepts array<string>")
     own = chunk.chunks(docs.join(lists, "episode_id", "left"), P)
-    one, two = graph.episodes(own, P), graph.episodes_of(docs, lists, P)
+    one, two = graph.episodes(own, P), graph.episodes_of(docs.join(lists, "episode_id", "left"), P)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and two.count() == 3
     a, b = graph.valid_episodes(one, P), graph.valid_episodes(two, P)
     assert sorted(map(tuple, graph.edges(own, a).collect())) == sorted(map(tuple, graph.edges_of(b).collect())) != []
