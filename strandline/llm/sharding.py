@@ -6,8 +6,10 @@ pieces where one is more than ``piece`` of a shard), the many small groups are
 gathered by hash into a fixed number of lots. So the number of items is bounded
 by parameters at any table size, and the packing of items, largest first, each
 to the shard where the dot product of its vector with the residual capacity is
-highest, takes one small numpy loop on the driver. Rows are then numbered inside
-each item and items follow each other inside a shard: no task ever sorts a shard.
+highest, takes one small numpy loop on the driver. Then single items move while
+that narrows the loads' spread in all three dimensions together. Rows are numbered
+inside each item and items follow each other inside a shard: no task ever sorts a
+shard.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ class Packing:
     """``lots`` items by hash a shard; a group above ``own`` of a shard is its own item, one above ``piece`` of a shard is cut."""
 
     shards: int = 24
-    lots: int = 256
+    lots: int = 1024
     own: float = 1 / 64
     piece: float = 1 / 4
 
@@ -53,30 +55,61 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
         best = int(np.argmax(np.where(fits, score, -np.inf))) if fits.any() else int(np.lexsort((-score, over))[0])
         out[i] = best
         left[best] -= item
-    return level(out, share[:, 0], shards)
+    return level(out, share, shards)
 
 
-def level(at: np.ndarray, share: np.ndarray, shards: int, near: float = 0.001, most: int = 10_000) -> np.ndarray:
-    """Move single items from the fullest to the emptiest shard in the first dimension while that narrows the gap."""
-    sums = np.bincount(at, share, shards)
-    for _ in range(most):
-        high, low = int(sums.argmax()), int(sums.argmin())
-        gap = sums[high] - sums[low]
-        own = np.flatnonzero((at == high) & (share > 0) & (share < gap))
-        if gap <= near or not len(own):
-            break
-        i = own[np.abs(share[own] - gap / 2).argmin()]
-        at[i] = low
-        sums[high] -= share[i]
-        sums[low] += share[i]
-    return at
+def level(at: np.ndarray, share: np.ndarray, shards: int, first: float = 3.0, least: float = 1e-6) -> np.ndarray:
+    """Move or swap single items while that lowers the sum of squares of all loads, in all dimensions, by ``least`` or more.
+
+    The first dimension, which the law names, counts ``first`` times. The shard farthest from the mean that has such an
+    item or pair goes first. The sum falls with each step, so this ends.
+    """
+    share = share * np.array([first, *[1.0] * (share.shape[1] - 1)])
+    mean = share.sum(0) / shards
+    loads = np.zeros((shards, share.shape[1]))
+    np.add.at(loads, at, share)
+
+    def step(one: int) -> tuple[float, int, int, int]:
+        """The best change at a shard: its gain, the item, the other shard, and the item that comes back or -1."""
+        own, best = np.flatnonzero(at == one), (-least, -1, -1, -1)
+        for other in range(shards):
+            if other == one or not len(own):
+                continue
+            gap, theirs = loads[other] - loads[one], np.flatnonzero(at == other)
+            tries = [(share[own], np.full(len(own), -1))]
+            if len(theirs):  # the items there whose exchange would level the first dimension best
+                theirs = theirs[np.argsort(share[theirs, 0], kind="stable")]
+                near = np.searchsorted(share[theirs, 0], share[own, 0] + gap[0] / 2)
+                for j in (np.maximum(near - 1, 0), np.minimum(near, len(theirs) - 1)):
+                    tries.append((share[own] - share[theirs[j]], theirs[j]))
+            for x, back in tries:
+                change = 2 * (x @ gap + (x * x).sum(1))
+                i = int(change.argmin())
+                if change[i] < best[0]:
+                    best = (float(change[i]), int(own[i]), other, int(back[i]))
+        return best
+
+    while True:
+        for one in np.argsort(-np.abs(loads - mean).max(1), kind="stable").tolist():
+            _, i, other, back = step(one)
+            if i >= 0:
+                x = share[i] - (share[back] if back >= 0 else 0)
+                loads[one] -= x
+                loads[other] += x
+                at[i] = other
+                if back >= 0:
+                    at[back] = one
+                break
+        else:
+            return at
 
 
 def shard(docs: DataFrame, *, text: str = "text", key: str = "doc_id", plan: Packing = Packing()) -> DataFrame:
     """``key, size, text_crc32, law, shard, slot, grown_shard`` of every row of ``docs``.
 
     ``size`` is the text's UTF-8 bytes plus 8 (a null text has none and is in the group of empty texts; its CRC is 0).
-    Null keys and repeated rows are rows like any other. Rows of an empty table: none. Only ``key`` and ``text`` are read.
+    Null keys and repeated rows are rows like any other; rows with equal key and text are numbered in any order. Rows of an
+    empty table: none. Only ``key`` and ``text`` are read.
     """
     spark = docs.sparkSession
     body = F.coalesce(docs[text], F.lit(""))

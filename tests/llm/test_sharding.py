@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,6 +19,36 @@ def test_placing_follows_the_dot_product():
     assert sorted(sharding.place(np.array([[2.0, 1, 1], [1, 2, 1]]), 2).tolist()) == [0, 1]
 
 
+def test_items_go_where_the_dot_product_is_highest():
+    """The greedy step against a plain loop, before items are moved."""
+    r = np.random.default_rng(9)
+    items = r.integers(1, 60, (150, 3)).astype(float)
+    before, moved = sharding.level, []
+    sharding.level = lambda at, share, shards: moved.append((at.copy(), share)) or at
+    try:
+        sharding.place(items, 6)
+    finally:
+        sharding.level = before
+    at, share = moved[0]
+    left, want = [[1.0] * 3 for _ in range(6)], {}
+    for i in sorted(range(150), key=lambda i: (-max(share[i]), -sum(share[i]), i)):
+        over = [max(max(x - y for x, y in zip(share[i], own)), 0) for own in left]
+        dots = [sum(x * y for x, y in zip(share[i], own)) for own in left]
+        fits = [s for s in range(6) if over[s] <= 1e-12]
+        want[i] = max(fits, key=lambda s: (dots[s], -s)) if fits else min(range(6), key=lambda s: (over[s], -dots[s], s))
+        left[want[i]] = [y - x for x, y in zip(share[i], left[want[i]])]
+    assert [want[i] for i in range(150)] == at.tolist()
+
+
+def test_moves_balance_all_dimensions():
+    r = np.random.default_rng(1)
+    items = np.exp(r.normal(0, 1.5, (6000, 3)))
+    at = sharding.place(items, 24)
+    for d in range(3):
+        sums = np.bincount(at, items[:, d], 24)
+        assert abs(sums / sums.mean() - 1).max() < 0.002
+
+
 def holds(rows, texts, shards=24, kept=0.25):
     assert Counter(r.doc_id for r in rows) == Counter(k for k, _ in texts)
     by = defaultdict(list)
@@ -40,6 +71,13 @@ def test_query(spark):
         size[r.shard] += r.size
         shard_of[r.doc_id] = r.shard
         groups[body[r.doc_id]].append(r)
+    words = {r.shard: 0 for r in rows}
+    for r in rows:
+        words[r.shard] += r.tokens
+        assert r.tokens == len(re.findall(r"[^\x20\x09-\x0D]+", body[r.doc_id]))
+    tokens, many = list(words.values()), list(Counter(r.shard for r in rows).values())
+    assert max(tokens) < 1.02 * sum(tokens) / 24 and min(tokens) > 0.98 * sum(tokens) / 24
+    assert max(many) < 1.05 * len(rows) / 24 and min(many) > 0.95 * len(rows) / 24
     mean = sum(size.values()) / 24
     assert max(size.values()) / mean < 1.01 and min(size.values()) / mean > 0.99
     whole = [g for g in groups.values() if sum(r.size for r in g) < mean / 4 and len(g) < len(rows) / 24 / 4]
