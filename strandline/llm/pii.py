@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .shelf import free_name
 
 _MAIL = "[A-Za-z0-9._%+-]"
@@ -22,13 +23,14 @@ PATTERNS = {
     "card": (r"[0-9]++(?:[\x20-][0-9]++)*+", 0.9),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.7),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4),
+    "ssn": (r"(?<![A-Za-z0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9])", 0.4),
     "secret": (r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])", 0.4),
 }
 BASE = ("email", "ip", "card", "phone")
 #: A quick test that no match can fail.
 _HINT = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
-#: Words that raise or lower the score when they stand within ``REACH`` characters before the span, after the kind's last match.
+#: Words that raise or lower the score when they stand within ``REACH`` characters before or after the span, as far as the
+#: kind's next match on that side. An underscore parts words.
 RAISE = {
     "iban": r"(?i)\b(?:iban|account|konto|compte|cuenta)\b",
     "ssn": r"(?i)\b(?:ssn|social security)\b",
@@ -73,15 +75,18 @@ def confirmed(kind: str, m: Column) -> Column:
     if kind == "iban":
         bare = F.regexp_replace(m, " ", "")
         return F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(False)
+    if kind == "ssn":  # numbers that are never issued
+        return ~m.rlike("^(?:000|666|9)") & ~m.rlike("^...-00") & ~m.rlike("0000$")
     return F.lit(True)
 
 
 SPAN = "struct<start:int,no:int,end:int,kind:string,value:string,score:double>"
 
 
-def _score(kind: str, before: Column) -> Column:
-    """The score of a confirmed match, moved by the words that stand before it."""
-    move = F.when(before.rlike(RAISE[kind]), STEP).otherwise(0.0) - F.when(before.rlike(LOWER), STEP).otherwise(0.0)
+def _score(kind: str, before: Column, after: Column) -> Column:
+    """The score of a confirmed match, moved by the words that stand before and after it."""
+    near = lambda words: before.rlike(words) | after.rlike(words)
+    move = F.when(near(RAISE[kind]), STEP).otherwise(0.0) - F.when(near(LOWER), STEP).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(PATTERNS[kind][1]) + move)), 2)
 
 
@@ -90,7 +95,11 @@ def _matches(text: Column, kind: str, threshold: float) -> Column:
     pattern, no = PATTERNS[kind][0], list(PATTERNS).index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), found.alias("m"))
-    parts = F.transform(zipped, lambda z: F.struct(F.length(z["g"]).alias("g"), F.length(z["m"]).alias("n"), z["m"].alias("m"), F.right(z["g"], F.lit(REACH)).alias("b")))
+    near = lambda x: F.translate(x, "_", " ")
+    parts = let(zipped, lambda every: F.transform(every, lambda z, i: F.struct(
+        F.length(z["g"]).alias("g"), F.length(z["m"]).alias("n"), z["m"].alias("m"),
+        near(F.right(z["g"], F.lit(REACH))).alias("b"), near(F.coalesce(F.left(F.get(every, i + 1)["g"], F.lit(REACH)), F.lit(""))).alias("a"),
+    )))
     none = F.array().cast(f"array<{SPAN}>")
     # Spans are gathered in blocks, so that a text with very many of them isn't copied once per span.
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("blocks"), none.alias("last"))
@@ -100,8 +109,8 @@ def _matches(text: Column, kind: str, threshold: float) -> Column:
         end = at + F.coalesce(z["n"], F.lit(0))
         keep = F.when(z["m"].isNotNull(), confirmed(kind, z["m"])).otherwise(False)
         if kind not in BASE:
-            keep = keep & (_score(kind, z["b"]) >= threshold)
-        one = F.array(F.struct(at.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), z["m"].alias("value"), _score(kind, z["b"]).alias("score")))
+            keep = keep & (_score(kind, z["b"], z["a"]) >= threshold)
+        one = F.array(F.struct(at.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), z["m"].alias("value"), _score(kind, z["b"], z["a"]).alias("score")))
         full = F.size(a["last"]) >= BLOCK
         return F.struct(
             end.alias("at"),
@@ -118,7 +127,8 @@ def find_spans(docs: DataFrame, *, text: str = "text", out: str = "pii_spans", t
     """``docs`` with ``out``: array of (start, no, end, kind, value, score), by start, then kind in the order of ``PATTERNS``.
 
     Offsets are code points, the end exclusive. Spans of the base kinds stay whatever their score, the others need
-    ``threshold``. A null or empty text has no span.
+    ``threshold``. A null or empty text has no span. Repeated rows are searched each; an empty table gives an empty one. A column
+    named like ``out`` is replaced.
     """
     body = free_name(docs, "pii_body")
     names = {kind: free_name(docs, f"pii_{kind}") for kind in PATTERNS}

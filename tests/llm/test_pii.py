@@ -82,3 +82,26 @@ def test_query_against_brute_force(spark, sf_dir):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = queries.op10_pii(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_words_on_both_sides_and_the_sql(spark, tmp_path):
+    """Words after a span count, underscores part words, some numbers are never issued; the SQL says the same."""
+    import duckdb
+
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [
+        "123-45-6789 is my SSN", "000-45-6789 is my SSN", "ssn 900-45-6789, ssn 123-00-6789, ssn 123-45-0000", f"my_token={hexes}", f"api_key_{hexes}", f"{hexes} md5",
+        f"token {hexes} {hexes}", f"{hexes}_{hexes} secret", "GB82WEST12345698765432_iban", "xGB82WEST12345698765432", "ssn 1123-45-6789 a123-45-6789 ssn_123-45-6789_x", None, "", "a@b.cc 1.2.3.4",
+    ]
+    rows = [(i, t, None, "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in queries.op10_pii(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cursor = c.execute(queries.ORACLE_SQL["op10_pii"])
+    names = [d[0] for d in cursor.description]
+    want = {r[names.index("doc_id")]: r[names.index("spans")] for r in cursor.fetchall()}
+    assert got == want
+    kinds = {i: [x.split(":")[0] for x in s.split(",") if x] for i, s in got.items()}
+    assert [kinds[i] for i in range(len(texts))] == [["ssn"], [], [], ["secret"], ["secret"], [], ["secret"], ["secret"], ["iban"], [], ["ssn"], [], [], ["email", "ip"]]
