@@ -2,9 +2,9 @@
 
 Sizes are summed by source; each source gets a share of the total by weight, at
 most ``most`` times its own size, and what a capped source can't take is shared
-out again among the others. That fixed point has a closed form (a water level
-over the sources in order of cap / weight), so it takes one window over the
-table of sources and no loop. The ratio target / size is the repetition rate: a
+out again among the others, until none is above. Each such round is one sum over
+the table of sources, which may be long: nothing of it meets in one task, and
+ranks come from ranges of it. The ratio target / size is the repetition rate: a
 document is emitted ``floor(rate)`` times, and once more if a number in [0, 1)
 derived from its id is below the fraction.
 """
@@ -37,32 +37,38 @@ def default_weight(rank: Column) -> Column:
     return (F.pmod(rank, F.lit(3)) + 1).cast("long")
 
 
-def source_targets(sizes: DataFrame, *, source: str, size: str, most: int = 3, weight=default_weight) -> DataFrame:
-    """One row a source: ``source, source_size, weight, target``.
+def ranked(by: DataFrame, shelf: Shelf) -> DataFrame:
+    """``by`` with ``rank`` from 0 in order of ``source``, null last: ranges are ranked by themselves, after the rows of those before."""
+    ranges = shelf.put(by.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    before, rows = 0, []
+    for r in ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect():  # one row a task
+        rows.append((r.range, before))
+        before += r.n
+    offsets = by.sparkSession.createDataFrame(rows, "range int, before long")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranges.withColumn("place", place).join(F.broadcast(offsets), "range").withColumn("rank", F.col("place") + F.col("before")).drop("place", "range", "before")
 
-    Sources rank by code point with null last. The windows run over the sources,
-    not over the documents.
-    """
+
+def source_targets(sizes: DataFrame, shelf: Shelf | None = None, *, source: str, size: str, most: int = 3, weight=default_weight) -> DataFrame:
+    """One row a source: ``source, source_size, weight, target``. Sources rank by code point with null last."""
+    shelf = shelf or Shelf(sizes.sparkSession, "targets")
     by = sizes.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    by = by.withColumn("weight", weight(rank)).withColumn("cap", F.col("source_size") * F.lit(most))
-    every = Window.partitionBy()
-    # In order of cap / weight the capped sources come first. With all before a source capped, it is capped too if its cap
-    # is at most its share of what is left.
-    upto = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumns({
-        "total": F.sum("source_size").over(every),
-        "weights": F.sum("weight").over(every),
-        "caps_before": F.coalesce(F.sum("cap").over(upto), F.lit(0)),
-        "weights_before": F.coalesce(F.sum("weight").over(upto), F.lit(0)),
-    })
-    left, open_ = F.col("total") - F.col("caps_before"), F.col("weights") - F.col("weights_before")
-    by = by.withColumn("capped", F.col("cap") * open_ <= F.col("weight") * left)
-    by = by.withColumns({
-        "left": F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every), F.lit(0)),
-        "open": F.col("weights") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("weight"))).over(every), F.lit(0)),
-    })
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("weight") * F.col("left")).cast("double") / F.col("open"))
+    by = shelf.put(ranked(by, shelf).withColumn("weight", weight(F.col("rank"))).withColumn("cap", F.col("source_size") * F.lit(most)).drop("rank"))
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(whole(c)), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("cap", "weight")]
+    total = int(by.agg(F.coalesce(F.sum(whole("source_size")), F.lit(0))).first()[0])
+    every = int(by.agg(*sums).first()["weight"])
+    left, open_, capped = total, every, F.lit(False)
+    while open_:
+        # A source whose share of what is left reaches its cap is capped; shares of the others only grow.
+        capped = whole("cap") * F.lit(open_).cast("decimal(38,0)") <= whole("weight") * F.lit(left).cast("decimal(38,0)")
+        taken = by.where(capped).agg(*sums).first()
+        new = total - int(taken["cap"]), every - int(taken["weight"])
+        if new == (left, open_):
+            break
+        left, open_ = new
+    share = (F.col("weight") * F.lit(left).cast("long")).cast("double") / F.lit(float(max(1, open_)))
+    target = F.when(capped, F.col("cap").cast("double")).otherwise(share)
     return by.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -75,12 +81,13 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     """
     made = ("size", "source_size", "target", "copies", "taken")
     spark = docs.sparkSession
+    shelf = Shelf(spark, "mix")
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     sized = docs.withColumn("size", n_words(docs[text]))
     narrow = keep is not None
     if narrow:  # sizes are written once, so the texts are read once
-        sized = Shelf(spark, "mix").put(sized.select(*dict.fromkeys([*kept, source, key]), "size"))
-    by = source_targets(sized, source=source, size="size", most=most)
+        sized = shelf.put(sized.select(*dict.fromkeys([*kept, source, key]), "size"))
+    by = source_targets(sized, shelf, source=source, size="size", most=most)
     few = by.limit(MOST_SENT + 1).collect()
     s = free_name(sized, "source_of_target")
     right = by.select(F.col("source").alias(s), "source_size", "target")

@@ -61,3 +61,18 @@ def test_odd_rows_many_sources_and_emitting(spark, monkeypatch):
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(mixing.mix(docs).collect(), key=key) == sorted(rows, key=key)
     assert mixing.mix(no_docs(spark)).count() == 0
+
+
+def test_ranks_of_many_sources(spark):
+    """Sources in several ranges, with null and empty names, rank as by one sort."""
+    from strandline.llm.shelf import Shelf
+
+    names = [None, "", "ä", "z", "Z", *(f"s{i * 7919 % 1000:04d}" for i in range(1000))]
+    by = spark.createDataFrame([(x, 1) for x in names], "source string, n int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        rows = mixing.ranked(by, Shelf(spark, "test")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {x: i for i, x in enumerate(sorted(names, key=lambda x: (x is None, (x or "").encode())))}
+    assert {r.source: r["rank"] for r in rows} == want and len(rows) == len(names)
