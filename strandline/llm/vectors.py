@@ -90,11 +90,13 @@ def _search(indexed: DataFrame, q_ids: np.ndarray, q_vecs: list[np.ndarray], k:
                 continue
             matrix = np.stack([vecs[i] for i in rows])
             queries = np.stack([q_vecs[i] for i in asked])
+            # An id may have several vectors: so many vectors hold k + 1 ids at least.
+            want = (k + 1) * int(np.unique(np.concatenate([ids[i] for i in rows]), return_counts=True)[1].max())
             out_q, out_v, out_s = [], [], []
-            for q, visited in zip(asked, index(matrix)(queries, k + 1)):
+            for q, visited in zip(asked, index(matrix)(queries, want)):
                 scores = of(q_vecs[q], matrix[visited])
-                if len(scores) > k + 1:
-                    top = np.flatnonzero(scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
+                if len(scores) > want:
+                    top = np.flatnonzero(scores >= np.partition(scores, len(scores) - want)[len(scores) - want])
                 else:
                     top = np.arange(len(scores))
                 for i in top:
@@ -105,11 +107,14 @@ def _search(indexed: DataFrame, q_ids: np.ndarray, q_vecs: list[np.ndarray], k:
                             out_s.append(scores[i])
             if out_q:
                 q, v, s = np.array(out_q), np.array(out_v), np.array(out_s)
-                keep = np.lexsort((v, -s, q))
-                q, v, s = q[keep], v[keep], s[keep]
+                order = np.lexsort((-s, v, q))  # an id's best score
+                q, v, s = q[order], v[order], s[order]
+                own = np.concatenate([[True], (q[1:] != q[:-1]) | (v[1:] != v[:-1])])
+                q, v, s = q[own], v[own], s[own]
+                order = np.lexsort((v, -s, q))
+                q, v, s = q[order], v[order], s[order]
                 first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-                place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-                near = place < 2 * k  # an id may stand there twice
+                near = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
                 yield pa.RecordBatch.from_arrays([pa.array(q[near], pa.int64()), pa.array(v[near], pa.int64()), pa.array(s[near], pa.int64() if score_type == "long" else pa.float64())], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,3 +99,12 @@ def test_probe_sequence_rises():
     m, cost = 4, lambda j: (j + 1) * (j + 2) / 120 if j < 4 else 1 - (4 - (j - 4)) / 5 + (4 - (j - 4)) * (5 - (j - 4)) / 120
     sums = [sum(cost(j) for j in x) for x in s]
     assert s[0] == () and sums == sorted(sums) and len(set(s)) == 40 and all(2 * m - 1 - j not in x for x in s for j in x)
+
+
+@pytest.mark.parametrize("block", [4096, 23])
+def test_ids_with_many_vectors(spark, block):
+    """Most ids stand with several vectors; the best k distinct ids are found all the same."""
+    r = np.random.default_rng(6)
+    rows = [(int(i), r.normal(size=4).astype(np.float32).tolist()) for i in r.integers(0, 60, 300)] + [(7, r.normal(1, 0.1, 4).astype(np.float32).tolist()) for _ in range(80)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], SCHEMA)
+    assert sorted(tuple(x) for x in threshold_topk.top_products(df, every=20, k=6, block=block).collect()) == brute(rows, 20, 6, product)
