@@ -1,62 +1,21 @@
-"""Tables written between the steps of a job.
-
-Executors come and go, so lineage is cut by writing Parquet to the folder that
-the cluster shares (``spark.checkpoint.dir``), never by a local checkpoint.
-"""
+"""What the operators share: tables between steps, the test tables, batches of texts for Python."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shelf import Shelf, free_name, shared_dir, spread
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a private one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Shelf:
-    """Named tables of one job under the shared folder."""
-
-    def __init__(self, spark: SparkSession, job: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
-        self.written = 0
-
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as read from the file."""
-        self.written += 1
-        path = f"{self.root}/{self.written:04d}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.shelf_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.shelf_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Shelf", "free_name", "lean", "shared_dir", "table", "text_batches"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores until no column of ``df`` has that name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+    """A table; one that fewer tasks than cores would read is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,11 +1,12 @@
 import base64
+import hashlib
 import random
 
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
-from strandline.llm import bpe
+from strandline.llm import bpe, queries
 
 from .odd import no_docs, odd_docs
 
@@ -40,6 +41,24 @@ def test_queue_of_a_long_piece_merges_alike():
         assert V.merge_long(piece) == BRUTE._encode_single_piece(piece) or len(BRUTE._encode_single_piece(piece)) == 1
 
 
+def test_pieces_around_the_bound_of_the_matrix():
+    r = random.Random(8)
+    for n in (1023, 1024, 1025, 100_000):
+        text = "".join(r.choice("abnostein") for _ in range(n))
+        assert bpe.Encoder(V).encode([text])[0].tolist() == BRUTE.encode_ordinary(text)
+
+
+def test_query_against_the_library(spark):
+    d = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in queries.op6_byte_bpe(spark, d).collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for r in docs:
+        ids, got = BRUTE.encode_ordinary(r.text or ""), rows[r.doc_id]
+        assert got.n_tokens == len(ids) and got.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 50)
     e = bpe.Encoder(V)

@@ -180,3 +180,30 @@ def test_clashing_names_in_any_case(spark):
     rows = toxicity.score(docs, toxicity.Model(None, 17, np.array([0.7]), 0.25))
     assert rows.select("toxicity").first()[0] == 0.25 and len(rows.columns) == 6
     assert langid.predict(docs, langid.Constant(["en"], 128)).select("lang_pred").first()[0] == "en"
+
+
+def test_byte_pair_tables_equal_the_plain_convolution(spark):
+    """The prediction of a text against the trained net's filters, window by window."""
+    r = np.random.default_rng(12)
+    net = TextConv([256], 5, langid.WIDTHS, 6, [3], seed=4)
+    net.bias += r.normal(0, 0.2, len(net.bias)).astype(np.float32)
+    model = langid.Model(["a", "b", "c"], net, 32)
+    for n in (1, 5, 32, 33, 100, 700):
+        data = r.integers(32, 255, n).astype(np.uint8)
+        windows, counts = langid.cut(data, np.array([0, n]), 32)
+        logs = []
+        for w in windows:
+            e = net.tables[0][w.astype(int)]
+            pooled = [np.max([sum(e[at + j] @ k[j] for j in range(width)) for at in range(32 - 3)], 0) for width, k in zip(net.widths, net.kernels)]
+            logs.append(np.log(langid.softmax(net.logits(np.concatenate(pooled)[None])[0])[0]))
+        mean = langid.softmax(np.mean(logs, 0))
+        best, score = model.predict(windows, counts)
+        assert best[0] == mean.argmax() and abs(score[0] - mean.max()) < 1e-4
+
+
+def test_all_languages_are_learned(spark):
+    """More languages than the total of windows is meant for: each gives one text at least, and repeats count once."""
+    rows = [(i, f"{chr(97 + i % 12) * 40} text {i}", f"l{i % 12}") for i in range(400)] * 2 + [(1000, None, "x"), (1001, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, how=langid.Fit(documents=5, windows=4, languages=2))
+    assert model.languages == sorted(f"l{i}" for i in range(12))
