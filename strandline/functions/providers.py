@@ -52,43 +52,71 @@ def lexicon_sentiment(scores: dict[str, float]) -> Expression:
 
 
 def hashed_embedding(dim: int = 64) -> Expression:
-    """Signed counts of hashed words in ``dim`` places, scaled to length 1."""
+    """Signed counts of hashed words in ``dim`` places, scaled to length 1. The words are sorted by place once."""
 
     def embed(text: Column) -> Column:
         h = F.transform(t.words(text), lambda w: F.xxhash64(w))
-        place = lambda x: F.pmod(x, F.lit(dim))
-        sign = lambda x: F.when(F.pmod(F.shiftright(x, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(h, lambda x: place(x) == i), F.lit(0.0), lambda a, x: a + sign(x)))
-        size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(0.0).cast("float"))
+        code = lambda x: F.pmod(x, F.lit(dim)) * 2 + F.pmod(F.shiftright(x, 32), F.lit(2))
+
+        def counted(rows: Column) -> Column:
+            n = F.size(rows)
+            places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+            starts = F.filter(places, lambda i: (i == 1) | (F.element_at(rows, i) != F.element_at(rows, F.greatest(i - 1, F.lit(1)))))
+            runs = lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(rows, i).alias("code"), (F.coalesce(F.get(at, k + 1), n + 1) - i).alias("n")))
+            return t.let(starts, runs)
+
+        def summed(runs: Column) -> Column:
+            own = lambda i, sign: F.aggregate(F.filter(runs, lambda x: x["code"] == i * 2 + sign), F.lit(0.0), lambda a, x: a + x["n"])
+            return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: own(i, 0) - own(i, 1))
+
+        def scaled(counts: Column) -> Column:
+            length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+            return t.let(length, lambda size: F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(0.0).cast("float")))
+
+        return t.let(t.let(t.let(F.array_sort(F.transform(h, code)), counted), summed), scaled)
 
     return embed
 
 
 class Chat(Protocol):
-    """A language model. ``override`` replaces the persona for a task."""
+    """A language model. ``task`` is ``grade`` (is the context of use for the question, yes or no), ``rewrite`` (a better question) or ``answer``."""
 
-    def __call__(self, query: str, context: list[dict], history: list[dict], override: str | None = None) -> str: ...
+    def __call__(self, task: str, question: str, context: list[dict], history: list[dict]) -> str: ...
 
 
 class ExtractiveChat:
     """Grades by shared words, rewrites by dropping short words, answers with the first context text."""
 
-    def __call__(self, query: str, context: list[dict], history: list[dict], override: str | None = None) -> str:
-        if override is None:
-            return context[0]["text"] if context else "I don't know."
-        if "YES or NO" in override:
-            data, _, question = query.partition(" Is this relevant to ")
-            return "YES" if self._words(data) & self._words(question) else "NO"
-        if "new string" in override:
-            return " ".join(w for w in query.split(": ", 1)[-1].split() if len(w) > 3) or query
-        return ""
+    def __call__(self, task: str, question: str, context: list[dict], history: list[dict]) -> str:
+        if task == "grade":
+            known = set().union(*(self._words(str(c.get("text") or "")) for c in context)) if context else set()
+            return "YES" if known & self._words(question) else "NO"
+        if task == "rewrite":
+            return " ".join(w for w in question.split() if len(w) > 3) or question
+        return context[0]["text"] if context else "I don't know."
 
     @staticmethod
     def _words(x: str) -> set[str]:
         return {w for w in re.findall(r"\w+", x.lower()) if len(w) > 3}
 
 
+#: What a model is told for a task that isn't an answer; own wording, to be replaced at will.
+TASKS = {
+    "grade": "You judge search results. Reply with one word: YES if they help with the question, else NO.",
+    "rewrite": "You improve search queries. Reply with the improved query and nothing else.",
+}
+
+
+def prompted(send: Callable[[list[dict]], str], persona: str, turns: int = 4, shown: int = 500) -> Chat:
+    """A ``Chat`` from a function that takes messages; a grade sees ``shown`` characters of the context."""
+
+    def chat(task: str, question: str, context: list[dict], history: list[dict]) -> str:
+        asked = f"Results: {str(context)[:shown]}\nQuestion: {question}" if task == "grade" else question
+        return send(messages(asked, context, history, persona, TASKS.get(task), turns))
+
+    return chat
+
+
 def safe(call: Callable[[], str]) -> str:
     """Errors of a model come back as text."""
     try:

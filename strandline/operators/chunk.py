@@ -41,7 +41,7 @@ def exploded(docs: DataFrame, p: Params, *, text: str = "content_body") -> DataF
     """``docs`` with ``ordinal, first, last, text_content``, a row for each chunk, in place of ``text``. No shuffle."""
     body = t.prefix(F.col(text), p.chunk_chars)
     made, sizes, bounds = (free_name(docs, c) for c in ("pieces", "sizes", "bounds"))
-    pieces = docs.withColumn(made, F.when(F.length(body) > 0, t.sentences(body)).otherwise(F.array().cast("array<string>")))
+    pieces = docs.withColumn(made, F.when(F.length(body) > 0, p.split(body)).otherwise(F.array().cast("array<string>")))
     sized = pieces.withColumn(sizes, F.transform(made, lambda x: F.length(x)))
     rest = [c for c in docs.columns if c != text]
     out = sized.select(*rest, made, F.posexplode(chunk_bounds(F.col(sizes), p)).alias("ordinal", bounds))

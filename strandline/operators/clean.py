@@ -28,7 +28,7 @@ def document_grams(docs: DataFrame, p: Params, *, text: str = "raw_text") -> Dat
 def phrase_frequency(docs: DataFrame, p: Params, *, text: str = "raw_text", key: str = "episode_id") -> DataFrame:
     """``gram, df`` of the n-grams that occur in at least ``min_phrase_docs`` documents."""
     if p.mining_sample is not None:
-        docs = docs.orderBy(F.xxhash64(F.col(key), F.lit(42)), key).limit(p.mining_sample)
+        docs = docs.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(":42"))), key).limit(p.mining_sample)
     grams = document_grams(docs, p, text=text).withColumn("h", F.xxhash64("gram"))
     often = grams.groupBy("h").count().where(F.col("count") >= p.min_phrase_docs).select("h")
     often = Shelf(docs.sparkSession, "phrases").put(often)
@@ -60,7 +60,7 @@ def _third(sentence: Column, phrases: list[str], p: Params) -> Column:
 
 def _pieces(text: Column, phrases: list[str] | None, p: Params) -> Column:
     """``pos, sentence, rule`` of each sentence that isn't empty; rule 3 only if the phrases are given."""
-    stripped = F.transform(t.sentences(F.coalesce(text, F.lit(""))), t.strip)
+    stripped = F.transform(p.split(F.coalesce(text, F.lit(""))), t.strip)
 
     def marked(x: Column, i: Column) -> Column:
         first = _rule(x, p)

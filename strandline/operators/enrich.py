@@ -18,7 +18,7 @@ from ..sources.shelf import free_name
 
 def sentence_stats(text: Column, p: Params) -> Column:
     """``n_sentences, n_words, n_long, long_words, chaos, mean`` of a text; ``long``: sentences above the least length."""
-    counts = s.token_counts(t.sentences(t.prefix(text, p.feature_chars)))
+    counts = s.token_counts(p.split(t.prefix(text, p.feature_chars)))
 
     def stats(x: Column) -> Column:
         every, m = x["every"], x["long"]
@@ -89,14 +89,15 @@ def concept_list(text: Column, p: Params, concepts: Expression | None = None) ->
     return F.when(F.length(text) >= p.min_feature_chars, listed).otherwise(F.array().cast("array<string>"))
 
 
-def features(docs: DataFrame, p: Params, *, text: str = "content_body", sentiment: Expression | None = None) -> DataFrame:
-    """``docs`` with all features of one row.
+def features(docs: DataFrame, p: Params, *, text: str = "content_body", sentiment: Expression | None = None, lemmas: Expression | None = None) -> DataFrame:
+    """``docs`` with all features of one row. ``lemmas`` turns an array of lower-cased words into their lemmas.
 
     A null text or one below ``min_feature_chars`` characters has zeros; without a long sentence only the sentiment stays.
     """
     body = F.col(text)
     mood = s.round2((sentiment or lexicon_sentiment({}))(t.prefix(body, p.sentiment_chars)))
     alpha = F.filter(t.words(t.prefix(body, p.feature_chars)), lambda w: w.rlike(r"^\p{L}+$"))
+    alpha = lemmas(alpha) if lemmas else alpha
     stats, letters = free_name(docs, "stats"), free_name(docs, "letters")
     with_stats = docs.withColumn(stats, sentence_stats(body, p)).withColumn(letters, alpha)
     st = F.col(stats)
@@ -113,9 +114,9 @@ def features(docs: DataFrame, p: Params, *, text: str = "content_body", sentimen
     }).drop(stats, letters)
 
 
-def gold(docs: DataFrame, p: Params, *, text: str = "content_body", sentiment: Expression | None = None, concepts: Expression | None = None) -> DataFrame:
+def gold(docs: DataFrame, p: Params, *, text: str = "content_body", sentiment: Expression | None = None, concepts: Expression | None = None, lemmas: Expression | None = None) -> DataFrame:
     """Silver rows with all features and the concept list."""
-    return features(docs, p, text=text, sentiment=sentiment).withColumn("top_concepts", concept_list(F.col(text), p, concepts))
+    return features(docs, p, text=text, sentiment=sentiment, lemmas=lemmas).withColumn("top_concepts", concept_list(F.col(text), p, concepts))
 
 
 def most(df: DataFrame, column: str, key: str, n: int = 3) -> DataFrame:

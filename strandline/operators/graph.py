@@ -44,7 +44,7 @@ def episodes(chunks: DataFrame, p: Params) -> DataFrame:
 def episodes_of(gold: DataFrame, p: Params, *, key: str = "episode_id", text: str = "content_body", guests: str = "nlp_guests") -> DataFrame:
     """The rows of ``episodes`` without a chunk table, from gold rows: chunks are only counted, and nothing is shuffled."""
     body = t.prefix(F.col(text), p.chunk_chars)
-    lengths = F.when(F.length(body) > 0, F.transform(t.sentences(body), lambda x: F.length(x))).otherwise(F.array().cast("array<int>"))
+    lengths = F.when(F.length(body) > 0, F.transform(p.split(body), lambda x: F.length(x))).otherwise(F.array().cast("array<int>"))
     counted = gold.select(
         F.col(key).alias("episode_id"),
         _clean(F.col(guests), False).alias("guests"),
@@ -182,6 +182,11 @@ def shortest_path(edges_: DataFrame, start: str, end: str, hops: int = 4) -> lis
     return _search(links.union(links.select("target", "source")).toDF("at", "next"), shelf, start, end, hops)
 
 
+def path_rows(edges_: DataFrame, start: str, end: str, hops: int = 4) -> DataFrame:
+    """``hop, id`` of ``shortest_path``; no row without one."""
+    return edges_.sparkSession.createDataFrame(list(enumerate(shortest_path(edges_, start, end, hops) or [])), "hop int, id string")
+
+
 def _search(links: DataFrame, shelf: Shelf, start: str, end: str, hops: int) -> list[str] | None:
     if start == end:
         return [start] if links.where(F.col("at") == start).limit(1).count() else None

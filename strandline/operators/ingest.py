@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..params import Params
 from ..sources.files import decoded
 
+# The ids of episodes depend on these three patterns.
 _PART = r"(?i)\(Part\s*(\d+|One|Two|Three)\)"
 _MAIN = r"(?i)Experience\s*#(\d+)\s*-\s*(.*)"
 _FIGHT = r"(?i)MMA Show\s*#(\d+)\s*(?:-\s*with\s*|-\s*|with\s*)(.*)"
@@ -24,10 +26,10 @@ def file_metadata(name: Column) -> Column:
     return F.when(bare.rlike(_MAIN), show("JRE", _MAIN)).when(bare.rlike(_FIGHT), show("MMA", _FIGHT)).otherwise(other)
 
 
-def bronze(files: DataFrame) -> DataFrame:
+def bronze(files: DataFrame, p: Params = Params()) -> DataFrame:
     """One row for each file of ``name, content``."""
     named = files.select(F.col("name").alias("original_filename"), file_metadata(F.col("name")).alias("m"), decoded(F.col("content")).alias("raw_text"))
-    pieces = F.transform(t.sentences(F.col("raw_text")), t.strip)
+    pieces = F.transform(p.split(F.col("raw_text")), t.strip)
     return named.select("m.episode_id", "original_filename", "m.show_type", "m.guest_draft", "raw_text", pieces.alias("sentences"))
 
 

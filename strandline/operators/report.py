@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as s
 from ..functions import text as t
+from ..functions.providers import Expression
 
 
 def last_turns(conversations: DataFrame, n: int = 4) -> DataFrame:
@@ -47,7 +48,7 @@ def trace_report(traces: DataFrame) -> DataFrame:
     )
 
 
-def token_estimate(files: DataFrame, text: str = "text") -> DataFrame:
-    """``files, tokens``: words as an estimate of tokens, for want of the tokenizer's data."""
-    n = F.coalesce(F.sum(t.word_count(F.col(text)).cast("long")), F.lit(0)).cast("long")
+def token_estimate(files: DataFrame, text: str = "text", count: Expression | None = None) -> DataFrame:
+    """``files, tokens``: tokens by ``count``, which gives a text's number; without it words, as an estimate."""
+    n = F.coalesce(F.sum((count or t.word_count)(F.col(text)).cast("long")), F.lit(0)).cast("long")
     return files.agg(F.count(F.lit(1)).alias("files"), n.alias("tokens"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scoring as s
 from ..functions.providers import Expression, hashed_embedding
@@ -29,20 +35,66 @@ def nearest(table: DataFrame, query: list[float], k: int = 3, *, key: str = "chu
     return table.withColumn("distance", s.squared_distance(F.col("vector"), q)).orderBy("distance", key).limit(k)
 
 
-def nearest_each(table: DataFrame, queries: DataFrame, k: int = 3, *, key: str = "vec_id", most: int = 10_000, own: bool = False) -> DataFrame:
-    """``query_id, rank, key, distance``: the ``k`` nearest rows of each of at most ``most`` queries of ``query_id, query``.
+#: Rows and queries of a block.
+BLOCK = 16_384
+
+
+def nearest_each(table: DataFrame, queries: DataFrame, k: int = 3, *, key: str = "vec_id", own: bool = False, block: int = BLOCK) -> DataFrame:
+    """``query_id, rank, key, distance``: the ``k`` nearest rows of each query of ``query_id, query``; any number of queries.
 
-    The queries are checked to be few and travel as one array, so the table is read once; each task keeps ``k`` rows for
-    a query before the exchange. Unless ``own`` a row isn't its own neighbour.
+    Rows and queries are dealt into blocks and every block of queries meets every block of rows, so a task holds one of each;
+    of a pair of blocks only ``k`` rows for a query are exchanged. Ties go to the smaller key. Unless ``own`` a row isn't its
+    own neighbour. Null vectors, and vectors of another length than the query's, aren't compared.
     """
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: search in parts")
-    every = queries.agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    each = table.select(key, "vector").join(F.broadcast(every)).select(key, "vector", F.explode("qs").alias("q"))
-    each = each if own else each.where(F.col("q.query_id") != F.col(key))
-    scored = each.select(F.col("q.query_id").alias("query_id"), key, s.squared_distance(F.col("vector"), F.col("q.query")).alias("distance"))
+    rows = table.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    asked = queries.select(F.col("query_id").alias("id"), F.col("query").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    parts = lambda df: max(1, -(-df.count() // block))
+    n_rows, n_asked = parts(rows), parts(asked)
+    dealt = lambda df, mine, its, other, n: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(its))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    left, right = dealt(asked, "i", n_asked, "j", n_rows), dealt(rows, "j", n_rows, "i", n_asked)
+    types = [T.StructField("query_id", asked.schema["id"].dataType), T.StructField(key, rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())]
+    names = [f.name for f in types]
+
+    def search(_, a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, near = ([x.as_py() for x in t.column("id")] for t in (a, b))
+        vecs, rows_ = ([np.array(x, float) for x in t.column("v").to_pylist()] for t in (a, b))
+        sizes, out = np.array([len(x) for x in rows_]), []
+        for size in {len(x) for x in vecs} & set(sizes.tolist()):
+            at = np.flatnonzero(sizes == size)
+            matrix = np.stack([rows_[i] for i in at])
+            for q, v in zip(ids, vecs):
+                if len(v) != size:
+                    continue
+                d = ((matrix - v) ** 2).sum(1)
+                few = at if len(d) <= k + 1 else np.flatnonzero(d <= np.partition(d, k)[k])
+                few = np.arange(len(d)) if len(d) <= k + 1 else few
+                best = sorted((d[i], near[at[i]]) for i in few.tolist() if own or near[at[i]] != q)[:k]
+                out.extend((q, i, x) for x, i in best)
+        columns = list(zip(*out)) or [[], [], []]
+        return pa.table({n: pa.array(list(c), to_arrow_type(f.dataType)) for n, c, f in zip(names, columns, types)})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(search, T.StructType(types))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+
+
+def embedded_in_batches(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], *, text: str = "text_content", batch: int = 128) -> DataFrame:
+    """``chunks`` with ``vector``, of length 1, from a model: ``encode`` gets at most ``batch`` texts and gives a row for each.
+
+    It is called in the tasks; a null text is an empty one.
+    """
+    schema = T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                got = np.asarray(encode([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]), np.float64)
+                length = np.linalg.norm(got, axis=1, keepdims=True)
+                got = np.where(length > 0, got / np.where(length > 0, length, 1), got).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(got), pa.list_(pa.float32()))], names=[*part.schema.names, "vector"])
+
+    return chunks.mapInArrow(run, schema)
 
 
 def label_agreement(hits: DataFrame, labels: DataFrame, *, key: str = "vec_id", label: str = "label") -> DataFrame:
@@ -54,7 +106,7 @@ def label_agreement(hits: DataFrame, labels: DataFrame, *, key: str = "vec_id",
 
 
 def centroids(table: DataFrame, *, group: str = "label") -> DataFrame:
-    """``query_id, query``: the mean vector of each group."""
+    """``query_id, query``: the mean vector of each group. Partial sums keep one row for a place, group and task."""
     each = table.select(group, F.posexplode("vector").alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s_: s_["x"])
     return each.groupBy(F.col(group).alias("query_id")).agg(listed.alias("query"))

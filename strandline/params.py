@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
+from .functions import text as t
+
 # The lists and numbers below must be these for equal results.
 KNOWN_SPONSORS = (
     "draftkings", "athletic greens", "ag1", "meundies", "squarespace", "expressvpn", "nordvpn", "cash app", "betterhelp",
@@ -47,7 +52,7 @@ class Lexicons:
 
 @dataclass(frozen=True)
 class Params:
-    """Numbers of all stages. Prefix lengths of ``None`` read whole texts; ``bounded()`` has the fixed prefixes."""
+    """Numbers of all stages, and ``split``, which gives a text's sentences. Prefix lengths of ``None`` read whole texts; ``bounded()`` has the fixed prefixes."""
 
     lexicons: Lexicons = field(default_factory=Lexicons)
     ngram: int = 6
@@ -80,6 +85,7 @@ class Params:
     concept_chars: int | None = None
     name_chars: int | None = None
     chunk_chars: int | None = None
+    split: Callable[[Column], Column] = t.sentences
 
     @classmethod
     def bounded(cls, **more) -> Params:

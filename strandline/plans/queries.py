@@ -8,6 +8,7 @@ these tables; the lists of ``Params()`` hardly occur in them.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..functions.providers import lexicon_sentiment
 from ..operators import chunk, clean, enrich, graph, ingest, report, vectors
 from ..operators.agent import graph_facts, hybrid
 from ..params import Lexicons, Params
+from ..sources import files, sinks
 from ..sources.files import table
 from ..sources.shelf import Shelf, spread
 from ..streaming.ingest import windowed_events
@@ -197,8 +199,10 @@ def vector_norms(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
+    """The rows whose id is divisible by 100 against all others."""
     own = _vectors(spark, sf_dir)
-    return vectors.nearest_each(own, vectors.centroids(own), 3, own=True)
+    asked = own.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    return vectors.nearest_each(own, asked, 3)
 
 
 def knn_topk(spark, sf_dir):
@@ -206,9 +210,82 @@ def knn_topk(spark, sf_dir):
 
 
 def knn_label_agreement(spark, sf_dir):
-    labels = table(spark, f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
-    hits = _hits(spark, sf_dir).join(labels, "vec_id")
-    return hits.groupBy(F.col("query_id").alias("label")).agg(F.countDistinct("vec_id").alias("found"), s.round2(100 * F.avg((F.col("label") == F.col("query_id")).cast("int"))).alias("agreement"))
+    return vectors.label_agreement(_hits(spark, sf_dir), table(spark, f"{sf_dir}/embeddings.parquet"))
+
+
+def knn_centroids(spark, sf_dir):
+    """The rows nearest to the mean of each label."""
+    own = _vectors(spark, sf_dir)
+    return vectors.nearest_each(own, vectors.centroids(own), 3, own=True).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+def graph_schema(spark, sf_dir):
+    own = _episodes(spark, sf_dir)
+    return files.graph_schema(graph.nodes(own, PARAMS), graph.edges_of(graph.valid_episodes(own, PARAMS)))
+
+
+def merged_nodes(spark, sf_dir):
+    """Persons are in both parts."""
+    own = graph.nodes(_episodes(spark, sf_dir), PARAMS)
+    return graph.merged_nodes(own, own.where("type = 'PERSON'"))
+
+
+def episode_rows(spark, sf_dir):
+    """Episodes again from their chunks, of which only some have a guest list."""
+    gold = enrich.gold(_body(spark, sf_dir), PARAMS, text="text").withColumn("nlp_guests", F.array("source"))
+    some = F.when(F.col("chunk_id") >= F.concat("episode_id", F.lit("-0001")), F.col("guest_list"))
+    chunks = chunk.chunks(gold, PARAMS, key="doc_id", text="text").withColumn("guest_list", some)
+    return graph.episodes(chunks, PARAMS).select("episode_id", F.array_join("guests", ",").alias("guests"), F.array_join("concepts", ",").alias("concepts"), "n_chunks", "last_chunk", "chaos")
+
+
+def nlp_guests(spark, sf_dir):
+    return _silver(spark, sf_dir).select("doc_id", F.array_join("nlp_guests", "|").alias("guests"))
+
+
+def sampled_phrases(spark, sf_dir):
+    """Phrases of a fixed sample of 300 documents: the sampling operator."""
+    return clean.phrase_frequency(_body(spark, sf_dir), replace(PARAMS, mining_sample=300), text="text", key="doc_id")
+
+
+def bronze_rows(spark, sf_dir):
+    """Documents as raw files."""
+    raw = filename_metadata_of(_docs(spark, sf_dir)).select("name", F.col("text").cast("binary").alias("content"))
+    return ingest.bronze(raw, PARAMS).select("episode_id", "original_filename", "show_type", "guest_draft", F.md5("raw_text").alias("digest"), F.size("sentences").cast("long").alias("n_sentences"))
+
+
+def audit_lines(spark, sf_dir):
+    found = raw_audit(spark, sf_dir)
+    return ingest.audit_report(found)
+
+
+def audit_summary(spark, sf_dir):
+    return ingest.audit_summary(raw_audit(spark, sf_dir))
+
+
+def bare_replies(spark, sf_dir):
+    """Turns as a model would fence them, without the fence."""
+    talks = table(spark, f"{sf_dir}/conversations.parquet")
+    fenced = F.concat(F.lit("```cypher\n"), F.trim("text"), F.lit("\n```"))
+    return talks.select("conv_id", "turn", "role", F.md5(t.without_fences(fenced)).alias("digest"))
+
+
+def exports(spark, sf_dir):
+    """Each writer's files, read again: kind, rows and the sum of ids."""
+    shelf = Shelf(spark, "exports")
+    rows = _docs(spark, sf_dir).select("doc_id", "lang", F.concat(F.lit('a "quoted", '), F.col("source")).alias("source"))
+    sinks.parquet(rows, f"{shelf.root}/p", rows_per_file=100, by=["lang"])
+    sinks.csv(rows, f"{shelf.root}/c")
+    sinks.jsonl(rows, f"{shelf.root}/j")
+    sinks.lines(rows.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "source").alias("value")), f"{shelf.root}/l")
+    line = F.split("value", "\t")
+    again = {
+        "csv": spark.read.csv(f"{shelf.root}/c", schema=rows.schema, header=True, escape='"').select("doc_id", "source"),
+        "jsonl": spark.read.schema(rows.schema).json(f"{shelf.root}/j").select("doc_id", "source"),
+        "lines": spark.read.text(f"{shelf.root}/l").select(line[0].cast("long").alias("doc_id"), line[1].alias("source")),
+        "parquet": spark.read.parquet(f"{shelf.root}/p").select("doc_id", "source"),
+    }
+    each = [df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"), F.sum(F.length("source").cast("long")).alias("chars")) for kind, df in again.items()]
+    return reduce(DataFrame.union, each)
 
 
 def history_window(spark, sf_dir):
@@ -241,7 +318,8 @@ def token_count(spark, sf_dir):
     return report.token_estimate(_docs(spark, sf_dir))
 
 
-def filename_metadata(spark, sf_dir):
+def filename_metadata_of(docs):
+    """With ``name``, a file name of each of the known forms in turn."""
     name = F.concat(
         F.element_at(F.array(*map(F.lit, ("The Experience #", "MMA Show #", "the experience  #", "Best of #"))), (F.col("doc_id") % 4 + 1).cast("int")),
         F.col("doc_id").cast("string"),
@@ -249,7 +327,11 @@ def filename_metadata(spark, sf_dir):
         F.col("source"),
         F.element_at(F.array(*map(F.lit, (".txt", " (Part Two).txt", " (part 3) .txt"))), (F.col("doc_id") % 3 + 1).cast("int")),
     )
-    return _docs(spark, sf_dir).select(name.alias("name")).select("name", ingest.file_metadata(F.col("name")).alias("m")).select("name", "m.*")
+    return docs.withColumn("name", name)
+
+
+def filename_metadata(spark, sf_dir):
+    return filename_metadata_of(_docs(spark, sf_dir)).select("name", ingest.file_metadata(F.col("name")).alias("m")).select("name", "m.*")
 
 
 def raw_audit(spark, sf_dir):
@@ -283,5 +365,7 @@ QUERIES = {
         host_corpus, visual_corpus, valid_concepts, graph_nodes, edges_discussed, edges_cooccur, edge_upsert, topic_authority,
         chaos_edges, entity_neighbors, shortest_connection, vector_norms, knn_topk, knn_label_agreement, history_window,
         steps_report, latency_report, trace_report, token_count, filename_metadata, raw_audit, hybrid_retrieval, preview, events_by_day,
+        knn_centroids, graph_schema, merged_nodes, episode_rows, nlp_guests, sampled_phrases, bronze_rows, audit_lines, audit_summary,
+        bare_replies, exports,
     )
 }

@@ -165,15 +165,21 @@ vn AS (SELECT vec_id, label, embedding AS e, sqrt(list_sum(list_transform(embedd
 vu AS (SELECT vec_id, label, length, CASE WHEN length > 0 THEN list_transform(e, lambda x: (x::DOUBLE / length)::FLOAT) ELSE e END AS v FROM vn)
 """
 NORMS = f"WITH {_UNIT} SELECT vec_id, round(length, 5) AS length, round(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS unit_length FROM vu"
-_NEAR = f"""{_UNIT},
+_MEANS = f"""{_UNIT},
 vx AS (SELECT label, generate_subscripts(v, 1) AS pos, unnest(v)::DOUBLE AS x FROM vu),
 vm AS (SELECT label, pos, avg(x) AS x FROM vx GROUP BY ALL),
 vc AS (SELECT label AS query_id, list(x ORDER BY pos) AS q FROM vm GROUP BY label),
-vd AS (SELECT query_id, vec_id, label, list_sum(list_transform(range(1, len(q) + 1), lambda i: (v[i]::DOUBLE - q[i]) * (v[i]::DOUBLE - q[i]))) AS distance FROM vu, vc),
+vd AS (SELECT query_id, vec_id, list_sum(list_transform(range(1, len(q) + 1), lambda i: (v[i]::DOUBLE - q[i]) * (v[i]::DOUBLE - q[i]))) AS distance FROM vu, vc),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM vd QUALIFY rank <= 3)
+"""
+CENTROIDS = f"WITH {_MEANS} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM hits"
+_NEAR = f"""{_UNIT},
+vd AS (SELECT a.vec_id AS query_id, a.label AS label, b.vec_id, b.label AS found, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (b.v[i]::DOUBLE - a.v[i]::DOUBLE) * (b.v[i]::DOUBLE - a.v[i]::DOUBLE))) AS distance
+       FROM vu a JOIN vu b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM vd QUALIFY rank <= 3)
 """
 KNN = f"WITH {_NEAR} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM hits"
-AGREEMENT = f"WITH {_NEAR} SELECT query_id AS label, count(DISTINCT vec_id) AS found, round_even(100 * avg((label = query_id)::INT), 2) AS agreement FROM hits GROUP BY query_id"
+AGREEMENT = f"WITH {_NEAR} SELECT label, count(DISTINCT query_id) AS queries, round_even(100 * avg((label = found)::INT), 2) AS agreement FROM hits GROUP BY label"
 
 HISTORY = "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 4"
 STEPS = "WITH c AS (SELECT conv_id, max((role = 'system')::INT) AS r FROM conversations GROUP BY conv_id) SELECT count(*) AS runs, round_even(100 * avg(r), 2) AS rate FROM c"
@@ -206,7 +212,30 @@ UNION ALL SELECT 1, 'label ' || label, vec_id::VARCHAR, 0.0::DOUBLE FROM mh
 PREVIEW = "SELECT doc_id, replace(substr(text, 1, 100), chr(10), ' ') || '...' AS preview FROM documents"
 BY_DAY = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
+_SCHEMA = "SELECT 'label' AS kind, type AS name FROM (SELECT 'PERSON' AS type FROM ep UNION SELECT 'CONCEPT' FROM vc) UNION SELECT 'relationship', type FROM edge"
+GRAPH_SCHEMA = _graph(_SCHEMA)
+EPISODES = _graph("""
+, tl AS (SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS concepts FROM tc GROUP BY doc_id)
+SELECT ep.doc_id AS episode_id, CASE WHEN n_chunks > 1 THEN source ELSE '' END AS guests, coalesce(concepts, '') AS concepts, n_chunks, last_chunk, chaos FROM ep LEFT JOIN tl ON ep.doc_id = tl.doc_id
+""")
+_BLOCKED = ", ".join(f"'{x}'" for x in LEXICONS.blocked_names)
+GUESTS = f"""WITH {_SILVER},
+gn AS (SELECT doc_id, list_filter(regexp_extract_all(body, '\\p{{Lu}}[\\p{{Ll}}]+ \\p{{Lu}}[\\p{{Ll}}]+'), lambda x: length(x) > 3 AND lower(x) NOT IN ({_BLOCKED})) AS l FROM silver)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], '|') AS guests FROM gn"""
+SAMPLED = f"WITH {_MINED.replace('FROM documents', 'FROM (SELECT * FROM documents ORDER BY md5(doc_id || chr(58) || 42), doc_id LIMIT 300)')} SELECT gram, df FROM mined"
+BRONZE = FILES.replace("SELECT name, CASE WHEN j.n", "SELECT name AS original_filename, md5(text) AS digest, len(pieces)::BIGINT AS n_sentences, CASE WHEN j.n").replace("AS name FROM documents)", f"AS name, text, {_PIECES} AS pieces FROM documents)").replace("SELECT name, trim", "SELECT name, text, pieces, trim")
+AUDIT_LINES = f"""
+WITH a AS ({AUDIT}),
+s AS (SELECT ['files: ' || count(*), 'too small: ' || sum(too_small::INT), 'unreadable: ' || sum((NOT valid_utf8)::INT)] AS l FROM a)
+SELECT unnest(l) AS value FROM s UNION ALL SELECT 'small: ' || name || ' (' || length || ' bytes)' FROM a WHERE too_small UNION ALL SELECT name FROM a"""
+AUDIT_SUMMARY = f"WITH a AS ({AUDIT}) SELECT count(*) AS files, sum(too_small::INT)::BIGINT AS too_small, sum((NOT valid_utf8)::INT)::BIGINT AS unreadable FROM a"
+REPLIES = f"SELECT conv_id, turn, role, md5({_STRIPPED.replace('(x,', '(trim(text),')}) AS digest FROM conversations"
+EXPORTS = "SELECT unnest(['csv', 'jsonl', 'lines', 'parquet']) AS kind, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length('a \"quoted\", ' || source))::BIGINT AS chars FROM documents"
+
 ORACLE_SQL = {
+    "knn_centroids": CENTROIDS, "graph_schema": GRAPH_SCHEMA, "merged_nodes": NODES, "episode_rows": EPISODES, "nlp_guests": GUESTS,
+    "sampled_phrases": SAMPLED, "bronze_rows": BRONZE, "audit_lines": AUDIT_LINES, "audit_summary": AUDIT_SUMMARY, "bare_replies": REPLIES,
+    "exports": EXPORTS,
     "sentence_stats": SENTENCE_STATS, "chaos_score": CHAOS, "high_chaos_topk": CHAOS_TOP, "complexity_score": COMPLEXITY,
     "sentiment": SENTIMENT, "phrase_hits": PHRASE_HITS, "business_start": BUSINESS, "top_concepts": TOP_CONCEPTS,
     "ngram_doc_freq": NGRAMS, "toxic_phrases": TOXIC, "ad_sentence_rules": AD_RULES, "clean_text_digest": CLEAN,

@@ -36,6 +36,21 @@ def ordered_parts(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.input_file_name())
 
 
+def last_by_part(df: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows of a key the one from the last file by name; of several there the greatest."""
+    row = F.struct("part", *(c for c in df.columns if c not in ("part", *keys)))
+    last = df.groupBy(*keys).agg(F.max(row).alias("last"))
+    return last.select(*(c if c in keys else F.col("last")[c].alias(c) for c in df.columns))
+
+
+def required(spark: SparkSession, *paths: str) -> None:
+    """A plain error that names the inputs that a stage lacks, before it starts."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    missing = [p for p in paths if not (path := jvm.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)]
+    if missing:
+        raise FileNotFoundError("missing: " + ", ".join(missing))
+
+
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of ``category`` and ``query``."""
     return spark.read.schema(schemas.PROMPTS).option("multiLine", True).json(path)

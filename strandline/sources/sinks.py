@@ -43,10 +43,28 @@ def head(df: DataFrame, n: int = 10) -> str:
 
 def replace_table(df: DataFrame, name: str) -> None:
     """A catalogue table with these rows: written beside, then put in place, so a failed write keeps the old table."""
-    spark, new = df.sparkSession, f"{name}_{uuid.uuid4().hex[:8]}"
+    spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
+    new, old = f"{name}_{mark}", f"{name}_{mark}_old"
     df.write.format("parquet").saveAsTable(new)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    had = spark.catalog.tableExists(name)
+    if had:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    except Exception:
+        if had:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        raise
+    if had:
+        spark.sql(f"DROP TABLE {old}")
+
+
+def append_table(df: DataFrame, name: str) -> None:
+    """More rows for a catalogue table, by column name; the first ones make it."""
+    if df.sparkSession.catalog.tableExists(name):
+        df.select(*df.sparkSession.table(name).columns).write.insertInto(name)
+    else:
+        df.write.format("parquet").saveAsTable(name)
 
 
 def unique(df: DataFrame, *keys: str) -> bool:
@@ -54,9 +72,9 @@ def unique(df: DataFrame, *keys: str) -> bool:
     return not df.groupBy(*keys).count().where("count > 1").limit(1).count()
 
 
-def vectors(df: DataFrame, name: str, vector: str) -> None:
-    """A vector table with the column named ``vector``."""
-    replace_table(df.withColumnRenamed(vector, "vector"), name)
+def vectors(df: DataFrame, name: str, vector: str, append: bool = False) -> None:
+    """A vector table with the column named ``vector``: anew, or more rows for it."""
+    (append_table if append else replace_table)(df.withColumnRenamed(vector, "vector"), name)
 
 
 def in_batches(df: DataFrame, rows: int, send: Callable[[list[dict]], None]) -> None:

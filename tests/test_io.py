@@ -55,6 +55,15 @@ def test_sinks(spark, tmp_path):
     sinks.vectors(spark.createDataFrame([(1, [1.0])], "id int, embeddings array<float>"), "vecs", "embeddings")
     sinks.vectors(spark.createDataFrame([(2, [1.0])], "id int, embeddings array<float>"), "vecs", "embeddings")
     assert [tuple(r) for r in spark.table("vecs").collect()] == [(2, [1.0])]
+    sinks.vectors(spark.createDataFrame([([3.0], 3)], "embeddings array<float>, id int"), "vecs", "embeddings", append=True)
+    assert sorted(r.id for r in spark.table("vecs").collect()) == [2, 3] and not [t.name for t in spark.catalog.listTables() if t.name.startswith("vecs_")]
+    for name, n in (("b", 1), ("a", 2)):
+        df.limit(1).selectExpr("id", f"{n} AS n").coalesce(1).write.parquet(str(tmp_path / "parts" / name))
+    parts = files.ordered_parts(spark.read.parquet(str(tmp_path / "parts" / "a"), str(tmp_path / "parts" / "b")))
+    assert [(r.id, r.n) for r in files.last_by_part(parts, "id").collect()] == [(df.first().id, 1)]
+    files.required(spark, str(tmp_path / "p"))
+    with pytest.raises(FileNotFoundError, match="nowhere"):
+        files.required(spark, str(tmp_path / "p"), str(tmp_path / "nowhere"))
     assert files.ordered_parts(files.table(spark, str(tmp_path / "p"))).select("part").distinct().count() > 2
 
 

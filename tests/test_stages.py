@@ -6,9 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandline.functions import scoring, text
-from strandline.functions.providers import ExtractiveChat, capitalised_names, hashed_embedding, messages, safe
+from strandline.functions.providers import ExtractiveChat, capitalised_names, hashed_embedding, messages, prompted, safe
 from strandline.operators import chunk, clean, enrich, graph, ingest, report, vectors
-from strandline.operators.agent import Agent, Api, State
+from strandline.operators.agent import Agent, Api, State, planned
 from strandline.params import Params
 
 P = Params()
@@ -217,14 +217,76 @@ def test_nearest_vectors(spark):
     assert abs(sum(x * x for x in rows[0].vector) - 1) < 1e-5 and set(rows[1].vector) == {0.0}
 
 
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=3).tolist()) for i in range(90)] + [(100 + i, [1.0, 0.0, 0.0]) for i in range(9)] + [(200, None), (201, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    asked = spark.createDataFrame(rows, "query_id long, query array<double>")
+    want = []
+    for q, v in rows:
+        if v:
+            near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), i) for i, w in rows if w and i != q and len(w) == len(v))[:3]
+            want += [(q, n + 1, i, round(d, 9)) for n, (d, i) in enumerate(near)]
+    for block in (16_384, 10):
+        got = vectors.nearest_each(table, asked, 3, block=block).collect()
+        assert sorted((x.query_id, x["rank"], x.vec_id, round(x.distance, 9)) for x in got) == sorted(want)
+    empty = table.where("vec_id < 0")
+    assert vectors.nearest_each(empty, asked, 3).count() == 0 == vectors.nearest_each(table, empty.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), 3).count()
+
+
+def test_embedding_by_a_model_in_batches(spark):
+    import numpy as np
+
+    def encode(texts):
+        assert 0 < len(texts) <= 4
+        return np.array([[len(x), 3.0] for x in texts])
+
+    chunks = spark.createDataFrame([(i, "x" * i if i else None) for i in range(11)], "chunk_id int, text_content string")
+    got = {x.chunk_id: x.vector for x in vectors.embedded_in_batches(chunks, encode, batch=4).collect()}
+    assert len(got) == 11 and got[0] == [0.0, 1.0] and abs(got[4][0] - 0.8) < 1e-6
+
+
+def test_hashed_embedding_equals_a_plain_loop(spark):
+    x = "some words and more words here are some"
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in set(x.split())], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    want = [0.0] * 8
+    for w in x.split():
+        want[h[w] % 8] += 1 if (h[w] >> 32) % 2 == 0 else -1
+    size = sum(v * v for v in want) ** 0.5
+    assert [round(v, 5) for v in values(spark, [(x,)], "x string", hashed_embedding(8)(F.col("x")))[0][0]] == [round(v / size, 5) for v in want]
+
+
+def test_supplied_sentences_lemmas_and_tokens(spark):
+    docs = spark.createDataFrame([("e", "ran runs run | ran a b c | " + "runs ran run x " * 10)], "episode_id string, content_body string")
+    lemma = lambda words: F.transform(words, lambda w: F.when(w.isin("ran", "runs"), "run").otherwise(w))
+    by = Params(split=lambda x: F.split(x, "[|]"))
+    plain, given = (enrich.features(docs, by, lemmas=k).first().complexity_score for k in (None, lemma))
+    assert given < plain and enrich.sentence_stats(F.col("x"), by) is not None
+    assert docs.select(enrich.sentence_stats(F.col("content_body"), by).alias("s")).first().s.n_sentences == 3
+    assert report.token_estimate(docs, "content_body", count=F.length).first().tokens == len(docs.first().content_body)
+
+
+def test_plans_by_known_names(spark):
+    nodes = spark.createDataFrame([("Ann Lee", "PERSON"), ("Ann", "PERSON"), ("ships", "CONCEPT"), ("it", "CONCEPT")], "id string, type string")
+    plan = lambda q: planned({"nodes": nodes}, q)
+    assert plan("How are ann lee and ships connected?") == ("path", {"start": "Ann Lee", "end": "ships"})
+    assert plan("Who knows about ships?") == ("authority", {"concept": "ships"})
+    assert plan("Tell me of Ann Lee") == ("neighbours", {"entity": "Ann Lee"}) and plan("What is it?") == ("persons", {}) == planned({}, "x")
+    assert plan("the most chaotic part") == ("chaos", {})
+    edges = spark.createDataFrame([("Ann", "ships", "DISCUSSED", "e-0", True, 1.0), ("Bo", "ships", "DISCUSSED", "e-1", False, 1.0)], "source string, target string, type string, chunk_id string, chaos boolean, weight double")
+    assert [tuple(r) for r in graph.path_rows(edges, "Ann", "Bo").collect()] == [(0, "Ann"), (1, "ships"), (2, "Bo")]
+
+
 class Grader:
     def __init__(self, *grades):
         self.grades = list(grades)
 
-    def __call__(self, query, context, history, override=None):
-        if override and "YES or NO" in override:
+    def __call__(self, task, question, context, history):
+        if task == "grade":
             return self.grades.pop(0) if len(self.grades) > 1 else self.grades[0]
-        return "new question" if override else "answer to " + query
+        return "new question" if task == "rewrite" else "answer to " + question
 
 
 def test_agent_steps():
@@ -275,7 +337,13 @@ def test_providers(spark):
     assert got == [(["Ann Lee", "Élan Vital"],)]
     assert safe(lambda: 1 / 0).startswith("[model error")
     chat = ExtractiveChat()
-    assert chat("Rewrite this query for better search: the big thing", [], [], "Output only the new string.") == "thing"
+    assert chat("rewrite", "the big thing", [], []) == "thing" and chat("answer", "q", [{"text": "t"}], []) == "t"
+    assert chat("grade", "which ships", [{"text": "Ships at sea"}], []) == "YES" and chat("grade", "which cars", [{"text": "Ships at sea"}], []) == "NO"
+    sent = []
+    asked = prompted(lambda m: sent.append(m) or "yes", "persona")
+    assert asked("grade", "q", [{"text": "x" * 900}], [{"role": "user", "content": "h"}]) == "yes" and len(sent[0]) == 2 and len(sent[0][1]["content"]) < 540
+    asked("answer", "q", [{"text": "x"}], [{"role": "user", "content": "h"}])
+    assert [m["role"] for m in sent[1]] == ["system", "user", "user"] and "persona" in sent[1][0]["content"]
     m = messages("q", [{"chunk_id": "c", "text": "t"}, {"text_content": "u"}], [{"role": "user", "content": str(i)} for i in range(6)], "persona")
     assert len(m) == 6 and "- [c]: t\n- [Unknown]: u\n" in m[0]["content"] and m[1]["content"] == "2"
     assert len(messages("q", [], [{"role": "user", "content": "x"}], "persona", "task")) == 2
