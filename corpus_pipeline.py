@@ -1,7 +1,8 @@
 """A training corpus from raw documents: stages in order, each over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``. An empty table goes through as
+an empty one, and further columns of ``documents`` are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -15,19 +16,19 @@ from strandline.llm.shelf import Shelf, free_name, table
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at its threshold or above go."""
+    """Documents that the classifier scores at its threshold or above go. A null text is scored as an empty one; repeated rows alike."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     score = free_name(docs, "toxicity")
     return toxicity.score(docs, model, out=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the one with the least id, null last. Texts without words all stay."""
     return near_dedup.one_of_each(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind; ``n_chars`` follows the text."""
+    """Spans of personal data are replaced by their kind; ``n_chars`` follows the text. Rows without a span stay as they are, nulls too."""
     spans = free_name(docs, "pii_spans")
     found = pii.redact(pii.find_spans(docs, out=spans), spans=spans)
     chars = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -35,12 +36,12 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are dropped or repeated so that the sources' words meet their targets."""
+    """Documents are dropped or repeated so that the sources' words meet their targets; rows that repeat an id are drawn alike."""
     return mixing.emit(mixing.mix(docs), docs.columns)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document; ``exact`` says whether they decode to its bytes."""
+    """Token ids of each document, none for a null or empty text; ``exact`` says whether they decode to its bytes."""
     how = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     done = bpe.encode(docs, decoded="decoded", **how)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
