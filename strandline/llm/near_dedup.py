@@ -32,6 +32,8 @@ from .bytewords import lower_words, mix, row_ids, slices
 from .components import components, joined
 from .shelf import Shelf, free_name, lean, text_batches
 
+#: Parts of a family that meet its sums apart.
+SALTS = 64
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -308,7 +310,8 @@ def family_links(family: DataFrame, labels: DataFrame, sets: DataFrame, how: Ban
     top = by.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("every"), F.max("n").alias("inner"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     parts = lambda n: F.greatest(F.ceil(n / how.block), F.least(F.lit(how.deal), F.ceil(n * 32 / how.block))).cast("long")
     top = top.select("family", "top", parts(F.col("every") - F.col("inner")).alias("p"), parts(F.col("inner")).alias("q"))
-    dealt = members.join(top, "family").withColumn("outside", F.col("label") != F.col("top"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")  # one family may hold most members
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(top.select("*", salts), ["family", "salt"]).withColumn("outside", F.col("label") != F.col("top"))
     dealt = dealt.withColumn("block", F.when(F.col("outside"), F.pmod(F.xxhash64("node"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), "q")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
