@@ -1,8 +1,9 @@
 """Words of UTF-8 texts as numpy arrays: no Python object is made per word.
 
 A batch of texts is one ``uint8`` buffer and row offsets. Word hashes are
-polynomial sums over random byte codes modulo 2**64, taken for all words at once
-from one running sum, then mixed.
+polynomial sums over random byte codes modulo 2**64, taken for a block of words at
+once from one running sum, then mixed. They don't depend on where a word stands, so
+a very long text takes a few numbers for each word and not for each byte.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ _CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
+#: Bytes whose running sum is taken at a time (one word at least).
+BLOCK = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
     if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, BLOCK + 1), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps, dtype=np.uint64)
     return _powers[base][:n]
@@ -77,11 +80,18 @@ def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANKS) ->
 
 def hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> np.ndarray | list[np.ndarray]:
     """A 64-bit hash of each span of bytes; it depends on the bytes alone. One array for each array of ends."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODES[data] * _power(_INVERSE, n), out=total[1:])
-    power = _power(_BASE, n + 1)
-    out = [mix((total[end] - total[starts]) * power[end] + (end - starts).astype(np.uint64)) for end in ends]
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
+        low, n = starts[i], int(max(end[i:j].max() for end in ends) - starts[i])
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODES[data[low : low + n]] * _power(_INVERSE, n), out=total[1:])
+        power = _power(_BASE, n + 1)
+        for found, end in zip(out, ends):
+            a, b = starts[i:j] - low, end[i:j] - low
+            found[i:j] = mix((total[b] - total[a]) * power[b] + (b - a).astype(np.uint64))
+        i = j
     return out[0] if len(out) == 1 else out
 
 

@@ -48,9 +48,12 @@ def cut(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray,
     first = np.concatenate([[0], np.cumsum(counts)])
     rows = row_ids(counts)
     at = offsets[:-1][rows] + (np.arange(first[-1]) - first[rows]) * width
-    place = at[:, None] + np.arange(width)
-    inside = place < offsets[1:][rows][:, None]
-    return np.where(inside, LOWER[data[np.where(inside, place, 0)]] if len(data) else 32, 32).astype(np.uint8), counts
+    out = np.full((len(at), width), 32, np.uint8)
+    for a in range(0, len(at), 8192):  # places take eight bytes for each of a window
+        place = at[a : a + 8192, None] + np.arange(width)
+        inside = place < offsets[1:][rows[a : a + 8192]][:, None]
+        out[a : a + 8192][inside] = LOWER[data[place[inside]]]
+    return out, counts
 
 
 class Model:

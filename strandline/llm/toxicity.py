@@ -31,6 +31,8 @@ from .shelf import free_name, lean, text_batches
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 THRESHOLD = 0.7
+#: Words of a text that are convolved at a time when it is scored.
+LONG = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -91,7 +93,26 @@ class Model:
         return words if self.places is None else np.stack([p[words[:, t]] for t, p in enumerate(self.places)], -1)
 
     def pooled(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Filter maxima of each row over its whole text."""
+        """Filter maxima of each row over its whole text; a text of more than ``LONG`` words in parts."""
+        if (counts <= LONG).all():
+            return self._short(words, counts)
+        ends = np.cumsum(counts)
+        each = [self._long(words[b - n : b]) if n > LONG else self._short(words[b - n : b], np.array([n]))[0] for n, b in zip(counts, ends)]
+        return np.stack(each)
+
+    def _long(self, words: np.ndarray) -> np.ndarray:
+        """Maxima of one text; the words that windows at the end of a part reach into follow it."""
+        net, best = self.net, None
+        for a in range(0, len(words), LONG):
+            part = self.rows(words[a : a + LONG + net.reach])
+            n = min(LONG, len(words) - a)
+            ids = np.concatenate([part, np.tile(np.array(net.rows, np.int32), (net.reach, 1))])
+            e = np.concatenate([t[ids[:, i]] for i, t in enumerate(net.tables)], 1)
+            found = np.concatenate([sum(e[j : j + n] @ k[j] for j in range(w)).max(0) for w, k in zip(net.widths, net.kernels)])
+            best = found if best is None else np.maximum(best, found)
+        return best
+
+    def _short(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         net = self.net
         lengths = np.maximum(counts, 1)
         starts = np.concatenate([[0], np.cumsum(lengths + net.reach)])
