@@ -26,6 +26,8 @@ from .toxicity import draw, remainder
 
 WIDTHS = (2, 3, 4)
 UNDETERMINED = "und"
+#: Languages whose cut is sent to every task; more of them are joined.
+SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -107,8 +109,10 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str =
     seen = names.agg(F.count(F.lit(1))).first()[0]
     own = max(1, min(how.windows, how.windows * how.languages // max(1, seen)))  # windows of a language
     # Only about four times the sample is ranked, however many rows and tasks a language has.
-    low = given.select("id", "lang", draw(F.col("id")).alias("u"), F.xxhash64("body").alias("h"), F.ceil(F.octet_length("body") / how.width).alias("n_windows"))
-    low = low.join(names, "lang").where(F.col("u") < F.lit(4.0 * how.documents) / F.col("n")).drop("n").distinct()
+    cut_off = names.select("lang", (F.lit(4.0 * how.documents) / F.col("n")).alias("most"))
+    cut_off = F.broadcast(cut_off) if seen <= SENT else cut_off
+    low = given.withColumn("u", draw(F.col("id"))).join(cut_off, "lang").where(F.col("u") < F.col("most"))
+    low = low.select("id", "lang", "u", F.xxhash64("body").alias("h"), F.ceil(F.octet_length("body") / how.width).alias("n_windows")).distinct()
     by_draw = Window.partitionBy("lang").orderBy("u", "id", "h")
     ranked = low.withColumn("place", F.row_number().over(by_draw)).withColumn("total", F.sum("n_windows").over(by_draw.rowsBetween(Window.unboundedPreceding, 0)))
     chosen = ranked.where((F.col("place") == 1) | ((F.col("place") <= how.documents) & (F.col("total") <= own))).select("id", "lang", "h")
