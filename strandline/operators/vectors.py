@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scoring as s
 from ..functions.providers import Expression, hashed_embedding
@@ -35,47 +34,28 @@ def nearest(table: DataFrame, query: list[float], k: int = 3, *, key: str = "chu
     return table.withColumn("distance", s.squared_distance(F.col("vector"), q)).orderBy("distance", key).limit(k)
 
 
-#: Rows and queries of a block.
-BLOCK = 16_384
+#: Rows of a block.
+BLOCK = 1024
 
 
 def nearest_each(table: DataFrame, queries: DataFrame, k: int = 3, *, key: str = "vec_id", own: bool = False, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, key, distance``: the ``k`` nearest rows of each query of ``query_id, query``; any number of queries.
 
-    Rows and queries are dealt into blocks and every block of queries meets every block of rows, so a task holds one of each;
-    of a pair of blocks only ``k`` rows for a query are exchanged. Ties go to the smaller key. Unless ``own`` a row isn't its
-    own neighbour. Null vectors, and vectors of another length than the query's, aren't compared.
+    Rows are dealt into blocks of about ``block``, each one array. Every query meets every block and takes its ``k`` nearest
+    rows inside the row, so no pair of a query and a row is ever a row. Ties go to the smaller key. Unless ``own`` a
+    row isn't its own neighbour. Rows that repeat key and vector count once; null vectors, and vectors of another length
+    than the query's, aren't compared.
     """
-    rows = table.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL")
-    asked = queries.select(F.col("query_id").alias("id"), F.col("query").cast("array<double>").alias("v")).where("v IS NOT NULL")
-    parts = lambda df: max(1, -(-df.count() // block))
-    n_rows, n_asked = parts(rows), parts(asked)
-    dealt = lambda df, mine, its, other, n: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(its))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    left, right = dealt(asked, "i", n_asked, "j", n_rows), dealt(rows, "j", n_rows, "i", n_asked)
-    types = [T.StructField("query_id", asked.schema["id"].dataType), T.StructField(key, rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())]
-    names = [f.name for f in types]
-
-    def search(_, a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, near = ([x.as_py() for x in t.column("id")] for t in (a, b))
-        vecs, rows_ = ([np.array(x, float) for x in t.column("v").to_pylist()] for t in (a, b))
-        sizes, out = np.array([len(x) for x in rows_]), []
-        for size in {len(x) for x in vecs} & set(sizes.tolist()):
-            at = np.flatnonzero(sizes == size)
-            matrix = np.stack([rows_[i] for i in at])
-            for q, v in zip(ids, vecs):
-                if len(v) != size:
-                    continue
-                d = ((matrix - v) ** 2).sum(1)
-                few = at if len(d) <= k + 1 else np.flatnonzero(d <= np.partition(d, k)[k])
-                few = np.arange(len(d)) if len(d) <= k + 1 else few
-                best = sorted((d[i], near[at[i]]) for i in few.tolist() if own or near[at[i]] != q)[:k]
-                out.extend((q, i, x) for x, i in best)
-        columns = list(zip(*out)) or [[], [], []]
-        return pa.table({n: pa.array(list(c), to_arrow_type(f.dataType)) for n, c, f in zip(names, columns, types)})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(search, T.StructType(types))
+    rows = table.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL").distinct()
+    n = max(1, -(-table.count() // block))
+    blocks = rows.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(n)).alias("j")).agg(F.collect_list(F.struct("id", "v")).alias("block"))
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("q")).where("q IS NOT NULL")
+    asked = asked.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    fits = lambda r: (F.size(r["v"]) == F.size("q")) & (F.lit(True) if own else r["id"] != F.col("query_id"))
+    scored = F.transform(F.filter("block", fits), lambda r: F.struct(s.squared_distance(r["v"], F.col("q")).alias("distance"), r["id"].alias("id")))
+    best = asked.join(blocks, "j").select("query_id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("x")).select("query_id", F.col("x.id").alias(key), F.col("x.distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
 
 
 def embedded_in_batches(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], *, text: str = "text_content", batch: int = 128) -> DataFrame:

@@ -229,7 +229,7 @@ def test_nearest_in_blocks(spark):
         if v:
             near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), i) for i, w in rows if w and i != q and len(w) == len(v))[:3]
             want += [(q, n + 1, i, round(d, 9)) for n, (d, i) in enumerate(near)]
-    for block in (16_384, 10):
+    for block in (1024, 10):
         got = vectors.nearest_each(table, asked, 3, block=block).collect()
         assert sorted((x.query_id, x["rank"], x.vec_id, round(x.distance, 9)) for x in got) == sorted(want)
     empty = table.where("vec_id < 0")
