@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, langid, mixing, multiprobe, near_dedup, pii, sharding, threshold_topk, toxicity
+from . import bpe, brown, langid, merkle, mixing, multiprobe, near_dedup, pieces, pii, sharding, threshold_topk, toxicity, whitening
 from .shelf import table
 
 
@@ -73,11 +73,34 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = pieces.encode(table(spark, sf_dir, "documents"), path=public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded", keep=["doc_id"])
+    return done.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    made = merkle.manifest(docs, changed={"n_chars": docs["n_chars"] + told.cast("int")})
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_brown_lm, op2_threshold_topk, op3_mix_sources, op4_near_duplicates, op5_multiprobe_ann,
-        op6_byte_bpe, op7_language_id, op8_toxicity, op9_shard, op10_pii,
+        op6_byte_bpe, op7_language_id, op8_toxicity, op9_shard, op10_pii, op11_whitening, op12_sentencepiece, op13_merkle_manifest,
     )
 }
 
@@ -169,5 +192,33 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)},
 FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id
 """
 
+#: CRC-32 of the decimal id, bit by bit; trees by a recursion over levels, each node with the number of nodes of its level.
+_OP13 = """
+WITH RECURSIVE k AS (SELECT row_number() OVER () AS rid, *, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r %% 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS crc FROM documents),
+m AS (SELECT *, coalesce(xor(crc, 4294967295) %% 7 = 0, false)::INT AS told FROM k),
+f AS (SELECT rid, doc_id, lang, %(head)s || %(n)s || %(text)s AS own, %(head)s || %(told)s || %(text)s AS other FROM m),
+h AS (SELECT rid, doc_id, lang, sha256(own) AS leaf, sha256(other) AS other FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM h),
+t AS (SELECT lang, 0 AS lv, pos, n, leaf AS h FROM l
+      UNION ALL SELECT lang, min(lv) + 1, pos // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, pos // 2),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, lv AS depth FROM t WHERE n = 1),
+u AS (SELECT 0 AS lv, pos, n, h FROM s
+      UNION ALL SELECT min(lv) + 1, pos // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY pos // 2),
+r AS (SELECT h AS root, lv AS depth FROM u WHERE n = 1),
+w AS (SELECT l.rid, i AS step, (l.pos >> i) %% 2 AS odd, t.h FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang, unnest(range(0, s.depth)) AS x(i)
+      LEFT JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND t.lv = i AND t.pos = xor(l.pos >> i, 1)
+      UNION ALL SELECT l.rid, 1000 + i, (s.pos >> i) %% 2, u.h FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang, r, unnest(range(0, r.depth)) AS x(i)
+      LEFT JOIN u ON u.lv = i AND u.pos = xor(s.pos >> i, 1)),
+p AS (SELECT rid, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof, list(odd || coalesce(h, '') ORDER BY step) AS way FROM w GROUP BY rid),
+o AS (SELECT l.*, s.h AS subroot, r.root, coalesce(p.proof, sha256('')) AS proof_sha256, list_reduce([l.other] || coalesce(p.way, []),
+        lambda a, x: sha256(CASE WHEN length(x) = 1 THEN a WHEN x[1] = '1' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root
+      FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r LEFT JOIN p ON p.rid = l.rid)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM o
+"""
+_OP13 %= {
+    name: " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)
+    for name, values in {"head": ["doc_id::VARCHAR", "source", "lang"], "n": ["n_chars::VARCHAR"], "told": ["(n_chars + told)::VARCHAR"], "text": ["text"]}.items()
+}
 
-ORACLE_SQL: dict[str, str] = {"op2_threshold_topk": _OP2, "op3_mix_sources": _OP3, "op4_near_duplicates": _OP4, "op10_pii": _op10()}
+ORACLE_SQL: dict[str, str] = {"op2_threshold_topk": _OP2, "op3_mix_sources": _OP3, "op4_near_duplicates": _OP4, "op10_pii": _op10(), "op13_merkle_manifest": _OP13}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shelf import Shelf, free_name, shared_dir, spread
 
-__all__ = ["Shelf", "free_name", "lean", "shared_dir", "table", "text_batches"]
+__all__ = ["Shelf", "free_name", "kept_columns", "lean", "shared_dir", "table", "text_batches"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +41,9 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
                 pass  # another C library
 
     return wrapped
+
+
+def kept_columns(df: DataFrame, made: list[str], keep: list[str] | None = None) -> list[str]:
+    """The columns of ``df`` (or ``keep``) without those named like a new one in any case: Spark doesn't tell such names apart."""
+    new = {c.lower() for c in made}
+    return [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
