@@ -23,16 +23,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shelf import lean, text_batches
+from .lookup import NONE, Lookup
+from .shelf import kept_columns, lean, text_batches
 
 #: Pieces of more bytes than this merge by a queue of pairs instead (the matrix needs length ** 2 steps).
 LONG_PIECE = 1024
-#: Pieces that a worker remembers at most; the memo is emptied beyond that.
-MEMO = 150_000
+#: Pieces, and their characters, that a worker remembers at most; the memo is emptied beyond that.
+MEMO, MEMO_CHARACTERS = 150_000, 6_000_000
 #: Characters of the texts that are encoded at once.
 PART = 500_000
-NONE = np.iinfo(np.int32).max
-
 
 class Vocabulary:
     """Ranks of a tokenizer and the hash table of its mergeable pairs."""
@@ -48,45 +47,16 @@ class Vocabulary:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self._table(np.array([k for k, _ in pairs], np.int64).reshape(-1), np.array([r for _, r in pairs], np.int32).reshape(-1))
+        self.pairs = Lookup(np.array([k for k, _ in pairs], np.int64).reshape(-1), np.array([r for _, r in pairs], np.int32).reshape(-1))
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 4).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
-        at, self.probes = self._slot(keys), 0
-        while len(keys):  # of the keys that want a free slot one gets it, the rest look at the next slot
-            self.probes += 1
-            free = self.keys[at] == -1
-            self.keys[at[free]] = keys[free]
-            own = self.keys[at] == keys
-            self.values[at[own]] = values[own]
-            keys, values, at = keys[~own], values[~own], (at[~own] + 1) & (len(self.keys) - 1)
-
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, or ``NONE``."""
-        keys = left.astype(np.int64) << 32 | right
-        at = self._slot(keys)
-        got = self.keys[at]
-        out = np.where(got == keys, self.values[at], NONE)
-        open_ = np.flatnonzero((got != keys) & (got != -1))
-        for _ in range(1, self.probes):
-            if not len(open_):
-                break
-            at_open = (at.flat[open_] + 1) & (len(self.keys) - 1)
-            at.flat[open_] = at_open
-            got = self.keys[at_open]
-            hit = got == keys.flat[open_]
-            out.flat[open_[hit]] = self.values[at_open[hit]]
-            open_ = open_[~hit & (got != -1)]
-        return out
+        return self.pairs.get(left.astype(np.int64) << 32 | right)
 
     def merge_matrix(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rows of equal length to the end: (matrix padded by -1, length of each row)."""
@@ -193,7 +163,7 @@ class Encoder:
         self.memo: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts, self.counts = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
-        self.filled = 0
+        self.filled = self.characters = 0
 
     def _learn(self, pieces: list[str]) -> None:
         got = self.v.encode_pieces([p.encode() for p in pieces])
@@ -210,12 +180,14 @@ class Encoder:
         self.counts[n : n + len(got)] = lengths
         self.filled = need
         self.memo.update(zip(pieces, range(n, n + len(got))))
+        self.characters += sum(map(len, pieces))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their number in each text."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or self.characters > MEMO_CHARACTERS:
             self.memo.clear()
-            self.filled = 0
+            self.ids = np.zeros(1 << 16, np.int32)
+            self.filled = self.characters = 0
         cut = [self.find(t) for t in texts]
         new = {p for pieces in cut for p in pieces} - self.memo.keys()
         if new:
@@ -264,15 +236,16 @@ def _binaries(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``ids``, the token ids of the whole text, and ``decoded``, the bytes that these ids decode to.
 
-    A null text is encoded as an empty one: no ids. Repeated rows are encoded alike. ``path`` is read by the driver;
-    its bytes (half a MB) travel with the job. Columns of the names ``ids`` and ``decoded`` are replaced. ``decoded`` takes
-    no second worker: ids are decoded where they are made.
+    A null text is encoded as an empty one: no ids. Repeated rows are encoded alike, a very long text in one part with no
+    other. An empty table gives an empty one. ``path`` is read by the driver; its bytes (half a MB) travel with the job.
+    Columns named like ``ids`` or ``decoded``, in any case, are replaced. ``decoded`` takes no second worker: ids are
+    decoded where they are made.
     """
     with open(path, "rb") as f:
         data = f.read()
     text_batches(docs.sparkSession)
     made = [ids] if decoded is None else [ids, decoded]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    kept = kept_columns(docs, made, keep)
     source = docs.select(*dict.fromkeys([*kept, text]))
     types = [T.ArrayType(T.IntegerType(), False), T.BinaryType()]
     schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(*x) for x in zip(made, types))])
@@ -298,7 +271,7 @@ def decode(docs: DataFrame, *, path: str, pattern: str, ids: str = "token_ids",
     """``docs`` with ``out``, the bytes of the tokens in ``ids``; null ids give no bytes."""
     with open(path, "rb") as f:
         data = f.read()
-    names = [c for c in docs.columns if c != out]
+    names = kept_columns(docs, [out])
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -468,7 +468,8 @@ def score_held_out(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     """``key, held_out`` and the scores of all rows, learned from the rows whose id has not the remainder ``out``.
 
     A null text is an empty one: one token, the end. A null id counts as empty text in the remainder. Repeated rows are
-    counted and scored each. Without a training row all scores are 0. Other columns aren't read.
+    counted and scored each, very long texts in parts. Without a training row all scores are 0. An empty table gives an
+    empty one. Other columns aren't read.
     """
     text_batches(docs.sparkSession)
     shelf = Shelf(docs.sparkSession, "brown")

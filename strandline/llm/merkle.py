@@ -12,9 +12,10 @@ against the root. All of it is DataFrame functions; only the number of rounds co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import ranked
 from .shelf import Shelf
 
 #: Nodes of an array: a power of two. A block of leaves is a row of about 200 kB.
@@ -46,24 +47,6 @@ def group_key(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
 
-def ranked(rows: DataFrame, order: list[str], shelf: Shelf) -> DataFrame:
-    """``rows`` with ``pos`` from 0 inside ``g`` in the order given, and ``n``, the rows of the group.
-
-    Ranges of the whole order are numbered by themselves; the numbers of the ranges before are added. Equal rows may stand in
-    different ranges, so a group, a key or a row that repeats without end is no single task.
-    """
-    told = rows.withColumn("tie", F.monotonically_increasing_id())
-    by = [F.col(c).asc_nulls_first() for c in ("g", *order, "tie")]
-    ranges = shelf.put(told.repartitionByRange(*by).withColumn("range", F.spark_partition_id()))
-    counts = ranges.groupBy("g", "range").agg(F.count(F.lit(1)).alias("own"))
-    group = Window.partitionBy("g")  # one row a range
-    before = F.sum("own").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")
-    offsets = counts.withColumn("before", before).withColumn("n", F.sum("own").over(group)).select("g", "range", "before", "n")
-    place = F.row_number().over(Window.partitionBy("g", "range").orderBy(*by[1:])) - 1
-    out = ranges.withColumn("place", place).join(offsets, ["g", "range"])
-    return out.withColumn("pos", F.col("before") + F.col("place")).drop("place", "before", "range", "tie")
-
-
 def level_above(level: Column) -> Column:
     """The hashes of every two neighbours; a last one alone is hashed by itself."""
     runs = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))

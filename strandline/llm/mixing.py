@@ -19,6 +19,8 @@ from .shelf import Shelf, free_name
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many sources is sent to every executor; a larger one is joined by shuffle.
 MOST_SENT = 20_000
+#: The columns that ``mix`` adds.
+MADE = ("size", "source_size", "target", "copies", "taken")
 
 
 def n_words(text: Column) -> Column:
@@ -79,10 +81,9 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     empty one. Repeated rows: each is taken alike. An empty table gives an empty
     one. Input columns of those five names are replaced.
     """
-    made = ("size", "source_size", "target", "copies", "taken")
     spark = docs.sparkSession
     shelf = Shelf(spark, "mix")
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in MADE]
     sized = docs.withColumn("size", n_words(docs[text]))
     narrow = keep is not None
     if narrow:  # sizes are written once, so the texts are read once

@@ -282,21 +282,26 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, how: Banding, *, text: str, key: str) -> DataFrame:
-    """``node, set`` of the classes in ``nodes``, made from the texts of the rows that gave them their ids."""
+    """``node, set`` of the classes in ``nodes``, made from the texts of the rows that gave them their ids.
+
+    Ids only choose the texts to read again; sets meet classes by their digests, so texts that share an id, or have none,
+    are each read once.
+    """
     need = nodes.join(classes.select("node", "d1", "d2", "id"), "node")
-    texts = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("body")).join(need, F.col("doc").eqNullSafe(F.col("id")))
+    asked = need.select("id").distinct()
+    texts = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("body")).join(asked, F.col("doc").eqNullSafe(F.col("id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # ids may repeat with other texts
-            node, d1, d2 = (_column(batch, c).to_numpy() for c in ("node", "d1", "d2"))
-            for first, end, data, offsets in slices(_column(batch, "body")):
+        for batch in batches:
+            for _, _, data, offsets in slices(_column(batch, "body")):
                 sets, sizes = shingle_sets(data, offsets, how.words)
                 x, y = digests(sets, sizes)
-                same = np.flatnonzero((x == d1[first:end]) & (y == d2[first:end]))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([pa.array(node[first:end][same]), pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in same], pa.binary())], names=["node", "set"])
+                one = np.unique(np.stack([x, y], 1), axis=0, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[one]), pa.array(y[one]), pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in one], pa.binary())], names=["d1", "d2", "set"])
 
-    return texts.select("node", "d1", "d2", "body").mapInArrow(lean(run), "node long, set binary").dropDuplicates(["node"])
+    made = texts.select("body").mapInArrow(lean(run), "d1 long, d2 long, set binary").dropDuplicates(["d1", "d2"])
+    return made.join(need.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "set")
 
 
 def family_links(family: DataFrame, labels: DataFrame, sets: DataFrame, how: Banding) -> DataFrame:

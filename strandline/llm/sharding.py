@@ -7,9 +7,10 @@ gathered by hash into a fixed number of lots. So the number of items is bounded
 by parameters at any table size, and the packing of items, largest first, each
 to the shard where the dot product of its vector with the residual capacity is
 highest, takes one small numpy loop on the driver. Then single items move while
-that narrows the loads' spread in all three dimensions together. Rows are numbered
-inside each item and items follow each other inside a shard: no task ever sorts a
-shard.
+that narrows the loads' spread in all three dimensions together. Rows are ranked
+inside each group by ranges of the whole table; a group's pieces are stretches of its
+ranks, so they are equal however often a row repeats, and items follow each other
+inside a shard: no task ever sorts a shard, a group or a lot.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import n_words
+from .ranks import ranked
 from .shelf import Shelf
 
 
@@ -109,11 +111,12 @@ def shard(docs: DataFrame, *, text: str = "text", key: str = "doc_id", plan: Pac
 
     ``size`` is the text's UTF-8 bytes plus 8 (a null text has none and is in the group of empty texts; its CRC is 0).
     Null keys and repeated rows are rows like any other; rows with equal key and text are numbered in any order. Rows of an
-    empty table: none. Only ``key`` and ``text`` are read.
+    empty table: none. Only ``key`` and ``text`` are read, so further columns may have any name.
     """
     spark = docs.sparkSession
     body = F.coalesce(docs[text], F.lit(""))
-    rows = Shelf(spark, "shard").put(docs.select(
+    shelf = Shelf(spark, "shard")
+    rows = shelf.put(docs.select(
         docs[key].alias("id"),
         (F.octet_length(body) + 8).cast("long").alias("bytes"),
         n_words(docs[text]).alias("tokens"),
@@ -126,28 +129,33 @@ def shard(docs: DataFrame, *, text: str = "text", key: str = "doc_id", plan: Pac
     capacity = [max(t / plan.shards, 1e-9) for t in total]
     share = lambda: F.greatest(*(F.col(c) / F.lit(v) for c, v in zip(("bytes", "tokens", "rows"), capacity)))
     # At most 3 * shards / own groups can pass this.
-    large = rows.groupBy("text_hash", "crc").agg(*sums).where(share() > plan.own).select("text_hash", "crc", F.ceil(share() / F.lit(plan.piece)).cast("int").alias("pieces")).collect()
+    large = rows.groupBy("text_hash", "crc").agg(*sums).where(share() > plan.own).select("text_hash", "crc", "bytes", "tokens", "rows", F.ceil(share() / F.lit(plan.piece)).cast("int").alias("pieces")).collect()
     lots = plan.shards * plan.lots
-    own = spark.createDataFrame([(r.text_hash, r.crc, r.pieces) for r in large], "text_hash long, crc long, pieces int")
-    salt = F.pmod(F.xxhash64(F.col("id"), F.lit("piece")), F.col("pieces"))
-    item = F.when(F.col("pieces").isNotNull(), F.concat_ws("/", F.lit("g"), F.col("text_hash"), F.col("crc"), salt)).otherwise(F.concat_ws("/", F.lit("l"), F.pmod(F.col("text_hash"), F.lit(lots))))
-    rows = rows.join(F.broadcast(own), ["text_hash", "crc"], "left").select("id", "bytes", "tokens", "crc", item.alias("item"))
-    items = rows.groupBy("item").agg(*sums).collect()  # bounded by lots + pieces of large groups
-    items.sort(key=lambda r: r["item"])
-    shards = place(np.array([[r["bytes"], r["tokens"], r["rows"]] for r in items], float).reshape(-1, 3), plan.shards)
-    next_slot, places = [0] * plan.shards, []
-    for r, s in zip(items, shards.tolist()):
-        places.append((r["item"], s, next_slot[s]))
-        next_slot[s] += r["rows"]
-    at = spark.createDataFrame(places, "item string, shard int, slot0 long")
-    in_item = F.row_number().over(Window.partitionBy("item").orderBy(F.col("id").asc_nulls_last(), "crc", "bytes")) - 1
-    return rows.withColumn("n", in_item).join(F.broadcast(at), "item").select(
+    own = spark.createDataFrame([(r.text_hash, r.crc, f"g/{r.text_hash}/{r.crc}") for r in large], "text_hash long, crc long, own string")
+    lot = F.concat_ws("/", F.lit("l"), F.pmod(F.col("text_hash"), F.lit(lots)))
+    rows = shelf.put(rows.join(F.broadcast(own), ["text_hash", "crc"], "left").select("id", "bytes", "tokens", "crc", F.coalesce("own", lot).alias("g")))
+    # An item is a stretch of a group's ranks: its name, the first rank and the row's vector. Texts of a group are equal.
+    items = [(r["g"], 0, (r["bytes"], r["tokens"], r["rows"])) for r in rows.where(F.col("g").startswith("l/")).groupBy("g").agg(*sums).collect()]  # bounded by lots
+    for r in large:
+        k = min(r["pieces"], r["rows"])
+        starts = [i * r["rows"] // k for i in range(k + 1)]
+        items += [(f"g/{r['text_hash']}/{r['crc']}", a, tuple(r[c] * (b - a) / r["rows"] for c in ("bytes", "tokens", "rows"))) for a, b in zip(starts, starts[1:])]
+    items.sort()
+    shards = place(np.array([x[2] for x in items], float).reshape(-1, 3), plan.shards)
+    next_slot, places = [0] * plan.shards, {}
+    for (g, first, vector), s in zip(items, shards.tolist()):
+        places.setdefault(g, []).append((first, s, next_slot[s] - first))
+        next_slot[s] += round(vector[2])
+    at = spark.createDataFrame(list(places.items()), "g string, parts array<struct<first:long,shard:int,shift:long>>")
+    found = ranked(rows, ["id", "crc", "bytes"], shelf).join(F.broadcast(at), "g")
+    part = F.element_at(F.filter("parts", lambda x: x["first"] <= F.col("pos")), -1)
+    return found.withColumn("part", part).select(
         F.col("id").alias(key),
         F.col("bytes").alias("size"),
         F.col("crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("slot0") + F.col("n")).cast("long").alias("slot"),
+        F.col("part.shard").alias("shard"),
+        (F.col("part.shift") + F.col("pos")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "tokens",
     )

@@ -78,3 +78,20 @@ def test_round_trip_and_odd_rows(spark):
     both = bpe.encode(docs, path=PATH, pattern=P.PATTERN, decoded="score").collect()
     assert sorted((r.text or "").encode() for r in both) == sorted(bytes(r.score) for r in both)
     assert bpe.encode(no_docs(spark), path=PATH, pattern=P.PATTERN).count() == 0
+
+
+def test_clashing_names_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y")], "doc_id long, text string, Token_IDs string, Decoded string")
+    row = bpe.encode(docs, path=PATH, pattern=P.PATTERN, decoded="decoded").collect()[0]
+    assert list(row.token_ids) == BRUTE.encode_ordinary("a b c") and bytes(row.decoded) == b"a b c" and len(row) == 4
+    row = bpe.decode(bpe.encode(docs, path=PATH, pattern=P.PATTERN), path=PATH, pattern=P.PATTERN, out="DECODED").collect()[0]
+    assert bytes(row.DECODED) == b"a b c" and len(row) == 4
+
+
+def test_memo_is_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_CHARACTERS", 3000)
+    e = bpe.Encoder(V)
+    for k in range(8):
+        t = ["".join(chr(97 + (i * j + k) % 26) for j in range(400)) for i in range(1, 12)]
+        assert e.encode(t)[0].tolist() == [x for s in t for x in BRUTE.encode_ordinary(s)]
+        assert e.characters <= 3000 + 4400

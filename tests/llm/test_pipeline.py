@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
@@ -91,5 +92,20 @@ def test_odd_rows_go_through(spark):
         assert stage(spark, empty, D).count() == 0
 
 
+def test_clashing_names_are_kept(spark):
+    """Columns named like those that stages make, in any case, come out as they went in, up to the last stage."""
+    names = ["Size", "Copies", "TARGET", "Decoded", "Token_IDs", "Toxicity", "PII_Spans", "D1", "Set"]
+    docs = odd_docs(spark).drop("size", "slot", "score")
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, D)
+        rows = out.collect()
+        assert rows
+        if name != "bpe":
+            assert out.columns == docs.columns
+            assert all(r[n] == f"{i}:{'none' if r.doc_id is None else r.doc_id}" for r in rows for i, n in enumerate(names))
+
+
 def test_redaction_finds_all_base_kinds():
     assert set(pii.BASE) == {"email", "ip", "card", "phone"}

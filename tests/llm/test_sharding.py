@@ -93,3 +93,29 @@ def test_odd_rows_and_a_hot_group(spark):
     assert len({r.shard for r in rows if (r.doc_id or 0) >= 100}) > 12
     assert {r.text_crc32 for r in rows if r.doc_id == 2} == {0} and {r.size for r in rows if r.doc_id == 2} == {8}
     assert sharding.shard(no_docs(spark)).count() == 0
+
+
+def test_thousands_of_equal_rows(spark):
+    """Half of the table is one row again and again, a fifth has no id: sizes, tokens and counts stay near equal, reruns agree."""
+    texts = [(i, f"text {i} " + "word " * (i % 50)) for i in range(2000)] + [(77, "the same row " * 10)] * 2000 + [(None, "without an id")] * 900
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    rows = sharding.shard(docs).collect()
+    holds(rows, texts)
+    for c in ("size", "tokens"):
+        sums = Counter()
+        for r in rows:
+            sums[r.shard] += r[c]
+        assert len(sums) == 24 and max(sums.values()) < 1.02 * sum(sums.values()) / 24 and min(sums.values()) > 0.98 * sum(sums.values()) / 24
+    many = Counter(r.shard for r in rows).values()
+    assert max(many) < 1.02 * len(rows) / 24 and min(many) > 0.98 * len(rows) / 24
+    again = sharding.shard(docs.repartition(3)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+
+
+def test_items_of_a_group_are_equal_stretches(spark):
+    """A row repeated without end, alone: each shard gets its share to the row."""
+    docs = spark.createDataFrame([(1, "same")] * 2405, "doc_id long, text string")
+    rows = sharding.shard(docs).collect()
+    holds(rows, [(1, "same")] * 2405)
+    many = Counter(r.shard for r in rows).values()
+    assert max(many) - min(many) <= 4
