@@ -37,7 +37,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated so that the sources' words meet their targets; rows that repeat an id are drawn alike."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    aside = {c: free_name(docs, c) for c in docs.columns if c.lower() in mixing.MADE}  # names that mixing takes
+    moved = docs.withColumnsRenamed(aside)
+    return mixing.emit(mixing.mix(moved), moved.columns).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
