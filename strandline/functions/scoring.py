@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WORD, contains_any
+from .text import WORD, contains_any, let
 
 
 def round2(x: Column) -> Column:
@@ -56,9 +56,9 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """The vector with length 1; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(v)
+    """The vector with length 1; a zero vector stays. The vector and its length are computed once for a row."""
+    scaled = lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(v.cast("array<float>")))
+    return let(v, scaled)
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -123,11 +123,8 @@ def edges_of(valid: DataFrame) -> DataFrame:
     return discussed(each).select(*columns).union(co_occurring(each).select(*columns))
 
 
-def upserted(valid: DataFrame, nodes_: DataFrame) -> DataFrame:
-    """One row for each ``source, target, type``: ``chunk_id`` and ``chaos`` of the greatest chunk, mentions and weight.
-
-    Both ends must be nodes. Sums are over chunks.
-    """
+def folded(valid: DataFrame) -> DataFrame:
+    """One row for each ``source, target, type``: ``chunk_id`` and ``chaos`` of the greatest chunk, mentions and weight, which are sums over chunks."""
     columns = ["source", "target", "type", "weight", "n_chunks", "last_chunk", "chaos"]
     rows = discussed(valid).select(*columns).union(co_occurring(valid).select(*columns))
     by = rows.groupBy("source", "target", "type").agg(
@@ -135,11 +132,16 @@ def upserted(valid: DataFrame, nodes_: DataFrame) -> DataFrame:
         F.sum("n_chunks").alias("mentions"),
         F.sum(F.col("n_chunks") * F.col("weight")).alias("weight"),
     )
+    return by.select("source", "target", "type", F.col("x.last_chunk").alias("chunk_id"), F.col("x.chaos").alias("chaos"), "mentions", "weight")
+
+
+def upserted(valid: DataFrame, nodes_: DataFrame) -> DataFrame:
+    """The folded edges both of whose ends are nodes."""
     ends = lambda name, kind: nodes_.select(F.col("id").alias(name), F.col("type").alias(kind))
     source_kind = F.when(F.col("type") == "DISCUSSED", "PERSON").otherwise("CONCEPT")
-    some = by.withColumns({"source_kind": source_kind, "target_kind": F.lit("CONCEPT")})
+    some = folded(valid).withColumns({"source_kind": source_kind, "target_kind": F.lit("CONCEPT")})
     met = some.join(ends("source", "source_kind"), ["source", "source_kind"], "left_semi").join(ends("target", "target_kind"), ["target", "target_kind"], "left_semi")
-    return met.select("source", "target", "type", F.col("x.last_chunk").alias("chunk_id"), F.col("x.chaos").alias("chaos"), "mentions", "weight")
+    return met.select("source", "target", "type", "chunk_id", "chaos", "mentions", "weight")
 
 
 def merged_nodes(*parts: DataFrame) -> DataFrame:
@@ -174,7 +176,8 @@ def neighbours(edges_: DataFrame, entity: str, n: int | None = 10) -> DataFrame:
 def shortest_path(edges_: DataFrame, start: str, end: str, hops: int = 4) -> list[str] | None:
     """The ids on a shortest DISCUSSED path of at most ``hops``, the least in order of ids; nothing if there is none.
 
-    Breadth-first search by joins: each level keeps one path for each new node, the least one.
+    Breadth-first search by joins from both ends, which meet in the middle: the smaller frontier goes on, and each keeps one
+    path for each new node, the least one.
     """
     own = edges_.where(F.col("type") == "DISCUSSED").select("source", "target").distinct()
     shelf = Shelf(edges_.sparkSession, "paths")
@@ -190,15 +193,23 @@ def path_rows(edges_: DataFrame, start: str, end: str, hops: int = 4) -> DataFra
 def _search(links: DataFrame, shelf: Shelf, start: str, end: str, hops: int) -> list[str] | None:
     if start == end:
         return [start] if links.where(F.col("at") == start).limit(1).count() else None
-    level = links.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")
-    seen = level.select("at")
+    spark = links.sparkSession
+    sides = []
+    for name in (start, end):
+        level = spark.createDataFrame([(name, [name])], "at string, path array<string>")
+        sides.append({"level": level, "seen": level.select("at"), "n": 1})
     for _ in range(hops):
-        step = links.join(level, "at").select("next", F.concat("path", F.array("next")).alias("path"))
-        new = shelf.put(step.join(seen, step["next"] == seen["at"], "left_anti").groupBy(F.col("next").alias("at")).agg(F.min("path").alias("path")))
-        hit = new.where(F.col("at") == end).first()
-        if hit:
-            return list(hit.path)
-        if not new.limit(1).count():
+        go = min((0, 1), key=lambda i: sides[i]["n"])
+        own = sides[go]
+        longer = F.concat("path", F.array("next")) if go == 0 else F.concat(F.array("next"), "path")
+        step = links.join(own["level"], "at").select("next", longer.alias("path"))
+        new = shelf.put(step.join(own["seen"], step["next"] == own["seen"]["at"], "left_anti").groupBy(F.col("next").alias("at")).agg(F.min("path").alias("path")))
+        own["level"], own["seen"], own["n"] = new, own["seen"].union(new.select("at")), new.count()
+        if not own["n"]:
             return None
-        level, seen = new, seen.union(new.select("at"))
+        there, back = (side["level"].select("at", F.col("path").alias(name)) for side, name in zip(sides, ("there", "back")))
+        # Both newest frontiers hold all nodes at their distances, so the first meeting is on a shortest path.
+        met = there.join(back, "at").select(F.concat("there", F.slice("back", 2, F.greatest(F.size("back") - 1, F.lit(0)))).alias("path")).agg(F.min("path").alias("path")).first()
+        if met.path is not None:
+            return list(met.path)
     return None

@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scoring as s
 from ..functions.providers import Expression, hashed_embedding
 from ..sources.files import vector_column
+from . import nearest as pruned
 
 
 def embedded(chunks: DataFrame, embed: Expression | None = None, *, text: str = "text_content") -> DataFrame:
@@ -34,28 +35,9 @@ def nearest(table: DataFrame, query: list[float], k: int = 3, *, key: str = "chu
     return table.withColumn("distance", s.squared_distance(F.col("vector"), q)).orderBy("distance", key).limit(k)
 
 
-#: Rows of a block.
-BLOCK = 1024
-
-
-def nearest_each(table: DataFrame, queries: DataFrame, k: int = 3, *, key: str = "vec_id", own: bool = False, block: int = BLOCK) -> DataFrame:
-    """``query_id, rank, key, distance``: the ``k`` nearest rows of each query of ``query_id, query``; any number of queries.
-
-    Rows are dealt into blocks of about ``block``, each one array. Every query meets every block and takes its ``k`` nearest
-    rows inside the row, so no pair of a query and a row is ever a row. Ties go to the smaller key. Unless ``own`` a
-    row isn't its own neighbour. Rows that repeat key and vector count once; null vectors, and vectors of another length
-    than the query's, aren't compared.
-    """
-    rows = table.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL").distinct()
-    n = max(1, -(-table.count() // block))
-    blocks = rows.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(n)).alias("j")).agg(F.collect_list(F.struct("id", "v")).alias("block"))
-    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("q")).where("q IS NOT NULL")
-    asked = asked.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    fits = lambda r: (F.size(r["v"]) == F.size("q")) & (F.lit(True) if own else r["id"] != F.col("query_id"))
-    scored = F.transform(F.filter("block", fits), lambda r: F.struct(s.squared_distance(r["v"], F.col("q")).alias("distance"), r["id"].alias("id")))
-    best = asked.join(blocks, "j").select("query_id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("x")).select("query_id", F.col("x.id").alias(key), F.col("x.distance").alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+def nearest_each(table: DataFrame, queries: DataFrame, k: int = 3, **how) -> DataFrame:
+    """``query_id, rank, key, distance``: the ``k`` nearest rows of each query of ``query_id, query``; see ``nearest.nearest_each``."""
+    return pruned.nearest_each(table, queries, k, **how).rows
 
 
 def embedded_in_batches(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], *, text: str = "text_content", batch: int = 128) -> DataFrame:

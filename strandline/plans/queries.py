@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..functions import text as t
 from ..functions.providers import lexicon_sentiment
-from ..operators import chunk, clean, enrich, graph, ingest, report, vectors
+from ..operators import chunk, clean, enrich, graph, ingest, lexicon, report, vectors
 from ..operators.agent import graph_facts, hybrid
+from ..operators.store import GraphStore, NameIndex
 from ..params import Lexicons, Params
 from ..sources import files, sinks
 from ..sources.files import table
@@ -357,6 +358,48 @@ def events_by_day(spark, sf_dir):
     return windowed_events(table(spark, f"{sf_dir}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def graph_store_merge(spark, sf_dir):
+    """The upserted edges again, from a store that took the episodes in two batches, one of them twice."""
+    own = _episodes(spark, sf_dir)
+    shelf = Shelf(spark, "graph")
+    valid, nodes = shelf.put(graph.valid_episodes(own, PARAMS)), shelf.put(graph.nodes(own, PARAMS))
+    store = GraphStore(spark, f"{shelf.root}/store", buckets=16)
+    half = F.pmod(F.xxhash64("episode_id"), F.lit(2))
+    for part in (1, 0, 1):
+        store.merge(f"half {part}", nodes=nodes, edges=graph.folded(valid.where(half == part)))
+    return store.edges()
+
+
+#: Parts of names: of persons, of concepts, in another case, of two characters, and of none.
+ASKED = ("SRC1", "rc0", "tha", "HE", "zzzz")
+
+
+def indexed_neighbors(spark, sf_dir):
+    """Neighbours of all names that contain a text, by the index of names."""
+    index = NameIndex(spark, Shelf(spark, "names").root).build(_edges(spark, sf_dir))
+    return reduce(DataFrame.union, [index.neighbours(a, None).withColumn("asked", F.lit(a)) for a in ASKED]).groupBy("asked", "entity", "connected_to").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("first_chunk"))
+
+
+def lexicon_hits(spark, sf_dir):
+    """Runs of three words of the benchmark's items, as a lexicon, in all documents."""
+    runs = table(spark, f"{sf_dir}/benchmark.parquet").select(F.explode(t.ngrams(t.words(F.col("text")), 3)).alias("phrase"))
+    return lexicon.hits(_body(spark, sf_dir).select("doc_id", F.lower("text").alias("text")), runs)
+
+
+def lexicon_documents(spark, sf_dir):
+    """Documents with one of the longer words of the benchmark's items, inside words too."""
+    long = table(spark, f"{sf_dir}/benchmark.parquet").select(F.explode(t.words(F.col("text"))).alias("phrase")).where(F.length("phrase") >= 9)
+    docs = _body(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
+    return lexicon.with_any(docs, long).select("doc_id").join(lexicon.occurrences(docs, long), "doc_id")
+
+
+def knn_parts(spark, sf_dir):
+    """Parts of like size and price: two dimensions, so most cells are never visited."""
+    own = table(spark, f"{sf_dir}/part.parquet").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("vector"))
+    asked = own.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("vector").alias("query"))
+    return vectors.nearest_each(own, asked, 5, key="p_partkey").withColumn("distance", F.round("distance", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -366,6 +409,6 @@ QUERIES = {
         chaos_edges, entity_neighbors, shortest_connection, vector_norms, knn_topk, knn_label_agreement, history_window,
         steps_report, latency_report, trace_report, token_count, filename_metadata, raw_audit, hybrid_retrieval, preview, events_by_day,
         knn_centroids, graph_schema, merged_nodes, episode_rows, nlp_guests, sampled_phrases, bronze_rows, audit_lines, audit_summary,
-        bare_replies, exports,
+        bare_replies, exports, graph_store_merge, indexed_neighbors, lexicon_hits, lexicon_documents, knn_parts,
     )
 }

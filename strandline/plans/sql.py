@@ -232,7 +232,27 @@ AUDIT_SUMMARY = f"WITH a AS ({AUDIT}) SELECT count(*) AS files, sum(too_small::I
 REPLIES = f"SELECT conv_id, turn, role, md5({_STRIPPED.replace('(x,', '(trim(text),')}) AS digest FROM conversations"
 EXPORTS = "SELECT unnest(['csv', 'jsonl', 'lines', 'parquet']) AS kind, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length('a \"quoted\", ' || source))::BIGINT AS chars FROM documents"
 
+INDEXED = _graph("""
+, sides AS (SELECT source AS entity, target AS connected_to, chunk_id AS chunk FROM edge WHERE type = 'DISCUSSED' UNION ALL SELECT target, source, chunk_id FROM edge WHERE type = 'DISCUSSED')
+SELECT asked, entity, connected_to, count(*) AS n, min(chunk) AS first_chunk FROM sides, (VALUES ('SRC1'), ('rc0'), ('tha'), ('HE'), ('zzzz')) AS a(asked) WHERE contains(lower(entity), lower(asked)) GROUP BY ALL
+""")
+_LEX = f"""
+WITH w AS (SELECT {_words('lower(text)')} AS w FROM benchmark),
+three AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS phrase FROM w),
+long AS (SELECT DISTINCT x AS phrase FROM (SELECT unnest(w) AS x FROM w) WHERE length(x) >= 9),
+d AS (SELECT doc_id, lower(text) AS text FROM documents)
+"""
+_TIMES = "((length(text) - length(replace(text, phrase, ''))) // length(phrase))"
+LEXICON_HITS = f"{_LEX} SELECT doc_id, phrase, {_TIMES}::BIGINT AS n FROM d, three WHERE contains(text, phrase)"
+LEXICON_DOCS = f"{_LEX} SELECT doc_id, sum({_TIMES})::BIGINT AS hits FROM d, long WHERE contains(text, phrase) GROUP BY doc_id"
+KNN_PARTS = """
+WITH p AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice::DOUBLE AS b FROM part),
+d AS (SELECT q.p_partkey AS query_id, p.p_partkey, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) AS distance FROM p q JOIN p ON p.p_partkey <> q.p_partkey WHERE q.p_partkey % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, p_partkey)::INT AS rank, p_partkey, round(distance, 6) AS distance FROM d QUALIFY rank <= 5
+"""
+
 ORACLE_SQL = {
+    "graph_store_merge": UPSERT, "indexed_neighbors": INDEXED, "lexicon_hits": LEXICON_HITS, "lexicon_documents": LEXICON_DOCS, "knn_parts": KNN_PARTS,
     "knn_centroids": CENTROIDS, "graph_schema": GRAPH_SCHEMA, "merged_nodes": NODES, "episode_rows": EPISODES, "nlp_guests": GUESTS,
     "sampled_phrases": SAMPLED, "bronze_rows": BRONZE, "audit_lines": AUDIT_LINES, "audit_summary": AUDIT_SUMMARY, "bare_replies": REPLIES,
     "exports": EXPORTS,

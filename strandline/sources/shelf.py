@@ -43,8 +43,24 @@ class Shelf:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.shelf_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, df.shelf_path)
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder in whatever store the path names."""
+    found, store = _path(spark, path)
+    return store.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all in it, if it is there."""
+    found, store = _path(spark, path)
+    store.delete(found, True)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
