@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..functions import text as t
 from ..functions.providers import lexicon_sentiment
-from ..operators import chunk, clean, enrich, graph, ingest, lexicon, report, vectors
+from ..operators import boundaries, chunk, clean, enrich, graph, ingest, learned, lexicon, proper, report, terms, vectors
 from ..operators.agent import graph_facts, hybrid
 from ..operators.store import GraphStore, NameIndex
 from ..params import Lexicons, Params
@@ -400,6 +400,69 @@ def knn_parts(spark, sf_dir):
     return vectors.nearest_each(own, asked, 5, key="p_partkey").withColumn("distance", F.round("distance", 6))
 
 
+#: Words of the vectors that are learned: those in a hundredth of the documents.
+LEARNING = learned.Learning(share=0.01)
+
+
+def word_pairs(spark, sf_dir):
+    """How often two frequent words stand within four words of each other, and their mutual information."""
+    docs, shelf = _body(spark, sf_dir), Shelf(spark, "pairs")
+    words = sorted(r.word for r in learned.vocabulary(docs, LEARNING).limit(LEARNING.most).collect())
+    pairs = shelf.put(learned.pair_counts(docs, words, LEARNING))
+    told = spark.createDataFrame(list(enumerate(words)), "i long, word string")
+    of = lambda c: told.select(F.col("i").alias(c), F.col("word").alias(f"word_{c}"))
+    both = pairs.join(learned.mutual_information(pairs), ["a", "b"], "left").join(F.broadcast(of("a")), "a").join(F.broadcast(of("b")), "b")
+    return both.select("word_a", "word_b", "n", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("m"))
+
+
+def learned_neighbors(spark, sf_dir):
+    """The three documents nearest to each with an id divisible by 100, by vectors learned from all documents."""
+    docs = _body(spark, sf_dir)
+    found = Shelf(spark, "learned").put(learned.embedded(docs.select("doc_id", "text"), learned.fit(docs, LEARNING), text="text").drop("text"))
+    asked = found.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"))
+    return vectors.nearest_each(found, asked, 3, key="doc_id").withColumn("distance", F.round("distance", 6))
+
+
+def abbreviation_scores(spark, sf_dir):
+    """Words that stand with a period as a rule."""
+    return boundaries.abbreviations(_body(spark, sf_dir), least=1e-5).withColumn("score", F.round("score", 6))
+
+
+def learned_sentences(spark, sf_dir):
+    """Each document's sentences, split by the abbreviations of all documents: how many, and a digest of their places."""
+    docs = _body(spark, sf_dir)
+    short = Shelf(spark, "short").put(boundaries.abbreviations(docs).select("word"))
+    found = boundaries.with_sentences(docs.select("doc_id", "text"), short)
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join(F.transform("sentences", lambda s: s["end"].cast("string")), ",")).alias("ends"))
+
+
+def case_names(spark, sf_dir):
+    """Words that are capitalised inside sentences nearly always."""
+    return proper.name_words(proper.case_counts(_body(spark, sf_dir)), share=0.5)
+
+
+def document_names(spark, sf_dir):
+    """Each document's names by letter case."""
+    docs = _body(spark, sf_dir)
+    words = Shelf(spark, "names").put(proper.name_words(proper.case_counts(docs), share=0.5).select("word"))
+    return proper.with_names(docs.select("doc_id", "text"), words, most=PARAMS.max_guests).select("doc_id", F.array_join("names", "|").alias("names"))
+
+
+def _terms(spark, sf_dir):
+    return terms.term_table(_body(spark, sf_dir), stop=LEXICONS.stop_concepts)
+
+
+def concept_terms(spark, sf_dir):
+    """Concepts of several words, with C-value and association."""
+    return _terms(spark, sf_dir).withColumns({"cvalue": F.round("cvalue", 6), "association": F.round("association", 6)})
+
+
+def document_concepts(spark, sf_dir):
+    """The eight most frequent of the better concepts in each document."""
+    good = Shelf(spark, "terms").put(_terms(spark, sf_dir).where("cvalue > 3 AND association > 0.1").select("term"))
+    return terms.document_terms(_body(spark, sf_dir), good, k=PARAMS.max_concepts, stop=LEXICONS.stop_concepts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -410,5 +473,6 @@ QUERIES = {
         steps_report, latency_report, trace_report, token_count, filename_metadata, raw_audit, hybrid_retrieval, preview, events_by_day,
         knn_centroids, graph_schema, merged_nodes, episode_rows, nlp_guests, sampled_phrases, bronze_rows, audit_lines, audit_summary,
         bare_replies, exports, graph_store_merge, indexed_neighbors, lexicon_hits, lexicon_documents, knn_parts,
+        word_pairs, learned_neighbors, abbreviation_scores, learned_sentences, case_names, document_names, concept_terms, document_concepts,
     )
 }

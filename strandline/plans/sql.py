@@ -251,7 +251,50 @@ d AS (SELECT q.p_partkey AS query_id, p.p_partkey, (p.a - q.a) * (p.a - q.a) + (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, p_partkey)::INT AS rank, p_partkey, round(distance, 6) AS distance FROM d QUALIFY rank <= 5
 """
 
+WORD_PAIRS = f"""
+WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_words('lower(text)')} AS w FROM documents)),
+v AS (SELECT word FROM w GROUP BY word HAVING count(DISTINCT doc_id) >= greatest(3, 0.01 * (SELECT count(*) FROM documents))),
+k AS (SELECT w.* FROM w JOIN v USING (word)),
+p AS (SELECT x.word AS word_a, y.word AS word_b, count(*) AS n FROM k x JOIN k y ON x.doc_id = y.doc_id AND abs(x.pos - y.pos) BETWEEN 1 AND 4 GROUP BY ALL),
+s AS (SELECT word_a AS word, sum(n) AS s FROM p GROUP BY ALL)
+SELECT word_a, word_b, n, round(greatest(ln(n * (SELECT sum(n) FROM p)::DOUBLE / (a.s::DOUBLE * b.s)), 0), 6) AS m FROM p JOIN s a ON a.word = word_a JOIN s b ON b.word = word_b
+"""
+ABBREVIATIONS = r"""
+WITH k AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_.''-]*')) AS token FROM documents),
+c AS (SELECT regexp_replace(token, '\.+$', '') AS word, sum((NOT ends_with(token, '.'))::INT)::BIGINT AS bare, sum(ends_with(token, '.')::INT)::BIGINT AS dotted FROM k GROUP BY 1),
+l AS (SELECT * FROM c WHERE regexp_matches(word, '\p{L}')),
+t AS (SELECT least(greatest(sum(dotted) / sum(bare + dotted), 1e-9), 0.99 - 1e-9) AS p FROM l),
+r AS (SELECT *, length(replace(word, '.', ''))::DOUBLE AS z, 2 * (dotted * (ln(0.99) - ln(p)) + bare * (ln(1 - 0.99) - ln(1 - p))) AS ratio FROM l, t WHERE dotted > 0),
+s AS (SELECT word, bare, dotted, ratio * exp(-z) * (length(word) - z + 1) * pow(z, -bare) AS score FROM r)
+SELECT word, bare, dotted, round(score, 6) AS score FROM s WHERE score >= 1e-5
+"""
+CASE_NAMES = rf"""
+WITH p AS (SELECT unnest({_PIECES}) AS p FROM documents),
+w AS (SELECT regexp_extract_all(p, '\p{{L}}[\p{{L}}''-]*') AS w FROM p),
+e AS (SELECT unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+c AS (SELECT lower(x) AS word, sum((regexp_matches(x, '^\p{{Lu}}') AND i > 1)::INT)::BIGINT AS capital, sum((NOT regexp_matches(x, '^\p{{Lu}}'))::INT)::BIGINT AS small FROM e GROUP BY 1)
+SELECT * FROM c WHERE capital >= 3 AND capital >= 0.5 * (capital + small)
+"""
+_TERMS = f"""
+ts AS (SELECT doc_id, unnest({_PIECES}) AS p, generate_subscripts({_PIECES}, 1) AS si FROM documents),
+tw AS (SELECT doc_id, si, {_words('lower(p)')} AS w FROM ts),
+tg AS (SELECT doc_id, si, n, j, array_to_string(w[j:j + n - 1], ' ') AS term FROM tw, (VALUES (2), (3), (4)) AS l(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS u(j)
+       WHERE length(w[j]) >= 3 AND length(w[j + n - 1]) >= 3 AND w[j] NOT IN ({_STOP}) AND w[j + n - 1] NOT IN ({_STOP})),
+tf AS (SELECT term, n, count(*) AS f, count(DISTINCT doc_id) AS df FROM tg GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+th AS (SELECT a.term, count(*) AS holders, sum(b.f) AS held FROM tf b, unnest(list_distinct(flatten(list_transform(range(2, b.n), lambda m: list_transform(range(1, b.n - m + 2), lambda j: array_to_string(string_split(b.term, ' ')[j:j + m - 1], ' ')))))) AS i(x) JOIN tf a ON a.term = i.x GROUP BY ALL),
+wc AS (SELECT word, count(*) AS f FROM (SELECT unnest({_words('lower(text)')}) AS word FROM documents) GROUP BY ALL),
+tl AS (SELECT term, sum(ln(wc.f)) AS logs FROM (SELECT term, unnest(string_split(term, ' ')) AS word FROM tf) JOIN wc USING (word) GROUP BY ALL),
+tt AS (SELECT term, n, f, df, coalesce(holders, 0) AS holders, log2(n) * (f - coalesce(held / holders, 0)) AS cvalue,
+              (ln(f) + (n - 1) * ln((SELECT sum(f) FROM wc)) - logs) / greatest(-(n - 1) * ln(f / (SELECT sum(f) FROM wc)::DOUBLE), 1e-12) AS association
+       FROM tf LEFT JOIN th USING (term) JOIN tl USING (term))
+"""
+CONCEPT_TERMS = f"WITH {_TERMS} SELECT term, n, f, df, holders, round(cvalue, 6) AS cvalue, round(association, 6) AS association FROM tt"
+DOCUMENT_CONCEPTS = f"""WITH {_TERMS},
+td AS (SELECT doc_id, term, count(*) AS count, min([si, j, -n]) AS first FROM tg WHERE term IN (SELECT term FROM tt WHERE cvalue > 3 AND association > 0.1) GROUP BY ALL)
+SELECT doc_id, term, count, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, first)::INT AS rank FROM td QUALIFY rank <= 8"""
+
 ORACLE_SQL = {
+    "word_pairs": WORD_PAIRS, "abbreviation_scores": ABBREVIATIONS, "case_names": CASE_NAMES, "concept_terms": CONCEPT_TERMS, "document_concepts": DOCUMENT_CONCEPTS,
     "graph_store_merge": UPSERT, "indexed_neighbors": INDEXED, "lexicon_hits": LEXICON_HITS, "lexicon_documents": LEXICON_DOCS, "knn_parts": KNN_PARTS,
     "knn_centroids": CENTROIDS, "graph_schema": GRAPH_SCHEMA, "merged_nodes": NODES, "episode_rows": EPISODES, "nlp_guests": GUESTS,
     "sampled_phrases": SAMPLED, "bronze_rows": BRONZE, "audit_lines": AUDIT_LINES, "audit_summary": AUDIT_SUMMARY, "bare_replies": REPLIES,
