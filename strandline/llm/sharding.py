@@ -28,7 +28,7 @@ from .shelf import Shelf
 
 @dataclass(frozen=True)
 class Packing:
-    """``lots`` items by hash a shard; a group above ``own`` of a shard is its own item, one above ``piece`` of a shard is cut."""
+    """``lots`` items by hash a shard; a group above ``own`` of a shard is its own item, one above ``piece`` of a shard is cut into eighths of that."""
 
     shards: int = 24
     lots: int = 1024
@@ -137,7 +137,7 @@ def shard(docs: DataFrame, *, text: str = "text", key: str = "doc_id", plan: Pac
     # An item is a stretch of a group's ranks: its name, the first rank and the row's vector. Texts of a group are equal.
     items = [(r["g"], 0, (r["bytes"], r["tokens"], r["rows"])) for r in rows.where(F.col("g").startswith("l/")).groupBy("g").agg(*sums).collect()]  # bounded by lots
     for r in large:
-        k = min(r["pieces"], r["rows"])
+        k = min(r["pieces"] * (8 if r["pieces"] > 1 else 1), r["rows"])  # a group that is cut at all is cut fine enough to level the loads
         starts = [i * r["rows"] // k for i in range(k + 1)]
         items += [(f"g/{r['text_hash']}/{r['crc']}", a, tuple(r[c] * (b - a) / r["rows"] for c in ("bytes", "tokens", "rows"))) for a, b in zip(starts, starts[1:])]
     items.sort()
