@@ -220,3 +220,17 @@ def test_equal_halves_of_a_digest_are_not_enough(spark):
     """Classes are told apart by both halves."""
     rows = spark.createDataFrame([(1, 5, 7, 1, b"x" * 224), (2, 5, 7, 2, b"x" * 224), (3, 5, 7, 1, b"x" * 224)], "id long, n long, d1 long, d2 long, sig binary")
     assert sorted(r.id for r in near_dedup.set_classes(rows).collect()) == [1, 2]
+
+
+def test_many_rows_with_one_id_or_none(spark):
+    """Sets meet classes by their digests: a thousand texts without an id, and hundreds with the same, are as much work as others."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    base = [r.choice(words) for _ in range(60)]
+    texts = []
+    for i in range(1200):
+        own = list(base)
+        own[r.randrange(60)] = f"x{i}"
+        texts.append((None if i < 900 else 7, " ".join(own)))
+    texts += [(1000 + i, " ".join(r.choice(words) for _ in range(40))) for i in range(50)]
+    check(spark, texts)
