@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..functions import text as t
 from ..functions.providers import lexicon_sentiment
-from ..operators import boundaries, chunk, clean, enrich, graph, ingest, learned, lexicon, proper, report, terms, vectors
+from ..operators import boundaries, bulk, chunk, clean, enrich, graph, ingest, learned, lexicon, proper, report, terms, vectors
 from ..operators.agent import graph_facts, hybrid
 from ..operators.store import GraphStore, NameIndex
 from ..params import Lexicons, Params
@@ -463,6 +463,18 @@ def document_concepts(spark, sf_dir):
     return terms.document_terms(_body(spark, sf_dir), good, k=PARAMS.max_concepts, stop=LEXICONS.stop_concepts)
 
 
+def bulk_answers(spark, sf_dir):
+    """Every user turn as a question: to the graph of the documents, and to the benchmark's items as chunks."""
+    own, shelf = _episodes(spark, sf_dir), Shelf(spark, "answers")
+    valid, nodes = shelf.put(graph.valid_episodes(own, PARAMS)), shelf.put(graph.nodes(own, PARAMS))
+    edges = shelf.put(graph.upserted(valid, nodes))
+    items = table(spark, f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("chunk_id"), F.col("text").alias("text_content"), F.lit(0.0).alias("episode_chaos"))
+    tables = {"nodes": nodes, "edges": edges, "upserted": edges, "vectors": shelf.put(vectors.embedded(items))}
+    turns = table(spark, f"{sf_dir}/conversations.parquet").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("question"))
+    done = bulk.answered(tables, turns, lambda df: vectors.embedded(df, text="question"))
+    return done.select("id", F.array_join("steps", ">").alias("steps"), F.size("context").cast("long").alias("sources"), F.md5("answer").alias("answer"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -473,6 +485,6 @@ QUERIES = {
         steps_report, latency_report, trace_report, token_count, filename_metadata, raw_audit, hybrid_retrieval, preview, events_by_day,
         knn_centroids, graph_schema, merged_nodes, episode_rows, nlp_guests, sampled_phrases, bronze_rows, audit_lines, audit_summary,
         bare_replies, exports, graph_store_merge, indexed_neighbors, lexicon_hits, lexicon_documents, knn_parts,
-        word_pairs, learned_neighbors, abbreviation_scores, learned_sentences, case_names, document_names, concept_terms, document_concepts,
+        word_pairs, learned_neighbors, abbreviation_scores, learned_sentences, case_names, document_names, concept_terms, document_concepts, bulk_answers,
     )
 }
