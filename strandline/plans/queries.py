@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..functions import text as t
 from ..functions.providers import lexicon_sentiment
-from ..operators import boundaries, bulk, chunk, clean, enrich, graph, ingest, learned, lexicon, proper, report, terms, vectors
+from ..operators import boundaries, bulk, chunk, clean, enrich, graph, ingest, learned, lemmas, lexicon, proper, report, terms, vectors
 from ..operators.agent import graph_facts, hybrid
 from ..operators.store import GraphStore, NameIndex
 from ..params import Lexicons, Params
@@ -463,6 +463,23 @@ def document_concepts(spark, sf_dir):
     return terms.document_terms(_body(spark, sf_dir), good, k=PARAMS.max_concepts, stop=LEXICONS.stop_concepts)
 
 
+def lemma_pairs(spark, sf_dir):
+    """Words with the lemma that the corpus' endings show."""
+    return lemmas.lemma_table(_body(spark, sf_dir))
+
+
+def complexity_by_lemmas(spark, sf_dir):
+    """The complexity score with lemmas in place of words."""
+    docs = _body(spark, sf_dir)
+    table_ = Shelf(spark, "lemmas").put(lemmas.lemma_table(docs))
+    st = enrich.sentence_stats(F.col("text"), PARAMS)
+    own = docs.select("doc_id", (F.length("text") >= PARAMS.min_feature_chars).alias("long"), F.size(lemmas.letters(F.col("text"))).alias("letters"), st.alias("x"))
+    own = own.join(lemmas.distinct_lemmas(docs, table_), "doc_id", "left").withColumn("lemmas", F.coalesce("lemmas", F.lit(0).cast("long")))
+    mean = F.when(F.col("x.n_long") > 0, F.col("x.long_words") / F.col("x.n_long"))
+    score = F.when(F.col("letters") > 0, F.col("lemmas") / F.col("letters")).otherwise(0.0) * 100 + mean * 0.5
+    return own.select("doc_id", "lemmas", F.when(F.col("long") & (F.col("x.n_long") > 0), s.round2(score)).otherwise(0.0).alias("complexity"))
+
+
 def bulk_answers(spark, sf_dir):
     """Every user turn as a question: to the graph of the documents, and to the benchmark's items as chunks."""
     own, shelf = _episodes(spark, sf_dir), Shelf(spark, "answers")
@@ -485,6 +502,6 @@ QUERIES = {
         steps_report, latency_report, trace_report, token_count, filename_metadata, raw_audit, hybrid_retrieval, preview, events_by_day,
         knn_centroids, graph_schema, merged_nodes, episode_rows, nlp_guests, sampled_phrases, bronze_rows, audit_lines, audit_summary,
         bare_replies, exports, graph_store_merge, indexed_neighbors, lexicon_hits, lexicon_documents, knn_parts,
-        word_pairs, learned_neighbors, abbreviation_scores, learned_sentences, case_names, document_names, concept_terms, document_concepts, bulk_answers,
+        word_pairs, learned_neighbors, abbreviation_scores, learned_sentences, case_names, document_names, concept_terms, document_concepts, bulk_answers, lemma_pairs, complexity_by_lemmas,
     )
 }

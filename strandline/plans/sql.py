@@ -293,7 +293,22 @@ DOCUMENT_CONCEPTS = f"""WITH {_TERMS},
 td AS (SELECT doc_id, term, count(*) AS count, min([si, j, -n]) AS first FROM tg WHERE term IN (SELECT term FROM tt WHERE cvalue > 3 AND association > 0.1) GROUP BY ALL)
 SELECT doc_id, term, count, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, first)::INT AS rank FROM td QUALIFY rank <= 8"""
 
+_LEMMAS = f"""
+lw AS (SELECT doc_id, list_filter({_words('lower(text)')}, lambda x: regexp_full_match(x, '\\p{{L}}+')) AS a FROM documents),
+lv AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(a)) AS word FROM lw) GROUP BY word HAVING count(*) >= 3),
+lp AS (SELECT word, word[1:i] AS stem, word[i + 1:] AS ending FROM lv, unnest(range(greatest(4, length(word) - 4), length(word) + 1)) AS u(i)),
+lm AS (SELECT a.word, a.ending AS longer, b.word AS lemma, b.ending AS shorter FROM lp a JOIN lp b ON a.stem = b.stem WHERE length(a.ending) > length(b.ending)),
+lr AS (SELECT longer, shorter, count(*) AS support FROM lm GROUP BY ALL HAVING count(*) >= 20),
+lt AS (SELECT word, lemma, support FROM lm JOIN lr USING (longer, shorter) QUALIFY row_number() OVER (PARTITION BY word ORDER BY support DESC, length(lemma), lemma) = 1)
+"""
+LEMMAS = f"WITH {_LEMMAS} SELECT * FROM lt"
+COMPLEXITY_LEMMAS = f"""WITH {_STATS}, {_LEMMAS},
+ln AS (SELECT doc_id, count(DISTINCT coalesce(lemma, word)) AS lemmas FROM (SELECT doc_id, unnest(list_distinct(a)) AS word FROM lw) LEFT JOIN lt USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(lemmas, 0) AS lemmas, CASE WHEN ok THEN round_even(CASE WHEN len(a) > 0 THEN coalesce(lemmas, 0)::DOUBLE / len(a) ELSE 0.0 END * 100 + s / k * 0.5, 2) ELSE 0.0 END AS complexity
+FROM full_docs JOIN lw USING (doc_id) LEFT JOIN ln USING (doc_id)"""
+
 ORACLE_SQL = {
+    "lemma_pairs": LEMMAS, "complexity_by_lemmas": COMPLEXITY_LEMMAS,
     "word_pairs": WORD_PAIRS, "abbreviation_scores": ABBREVIATIONS, "case_names": CASE_NAMES, "concept_terms": CONCEPT_TERMS, "document_concepts": DOCUMENT_CONCEPTS,
     "graph_store_merge": UPSERT, "indexed_neighbors": INDEXED, "lexicon_hits": LEXICON_HITS, "lexicon_documents": LEXICON_DOCS, "knn_parts": KNN_PARTS,
     "knn_centroids": CENTROIDS, "graph_schema": GRAPH_SCHEMA, "merged_nodes": NODES, "episode_rows": EPISODES, "nlp_guests": GUESTS,
