@@ -178,7 +178,7 @@ def nearest_each(table: DataFrame, queries: DataFrame, k: int = 3, *, key: str =
     """
     spark = table.sparkSession
     shelf = Shelf(spark, "nearest")
-    # Rows, rings and queries travel in batches of few rows: a block is an array.
+    # A block is an array in a row; Spark bounds the bytes of a batch (64 MB unless the session sets another number).
     finite = lambda v: v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     rows = table.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v"))
     rows = shelf.put(rows.where(F.col("id").isNotNull() & finite(F.col("v"))).distinct())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..functions import text as t
 from ..functions.providers import lexicon_sentiment
-from ..operators import boundaries, bulk, chunk, clean, enrich, graph, ingest, learned, lemmas, lexicon, proper, report, terms, vectors
+from ..operators import boundaries, bulk, chunk, clean, enrich, graph, ingest, learned, lemmas, lexicon, proper, report, sentiment as moods, terms, vectors
 from ..operators.agent import graph_facts, hybrid
 from ..operators.store import GraphStore, NameIndex
 from ..params import Lexicons, Params
@@ -404,15 +404,37 @@ def knn_parts(spark, sf_dir):
 LEARNING = learned.Learning(share=0.01)
 
 
-def word_pairs(spark, sf_dir):
-    """How often two frequent words stand within four words of each other, and their mutual information."""
+def _pairs(spark, sf_dir):
+    """Pairs of frequent words as text, with their counts and mutual information, written once."""
     docs, shelf = _body(spark, sf_dir), Shelf(spark, "pairs")
     words = sorted(r.word for r in learned.vocabulary(docs, LEARNING).limit(LEARNING.most).collect())
     pairs = shelf.put(learned.pair_counts(docs, words, LEARNING))
     told = spark.createDataFrame(list(enumerate(words)), "i long, word string")
     of = lambda c: told.select(F.col("i").alias(c), F.col("word").alias(f"word_{c}"))
     both = pairs.join(learned.mutual_information(pairs), ["a", "b"], "left").join(F.broadcast(of("a")), "a").join(F.broadcast(of("b")), "b")
-    return both.select("word_a", "word_b", "n", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("m"))
+    return shelf.put(both.select("word_a", "word_b", "n", F.coalesce("m", F.lit(0.0)).alias("m")))
+
+
+def word_pairs(spark, sf_dir):
+    """How often two frequent words stand within four words of each other, and their mutual information."""
+    return _pairs(spark, sf_dir).withColumn("m", F.round("m", 6))
+
+
+def _mood(spark, sf_dir):
+    """The moods of a few words, spread over the pairs."""
+    pairs = _pairs(spark, sf_dir).where("m > 0").select(F.col("word_a").alias("a"), F.col("word_b").alias("b"), "m")
+    return moods.induced(pairs, spark.createDataFrame(list(MOODS.items()), "word string, score double"))
+
+
+def induced_lexicon(spark, sf_dir):
+    """Scores of words near the seed words."""
+    return _mood(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+def induced_sentiment(spark, sf_dir):
+    """Each document's mean score by the induced lexicon, with negations and intensifiers."""
+    found = moods.scored(_body(spark, sf_dir), _mood(spark, sf_dir), negations=("of", "que"), intensifiers=("that", "der"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def learned_neighbors(spark, sf_dir):
@@ -502,6 +524,6 @@ QUERIES = {
         steps_report, latency_report, trace_report, token_count, filename_metadata, raw_audit, hybrid_retrieval, preview, events_by_day,
         knn_centroids, graph_schema, merged_nodes, episode_rows, nlp_guests, sampled_phrases, bronze_rows, audit_lines, audit_summary,
         bare_replies, exports, graph_store_merge, indexed_neighbors, lexicon_hits, lexicon_documents, knn_parts,
-        word_pairs, learned_neighbors, abbreviation_scores, learned_sentences, case_names, document_names, concept_terms, document_concepts, bulk_answers, lemma_pairs, complexity_by_lemmas,
+        word_pairs, learned_neighbors, abbreviation_scores, learned_sentences, case_names, document_names, concept_terms, document_concepts, bulk_answers, lemma_pairs, complexity_by_lemmas, induced_lexicon, induced_sentiment,
     )
 }

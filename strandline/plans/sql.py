@@ -251,14 +251,25 @@ d AS (SELECT q.p_partkey AS query_id, p.p_partkey, (p.a - q.a) * (p.a - q.a) + (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, p_partkey)::INT AS rank, p_partkey, round(distance, 6) AS distance FROM d QUALIFY rank <= 5
 """
 
-WORD_PAIRS = f"""
-WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_words('lower(text)')} AS w FROM documents)),
+_PAIRS = f"""
+w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_words('lower(text)')} AS w FROM documents)),
 v AS (SELECT word FROM w GROUP BY word HAVING count(DISTINCT doc_id) >= greatest(3, 0.01 * (SELECT count(*) FROM documents))),
-k AS (SELECT w.* FROM w JOIN v USING (word)),
-p AS (SELECT x.word AS word_a, y.word AS word_b, count(*) AS n FROM k x JOIN k y ON x.doc_id = y.doc_id AND abs(x.pos - y.pos) BETWEEN 1 AND 4 GROUP BY ALL),
-s AS (SELECT word_a AS word, sum(n) AS s FROM p GROUP BY ALL)
-SELECT word_a, word_b, n, round(greatest(ln(n * (SELECT sum(n) FROM p)::DOUBLE / (a.s::DOUBLE * b.s)), 0), 6) AS m FROM p JOIN s a ON a.word = word_a JOIN s b ON b.word = word_b
+k AS MATERIALIZED (SELECT w.* FROM w JOIN v USING (word)),
+p AS MATERIALIZED (SELECT x.word AS word_a, y.word AS word_b, count(*) AS n FROM k x JOIN k y ON x.doc_id = y.doc_id AND abs(x.pos - y.pos) BETWEEN 1 AND 4 GROUP BY ALL),
+s AS (SELECT word_a AS word, sum(n) AS s FROM p GROUP BY ALL),
+pm AS MATERIALIZED (SELECT word_a, word_b, n, greatest(ln(n * (SELECT sum(n) FROM p)::DOUBLE / (a.s::DOUBLE * b.s)), 0) AS m FROM p JOIN s a ON a.word = word_a JOIN s b ON b.word = word_b)
 """
+WORD_PAIRS = f"WITH {_PAIRS} SELECT word_a, word_b, n, round(m, 6) AS m FROM pm"
+_SEEDS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in MOODS.items())
+_SPREAD = """SELECT word_a AS word, 0.85 * sum(m * score) / sum(m) AS score FROM pm JOIN {} AS r ON r.word = word_b WHERE m > 0 AND word_a NOT IN (SELECT word FROM m0) GROUP BY ALL UNION ALL FROM m0"""
+_MOODS = f"{_PAIRS}, m0(word, score) AS (VALUES {_SEEDS}), m1 AS MATERIALIZED ({_SPREAD.format('m0')}), m2 AS MATERIALIZED ({_SPREAD.format('m1')})"
+INDUCED_LEXICON = f"WITH {_MOODS} SELECT word, round(score, 6) AS score FROM m2"
+INDUCED_SENTIMENT = f"""WITH {_MOODS},
+a AS (SELECT doc_id, {_words('lower(text)')} AS w FROM documents),
+c AS (SELECT doc_id, unnest(w) AS word, unnest(list_transform(range(1, len(w) + 1), lambda i: w[greatest(i - 3, 1):i - 1])) AS x FROM a),
+e AS (SELECT doc_id, count(*) AS words, avg(score * CASE WHEN list_has_any(x, ['of', 'que']) THEN -1.0 ELSE 1.0 END * CASE WHEN list_has_any(x, ['that', 'der']) THEN 1.5 ELSE 1.0 END) AS score
+      FROM c JOIN m2 USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(words, 0) AS words, round(coalesce(score, 0.0), 6) AS score FROM documents LEFT JOIN e USING (doc_id)"""
 ABBREVIATIONS = r"""
 WITH k AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_.''-]*')) AS token FROM documents),
 c AS (SELECT regexp_replace(token, '\.+$', '') AS word, sum((NOT ends_with(token, '.'))::INT)::BIGINT AS bare, sum(ends_with(token, '.')::INT)::BIGINT AS dotted FROM k GROUP BY 1),
@@ -308,6 +319,7 @@ SELECT doc_id, coalesce(lemmas, 0) AS lemmas, CASE WHEN ok THEN round_even(CASE
 FROM full_docs JOIN lw USING (doc_id) LEFT JOIN ln USING (doc_id)"""
 
 ORACLE_SQL = {
+    "induced_lexicon": INDUCED_LEXICON, "induced_sentiment": INDUCED_SENTIMENT,
     "lemma_pairs": LEMMAS, "complexity_by_lemmas": COMPLEXITY_LEMMAS,
     "word_pairs": WORD_PAIRS, "abbreviation_scores": ABBREVIATIONS, "case_names": CASE_NAMES, "concept_terms": CONCEPT_TERMS, "document_concepts": DOCUMENT_CONCEPTS,
     "graph_store_merge": UPSERT, "indexed_neighbors": INDEXED, "lexicon_hits": LEXICON_HITS, "lexicon_documents": LEXICON_DOCS, "knn_parts": KNN_PARTS,
