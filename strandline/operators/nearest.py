@@ -25,7 +25,7 @@ from ..sources.shelf import Shelf
 #: Rows of a block; pivots at most; rings of a cell; queries of a group.
 BLOCK, PIVOTS, RINGS, GROUP = 1024, 1024, 16, 256
 #: Pairs compared at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 _KEY = ["cell", "ring", "part"]
 _ROWS = "array<struct<id:{id},v:array<double>>>"
@@ -174,7 +174,7 @@ def nearest_each(table: DataFrame, queries: DataFrame, k: int = 3, *, key: str =
     Ties go to the smaller key. Unless ``own`` a row isn't its own neighbour. Rows that repeat key and vector count once, a key
     with several vectors takes its nearest, and so does a query. Null vectors, those with null or non-finite components and
     those of another length than the query's aren't compared; a null key is no row. ``pivots`` is about the square root of the
-    number of rows, at most ``PIVOTS``; they are the first rows by hash, and the only rows that come to the driver.
+    number of rows, at most ``PIVOTS``; they are the first distinct vectors by hash, and the only rows that come to the driver.
     """
     spark = table.sparkSession
     shelf = Shelf(spark, "nearest")
@@ -187,7 +187,7 @@ def nearest_each(table: DataFrame, queries: DataFrame, k: int = 3, *, key: str =
     query_type = asked.schema["query_id"].dataType.simpleString()
     n = rows.count()
     some = min(PIVOTS, pivots or max(1, round(2 * n**0.5)))
-    cells = Cells([r.v for r in rows.orderBy(F.xxhash64("v"), "id").limit(some).collect()])
+    cells = Cells([r.v for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(some).collect()])
     placed = shelf.put(_placed(rows, cells))
     blocks = shelf.put(_blocks(placed, block, id_type))
     rings = blocks.groupBy("cell", "ring").agg(F.min("low"), F.max("high"), F.sum("n"), F.max("parts")).collect()  # at most RINGS for a cell
