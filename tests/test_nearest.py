@@ -34,3 +34,26 @@ def test_clusters_odd_rows_and_a_common_vector(spark):
     found = nearest.nearest_each(table, queries, 3, block=128)
     assert sorted(map(tuple, found.rows.collect())) == brute(rows, asked, 3)
     assert found.visited.agg(F.sum("visited")).first()[0] < 0.3 * queries.count() * len(rows)
+
+
+def test_copies_are_compared_once(spark):
+    """Each of 4,000 copies asks, among them and with few vectors: none is compared with all copies."""
+    table = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(F.floor(F.col("id") / 2000).cast("double"), F.lit(1.0)).alias("vector"))
+    table = table.unionByName(spark.createDataFrame([(5000, [0.0, 3.0]), (5001, [9.0, 9.0])], table.schema))
+    queries = table.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    found = nearest.nearest_each(table, queries, 2)
+    assert found.visited.agg(F.max("visited")).first()[0] <= 4
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in found.rows.collect()}
+    assert len(got) == 2 * 4002 and got[0, 1] == (1, 0.0) and got[1999, 2] == (1, 0.0) and got[2000, 1] == (2001, 0.0)
+    assert got[5000, 1] == (0, 4.0) and got[5000, 2] == (1, 4.0) and got[5001, 1] == (5000, 117.0)
+
+
+def test_products_decide_only_what_their_rounding_allows():
+    """Far from the origin squared lengths swallow small distances; the nearest and their order stay those of the plain definition."""
+    r = np.random.default_rng(5)
+    rows = 1e8 + r.normal(0, 1, (300, 6))
+    own = rows[:20] + r.normal(0, 1e-3, (20, 6))
+    q, at, total = nearest._best(own, rows, np.full(20, np.inf), 4)
+    plain = ((rows[None] - own[:, None]) ** 2).sum(2)
+    assert at.reshape(20, 4).tolist() == np.argsort(plain, 1, kind="stable")[:, :4].tolist()
+    assert np.allclose(total.reshape(20, 4), np.sort(plain, 1)[:, :4])
