@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,9 @@ class Learning:
 
 
 #: Pairs that a task adds up before it passes them on.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Words that a task looks at once, and those whose vectors it holds at once.
+WORDS, WEIGHED = 1 << 17, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -78,39 +81,56 @@ def vocabulary(docs: DataFrame, how: Learning = Learning(), *, text: str = "text
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= max(how.least, how.share * n))
 
 
-def _numbers(lists: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def _counts(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _slices(lists: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """The first row and the rows of parts with at most ``most`` words, or one row of more."""
+    ends, begin = np.cumsum(_counts(lists)), 0
+    while begin < len(lists):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+        yield begin, lists.slice(begin, end - begin)
+        begin = end
+
+
+def _numbers(lists: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The number of each word, -1 for others, and the row of each."""
-    counts = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
-    words = lists.flatten().to_pylist()
-    return np.fromiter((number.get(w, -1) for w in words), np.int64, len(words)), np.repeat(np.arange(len(counts)), counts)
+    counts = _counts(lists)
+    ids = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, np.repeat(np.arange(len(counts)), counts)
 
 
 def pair_counts(docs: DataFrame, words: list[str], how: Learning = Learning(), *, text: str = "text") -> DataFrame:
     """``a, b, n``: how often two words, by number, stand within the window, in either order; each task adds up its own first."""
-    spread = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    spread = docs.sparkSession.sparkContext.broadcast(pa.array(words, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def added() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held]))
+            keys, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            return keys[begin], np.add.reduceat(n, begin) if len(keys) else n
 
         def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
 
         for batch in batches:
-            ids, rows = _numbers(batch.column(0), spread.value)
-            for step in range(1, how.window + 1):
-                a, b = ids[:-step], ids[step:]
-                ok = (a >= 0) & (b >= 0) & (rows[:-step] == rows[step:])
-                a, b = a[ok], b[ok]
-                keys, n = np.unique(np.concatenate([a << 32 | b, b << 32 | a]), return_counts=True)
-                held.append((keys, n))
-            if sum(len(k) for k, _ in held) > HELD:
-                held = [added()]
-                if len(held[0][0]) > HELD // 2:
-                    yield out(*held.pop())
+            for _, part in _slices(batch.column(0), WORDS):
+                ids, rows = _numbers(part, spread.value)
+                for step in range(1, how.window + 1):
+                    a, b = ids[:-step], ids[step:]
+                    ok = (a >= 0) & (b >= 0) & (rows[:-step] == rows[step:])
+                    a, b = a[ok], b[ok]
+                    keys, n = np.unique(np.concatenate([a << 32 | b, b << 32 | a]), return_counts=True)
+                    held.append((keys, n))
+                if sum(len(k) for k, _ in held) > HELD:
+                    held = [added()]
+                    if len(held[0][0]) > HELD // 2:
+                        yield out(*held.pop())
         if held:
             yield out(*added())
 
@@ -182,26 +202,33 @@ def fit(docs: DataFrame, how: Learning = Learning(), *, text: str = "text") -> E
     pairs = shelf.put(pair_counts(docs, words, how, text=text))
     entries = shelf.put(mutual_information(pairs).repartition("a"))
     vectors = leading(entries, len(words), how)
-    seen = docs.select(F.explode(t.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    times = {r.word: r.n for r in seen.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "word string")), "word").collect()}
+    own = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "word string"))
+    seen = docs.select(F.explode(t.words(F.col(text))).alias("word")).join(own, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    times = {r.word: r.n for r in seen.collect()}
     every = docs.select(F.sum(t.word_count(F.col(text)))).first()[0] or 1
     weights = np.array([how.weight / (how.weight + times[w] / every) for w in words])
     plain = Embedding(words, vectors, weights, np.zeros(how.size))
     return Embedding(words, vectors, weights, _common(docs, plain, text))
 
 
-def _means(lists: pa.Array, number: dict[str, int], e: Embedding) -> np.ndarray:
-    ids, rows = _numbers(lists, number)
-    rows, ids = rows[ids >= 0], ids[ids >= 0]
-    out = np.zeros((len(lists), e.vectors.shape[1]))
-    np.add.at(out, rows, e.vectors[ids] * e.weights[ids][:, None])
-    return out / np.maximum(np.bincount(rows, minlength=len(lists)), 1)[:, None]
+def _means(lists: pa.Array, words: pa.Array, e: Embedding) -> np.ndarray:
+    """The weighted mean of each row's vectors; a few words' vectors are held at once, of however long a row."""
+    out, known = np.zeros((len(lists), e.vectors.shape[1])), np.zeros(len(lists), np.int64)
+    for start, part in _slices(lists, WORDS):
+        ids, rows = _numbers(part, words)
+        rows, ids = rows[ids >= 0] + start, ids[ids >= 0]
+        known += np.bincount(rows, minlength=len(lists))
+        for i in range(0, len(ids), WEIGHED):
+            at, row = ids[i : i + WEIGHED], rows[i : i + WEIGHED]
+            begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            out[row[begin]] += np.add.reduceat(e.vectors[at] * e.weights[at][:, None], begin, axis=0)
+    return out / np.maximum(known, 1)[:, None]
 
 
 def _common(docs: DataFrame, e: Embedding, text: str) -> np.ndarray:
     """The first direction of all texts' vectors, from the sums of their products."""
     size = e.vectors.shape[1]
-    spread = docs.sparkSession.sparkContext.broadcast((e, {w: i for i, w in enumerate(e.words)}))
+    spread = docs.sparkSession.sparkContext.broadcast((e, pa.array(e.words, pa.string())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
@@ -222,14 +249,14 @@ def _common(docs: DataFrame, e: Embedding, text: str) -> np.ndarray:
 
 def embedded(texts: DataFrame, e: Embedding, *, text: str = "text_content", out: str = "vector") -> DataFrame:
     """``texts`` with ``out``, of length 1; the zero vector for a null text and one without a known word."""
-    spread = texts.sparkSession.sparkContext.broadcast((e, {w: i for i, w in enumerate(e.words)}))
+    spread = texts.sparkSession.sparkContext.broadcast((e, pa.array(e.words, pa.string())))
     kept = [c for c in texts.columns if c.lower() != out.lower()]
     schema = T.StructType([*(texts.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number = spread.value
+        own, words_ = spread.value
         for batch in batches:
-            v = _means(batch.column(batch.num_columns - 1), number, own)
+            v = _means(batch.column(batch.num_columns - 1), words_, own)
             v -= (v @ own.common)[:, None] * own.common
             length = np.linalg.norm(v, axis=1, keepdims=True)
             v = np.where(length > 1e-12, v / np.where(length > 1e-12, length, 1), 0).astype(np.float32)

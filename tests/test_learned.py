@@ -88,3 +88,23 @@ def test_bounds(spark):
         assert "larger share" in str(error)
     nothing = learned.fit(docs.where("doc_id < 0"), HOW)
     assert nothing.words == [] and not np.array(learned.embedded(docs.limit(1), nothing, text="text").first().vector).any()
+
+
+def test_memory_of_a_task_is_bounded_by_words_at_once():
+    """However many words a batch or a row has, a few words' vectors are held; the means are those of plain loops."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = pa.array(["a", "b", "c"])
+    e = learned.Embedding(["a", "b", "c"], np.arange(192.0).reshape(3, 64), np.array([1.0, 0.5, 0.25]), np.zeros(64))
+    lists = pa.array([["a", "zz", "b"], None, [], ["c", "a"] * 150_000, ["zz"], ["b"]] + [["c", "b"]] * 60_000)
+    tracemalloc.start()
+    got = learned._means(lists, words, e)
+    peak = tracemalloc.get_traced_memory()[1] - got.nbytes * 2
+    tracemalloc.stop()
+    assert peak < 60e6
+    a, b, c = (e.vectors[i] * e.weights[i] for i in range(3))
+    assert np.allclose(got[:6], [(a + b) / 2, a * 0, a * 0, (a + c) / 2, a * 0, b]) and np.allclose(got[6:], (b + c) / 2)
+    parts = list(learned._slices(lists, 1000))
+    assert sum(len(x) for _, x in parts) == len(lists) and all(len(x) == 1 or len(x.flatten()) <= 1000 for _, x in parts)
