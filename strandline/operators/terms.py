@@ -4,8 +4,8 @@ Candidates are runs of two to four words inside a sentence that neither begin no
 a stop word. A candidate's C-value is its frequency less the mean frequency of the longer
 candidates that hold it, times the logarithm of its length: "neural network" counts where it
 isn't part of "deep neural network". The association of its words (normalised mutual
-information) keeps out words that meet by chance. Runs are first counted by hash, and
-only those in enough documents again as text, so the result is exact.
+information) keeps out words that meet by chance. A document marks each of its terms once, so
+occurrences and documents are sums by term: one pass and one shuffle of what tasks have added up.
 """
 
 from __future__ import annotations
@@ -45,6 +45,11 @@ def _ends_fit(w: Column, n: int, fit):
     return lambda j: fit(F.get(w, j - 1)) & fit(F.get(w, j + (n - 2)))
 
 
+def _marked(terms: Column) -> Column:
+    """``term, first`` of each of a document's terms in order; ``first`` is 1 once for each distinct one."""
+    return F.transform(terms, lambda x, i: F.struct(x.alias("term"), (~F.get(terms, i - 1).eqNullSafe(x)).cast("long").alias("first")))
+
+
 def _named(w: Column, n: int, i: Column):
     return lambda j: F.struct(F.array_join(F.slice(w, j, n), " ").alias("term"), F.lit(n).alias("n"), i.alias("sentence"), j.alias("place"))
 
@@ -56,11 +61,9 @@ def term_table(docs: DataFrame, *, text: str = "text", least: int = 3, stop: Seq
     count each.
     """
     shelf = Shelf(docs.sparkSession, "terms")
-    every = docs.select(F.transform(candidates(F.col(text), stop), lambda x: x["term"]).alias("terms"))
-    often = every.select(F.explode(F.array_distinct(F.transform("terms", lambda x: F.xxhash64(x)))).alias("h")).groupBy("h").count().where(F.col("count") >= least).select("h")
-    often = sent_if_small(shelf.put(often))
-    in_doc = every.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("terms").alias("term")).join(often, F.xxhash64("term") == F.col("h"), "left_semi").groupBy("row", "term").count()
-    found = in_doc.groupBy("term").agg(F.sum("count").alias("f"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
+    every = t.let(F.array_sort(F.transform(candidates(F.col(text), stop), lambda x: x["term"])), _marked)
+    each = docs.select(F.explode(every).alias("x")).select("x.term", "x.first")
+    found = each.groupBy("term").agg(F.count(F.lit(1)).alias("f"), F.sum("first").alias("df")).where(F.col("df") >= least)
     found = shelf.put(found.withColumn("n", F.size(F.split("term", " "))))
     inner = F.array_distinct(F.flatten(F.array(*(t.ngrams(F.split("term", " "), n) for n in LENGTHS[:-1]))))
     held = found.select(F.col("term").alias("longer"), "f", F.explode(inner).alias("term")).where("term <> longer").groupBy("term").agg(F.count(F.lit(1)).alias("holders"), F.sum("f").alias("held"))

@@ -72,3 +72,16 @@ def test_against_plain_loops(spark):
         first = {g: min((i, j, -m) for h, m, i, j in own if h == g) for g in count}
         assert rows.get(k, []) == [(g, count[g]) for g in sorted(count, key=lambda g: (-count[g], first[g]))[:3]]
     assert terms.term_table(docs.where("doc_id < 0"), stop=STOP).count() == 0
+
+
+def test_terms_are_counted_in_one_pass(spark, monkeypatch):
+    """Each distinct term of a document is marked once, and the texts' candidates are computed once for the table."""
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],)], "x array<string>").select(terms._marked(F.array_sort("x")).alias("x")).collect()
+    assert [[tuple(y) for y in r.x] for r in got] == [[("a", 1), ("b", 1), ("b", 0), ("b", 0), ("c", 1)], []]
+    put, plans = terms.Shelf.put, []
+    monkeypatch.setattr(terms.Shelf, "put", lambda self, df: plans.append(df._jdf.queryExecution().analyzed().toString()) or put(self, df))
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert terms.term_table(docs, stop=STOP).count() > 0
+    assert sum("place" in x for x in plans) == 1
