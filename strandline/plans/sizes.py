@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Phrases, and their bytes, that may become part of a plan.
 MOST_PHRASES, MOST_BYTES = 20_000, 4 << 20
+#: Phrases that may be sent to every task as numbers, sixteen bytes each.
+MOST_HASHED = 10_000_000
 #: Rows of narrow keys that may be sent to every executor.
 MOST = 200_000
 
