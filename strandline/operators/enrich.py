@@ -1,7 +1,7 @@
 """Silver to gold: features of each document.
 
 All features are expressions over one row, so they take no shuffle. Concepts
-are counted by sorting the row's words and taking the lengths of their runs.
+are counted in tasks, for a batch of rows at once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from ..functions import text as t
 from ..functions.providers import Expression, frequent_words, lexicon_sentiment
 from ..params import Params
 from ..sources.shelf import free_name
+from . import grams
 
 
 def sentence_stats(text: Column, p: Params) -> Column:
@@ -57,24 +58,7 @@ def concept_counts(text: Column, p: Params, concepts: Expression | None = None)
     """The most frequent concepts of a text as structs ``less, first, term``: minus the count and the place, ties by first occurrence."""
     find = concepts or frequent_words(p.min_concept_chars, p.lexicons.stop_concepts)
 
-    def runs(w: Column) -> Column:
-        return F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))))
-
-    def best(rows: Column) -> Column:
-        n = F.size(rows)
-        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(places, lambda i: (i == 1) | (F.element_at(rows, i)["term"] != F.element_at(rows, F.greatest(i - 1, F.lit(1)))["term"]))
-
-        def counted(at: Column) -> Column:
-            def one(i: Column, k: Column) -> Column:
-                after = F.coalesce(F.get(at, k + 1), n + 1)
-                return F.struct((i - after).alias("less"), F.element_at(rows, i)["pos"].alias("first"), F.element_at(rows, i)["term"].alias("term"))
-
-            return F.slice(F.sort_array(F.transform(at, one)), 1, p.max_concepts)
-
-        return t.let(starts, counted)
-
-    return t.let(t.let(find(t.prefix(text, p.concept_chars)), runs), best)
+    return grams.most_frequent(find(t.prefix(text, p.concept_chars)), p.max_concepts)
 
 
 def ranked_concepts(docs: DataFrame, p: Params, *, key: str, text: str, concepts: Expression | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Runs of ``n`` words by number, made in tasks.
+"""Runs of ``n`` words by number and a row's most frequent words, made in tasks.
 
 Spark hashes each word to 64 bits; numpy makes a number of each run from those of its words, for
 all rows of a batch at once, so no text is built for the runs that nobody asks for. Numbers
@@ -182,3 +182,41 @@ def with_known(lists: Column, n: int, docs: DataFrame, phrases: Known) -> Column
         return _listed([np.diff(at)], pa.array(np.concatenate(out) if out else np.zeros(0, bool)))
 
     return made(lists)
+
+
+def most_frequent(words: Column, k: int) -> Column:
+    """A row's ``k`` most frequent words as structs ``less, first, term``: minus the count and the place, ties by the first place."""
+
+    @F.arrow_udf("array<struct<less:int,first:int,term:string>>")
+    def made(lists: pa.Array) -> pa.Array:
+        at, sizes, parts = _offsets(lists), [], []
+        for first, last in _stretches(at):
+            own = at[first : last + 1]
+            told = lists.values.slice(own[0], own[-1] - own[0]).dictionary_encode()
+            rows, ids = np.repeat(np.arange(last - first), np.diff(own)), told.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            _, places, counts = np.unique(rows * max(len(told.dictionary), 1) + ids, return_index=True, return_counts=True)
+            order = np.lexsort((places, -counts, rows[places]))
+            places, counts = places[order], counts[order]
+            row = rows[places]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            places, counts, row = places[kept], counts[kept], row[kept]
+            sizes.append(np.bincount(row, minlength=last - first))
+            columns = [pa.array(-counts, pa.int32()), pa.array(places - (own[row] - own[0]), pa.int32()), told.dictionary.take(pa.array(ids[places]))]
+            parts.append(pa.StructArray.from_arrays(columns, ["less", "first", "term"]))
+        kind = pa.struct([("less", pa.int32()), ("first", pa.int32()), ("term", pa.string())])
+        return _listed(sizes, pa.concat_arrays([x.cast(kind) for x in parts]) if parts else pa.array([], kind))
+
+    return made(words)
+
+
+def running(numbers: Column) -> Column:
+    """Running sums of a row's numbers; a null row stays null."""
+
+    @F.arrow_udf("array<int>")
+    def made(lists: pa.Array) -> pa.Array:
+        at = _offsets(lists)
+        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(lists.values.to_numpy(zero_copy_only=False).astype(np.int64))])
+        own = sums[at[0] + 1 : at[-1] + 1] - np.repeat(sums[at[:-1]], np.diff(at))
+        return pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(own, pa.int32()), mask=lists.is_null())
+
+    return made(numbers)

@@ -42,16 +42,19 @@ def episodes(chunks: DataFrame, p: Params) -> DataFrame:
 
 
 def episodes_of(gold: DataFrame, p: Params, *, key: str = "episode_id", text: str = "content_body", guests: str = "nlp_guests") -> DataFrame:
-    """The rows of ``episodes`` without a chunk table, from gold rows: chunks are only counted, and nothing is shuffled."""
+    """The rows of ``episodes`` without a chunk table, from gold rows: chunks are only counted, and nothing is shuffled.
+
+    A text has a chunk if it has a character, so rows are left out by that: a filter on the number would count the chunks twice.
+    """
     body = t.prefix(F.col(text), p.chunk_chars)
-    lengths = F.when(F.length(body) > 0, F.transform(p.split(body), lambda x: F.length(x))).otherwise(F.array().cast("array<int>"))
-    counted = gold.select(
+    lengths = F.transform(p.split(body), lambda x: F.length(x))
+    counted = gold.where(F.length(body) > 0).select(
         F.col(key).alias("episode_id"),
         _clean(F.col(guests), False).alias("guests"),
         t.let(lengths, lambda n: F.size(chunk_bounds(n, p))).cast("long").alias("n_chunks"),
         chaos_flag(F.col("chaos_score"), F.col(key), p).alias("chaos"),
         _clean(F.col("top_concepts"), True).alias("concepts"),
-    ).where("n_chunks > 0")
+    )
     # The greatest id as a string: ordinals have four digits, or more beyond 9999, which sort lower.
     last = F.format_string("%s-%04d", F.col("episode_id").cast("string"), F.least(F.col("n_chunks") - 1, F.lit(9999)))
     return counted.select("episode_id", "guests", "concepts", "n_chunks", last.alias("last_chunk"), "chaos")

@@ -74,3 +74,40 @@ def test_phrases_beyond_the_plan_need_no_shuffle(spark, monkeypatch):
         w = r[2].split()
         hit = len(r[2]) > 10 and any(" ".join(w[i : i + 3]) in ("a b a", "b b b") for i in range(len(w)))
         assert (r[3] == 3) == hit
+
+
+def test_most_frequent_words_are_those_of_a_loop(spark, monkeypatch):
+    docs, plain = texts(spark, seed=5)
+    monkeypatch.setattr(grams, "AT_ONCE", 30)
+    got = {r.id: [(-x.less, x.first, x.term) for x in r.x] for r in docs.select("id", grams.most_frequent(F.split("raw_text", " "), 2).alias("x")).collect()}
+    texts_ = {r.id: r.raw_text for r in docs.collect()}
+    for i, w in plain:
+        w = [] if texts_[i] is None else texts_[i].split(" ")
+        best = sorted({x: (-w.count(x), w.index(x)) for x in w}.items(), key=lambda x: x[1])[:2]
+        assert got[i] == [(-n, at, x) for x, (n, at) in best]
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(0, [3, 0, 4]), (1, None), (2, []), (3, [5])], "id int, n array<int>").coalesce(1)
+    assert dict(map(tuple, df.select("id", grams.running(F.col("n"))).collect())) == {0: [3, 3, 7], 1: None, 2: [], 3: [5]}
+
+
+def test_chunks_are_counted_once_for_an_episode(spark):
+    """A filter on the number of chunks would compute their bounds again."""
+    from strandline.operators import graph
+
+    gold = spark.createDataFrame([("a", "x. y", ["g"], ["c"], 1.0), ("b", "", ["g"], ["c"], 1.0), ("c", None, ["g"], ["c"], 1.0)], "episode_id string, content_body string, nlp_guests array<string>, top_concepts array<string>, chaos_score double")
+    made = graph.episodes_of(gold, Params())
+    assert "aggregate(" not in "".join(x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x)
+    assert [(r.episode_id, r.n_chunks) for r in made.collect()] == [("a", 1)]
+
+
+def test_sentence_ends_need_only_the_last_word(spark):
+    """Odd ends of pieces, and a long word that a pattern from every place would read again and again."""
+    from strandline.operators import boundaries
+
+    rows = [("Dr. Who? yes! No.\" He (so.) said\r\n3. x 3. X a.b. Y  z. Q.  W... v",), ("x" * 20_000 + ". Then",), (None,), ("",)]
+    split = boundaries.splitter(lambda w: w.isin("dr"))
+    got = [r.s for r in spark.createDataFrame(rows, "text string").coalesce(1).select(split(F.col("text")).alias("s")).collect()]
+    assert got[1:] == [["x" * 20_000 + ". ", "Then"], None, [""]] and "".join(got[0]) == rows[0][0]
+    assert got[0][:3] == ["Dr. Who? ", "yes! ", 'No." ']
