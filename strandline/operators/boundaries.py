@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..plans.members import members
+from ..sources.shelf import Shelf, free_name
+from . import grams
 
 #: A word with a period, or without, then white space or the end; closing quotes and brackets may follow.
 TOKEN = r"([\p{L}\p{N}_][\p{L}\p{N}_.'-]*)"
@@ -31,14 +33,14 @@ _MARK = "\u0001\u001f\u0001"
 def token_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``word, bare, dotted``: how often each lower-cased word stands without and with a period at its end; words with a letter."""
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(1))
-    each = docs.select(F.explode(tokens).alias("token")).select(F.regexp_replace("token", r"\.+$", "").alias("word"), F.endswith("token", F.lit(".")).alias("dot"))
+    each = docs.select(F.explode(tokens).alias("token")).select(F.rtrim("token", F.lit(".")).alias("word"), F.endswith("token", F.lit(".")).alias("dot"))
     by = each.groupBy("word").agg(F.sum((~F.col("dot")).cast("long")).alias("bare"), F.sum(F.col("dot").cast("long")).alias("dotted"))
     return by.where(F.regexp_like("word", F.lit(r"\p{L}")))
 
 
 def abbreviations(docs: DataFrame, *, text: str = "text", least: float = LEAST) -> DataFrame:
-    """``word, bare, dotted, score`` of the words that are abbreviations."""
-    counts = token_counts(docs, text=text)
+    """``word, bare, dotted, score`` of the words that are abbreviations. The counts are written once."""
+    counts = Shelf(docs.sparkSession, "tokens").put(token_counts(docs, text=text))
     total = counts.agg(F.coalesce(F.sum("dotted"), F.lit(0)).alias("dots"), F.coalesce(F.sum(F.col("bare") + F.col("dotted")), F.lit(1)).alias("n")).first()
     p = min(max(total.dots / total.n, 1e-9), RULE - 1e-9)
     k, other = F.col("dotted").cast("double"), F.col("bare").cast("double")
@@ -56,13 +58,20 @@ def pieces(text: Column) -> Column:
 
 def _ends(piece: Column, following: Column, known: Callable[[Column], Column]) -> Column:
     """Whether a sentence ends with a piece, given the next one."""
-    last = F.regexp_extract(piece, rf"(\S*?)([.!?]+){_CLOSE}\s$", 1)
-    stops = F.regexp_extract(piece, rf"(\S*?)([.!?]+){_CLOSE}\s$", 2)
-    word = F.lower(F.regexp_extract(last, rf"{TOKEN}$", 1))
     small = F.regexp_like(following, F.lit(r"^\s*[\"'\(\[]{0,3}\p{Ll}"))
-    initial = F.regexp_like(word, F.lit(r"^\p{L}$"))
-    number = F.regexp_like(word, F.lit(r"^[0-9]+$"))
-    return F.when(stops != ".", ~small | F.contains(stops, F.lit("!")) | F.contains(stops, F.lit("?"))).otherwise(~(initial | known(word) | (number & small)))
+    end = F.regexp_replace(piece, r"(?s)^.*\s(?=\S+\s$)", "")  # the last word: the pattern below can't reach before it
+
+    def cut(end: Column) -> Column:
+        pattern = rf"(\S*?)([.!?]+){_CLOSE}\s$"
+        return F.struct(F.lower(F.regexp_extract(F.regexp_extract(end, pattern, 1), rf"{TOKEN}$", 1)).alias("word"), F.regexp_extract(end, pattern, 2).alias("stops"))
+
+    def stopped(x: Column) -> Column:
+        word, stops = x["word"], x["stops"]
+        initial = F.regexp_like(word, F.lit(r"^\p{L}$"))
+        number = F.regexp_like(word, F.lit(r"^[0-9]+$"))
+        return F.when(stops != ".", ~small | F.contains(stops, F.lit("!")) | F.contains(stops, F.lit("?"))).otherwise(~(initial | known(word) | (number & small)))
+
+    return t.let(t.let(end, cut), stopped)
 
 
 def splitter(known: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -87,15 +96,8 @@ def with_sentences(docs: DataFrame, short: DataFrame, *, text: str = "text", out
     """
     own = "abbreviations of the text"
     dotted = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(1)), lambda w: F.endswith(w, F.lit(".")))
-    each, known = members(docs, short, "word", text, F.transform(dotted, lambda w: F.regexp_replace(w, r"\.+$", "")), own)
-    return each.withColumn(out, _offsets(splitter(known)(F.col(text)))).drop(own)
-
-
-def _offsets(sentences: Column) -> Column:
-    def placed(s: Column) -> Column:
-        start = F.lit(0)
-        steps = F.aggregate(s, F.struct(start.alias("at"), F.array().cast("array<struct<start:int,end:int,sentence:string>>").alias("done")),
-            lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.array_append(a["done"], F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("sentence"))).alias("done")))
-        return steps["done"]
-
-    return t.let(sentences, placed)
+    each, known = members(docs, short, "word", text, F.transform(dotted, lambda w: F.rtrim(w, F.lit("."))), own)
+    pieces_ = free_name(each, "pieces")
+    cut = each.withColumn(pieces_, splitter(known)(F.col(text))).withColumn(out, grams.running(F.transform(pieces_, lambda x: F.length(x))))
+    placed = F.zip_with(pieces_, out, lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("sentence")))
+    return cut.withColumn(out, placed).drop(own, pieces_)
