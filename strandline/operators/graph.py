@@ -70,19 +70,19 @@ def frequent(episodes_: DataFrame, column: str, least: int) -> DataFrame:
     return each.groupBy("id").agg(F.sum("n_chunks").alias("n")).where(F.col("n") >= least)
 
 
-def _valid(episodes_: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    """``episode_id, column``: the episode's names that are valid, in their order."""
-    each = episodes_.select("episode_id", F.posexplode(column).alias("pos", "id"))
-    kept = each.join(sent_if_small(names.select("id")), "id", "left_semi")
-    return kept.groupBy("episode_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias(column))
+def valid_episodes(episodes_: DataFrame, p: Params, nodes_: DataFrame | None = None) -> DataFrame:
+    """Episodes with only the valid guests and concepts, in their order; those without a valid concept have no edge.
 
-
-def valid_episodes(episodes_: DataFrame, p: Params) -> DataFrame:
-    """Episodes with only the valid guests and concepts; those without a valid concept have no edge."""
-    guests = _valid(episodes_, "guests", frequent(episodes_, "guests", p.min_guest_rows))
-    concepts = _valid(episodes_, "concepts", frequent(episodes_, "concepts", p.min_concept_rows))
-    own = episodes_.select("episode_id", "n_chunks", "last_chunk", "chaos")
-    return own.join(concepts, "episode_id").join(guests, "episode_id", "left").withColumn("guests", F.coalesce("guests", F.array().cast(_NONE)))
+    ``nodes_`` are the episodes' nodes if they are there already, else they are written once. All names of an episode meet them in
+    one join and bring the rest of its row along, so that nothing has to be joined back.
+    """
+    names = Shelf(episodes_.sparkSession, "nodes").put(nodes(episodes_, p)) if nodes_ is None else nodes_
+    own = ["episode_id", "n_chunks", "last_chunk", "chaos"]
+    listed = lambda column, kind: F.transform(column, lambda x, i: F.struct(F.lit(kind).alias("type"), i.alias("pos"), x.alias("id")))
+    each = episodes_.where(F.col("episode_id").isNotNull()).select(*own, F.explode(F.concat(listed("guests", "PERSON"), listed("concepts", "CONCEPT"))).alias("x")).select(*own, "x.*")
+    kept = each.join(sent_if_small(names.select("id", "type")), ["id", "type"], "left_semi").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("pos", "id", "type"))).alias("x"))
+    of = lambda kind: F.transform(F.filter("x", lambda x: x["type"] == kind), lambda x: x["id"])
+    return kept.select(*own, of("CONCEPT").alias("concepts"), of("PERSON").alias("guests")).where(F.size("concepts") > 0)
 
 
 def nodes(episodes_: DataFrame, p: Params) -> DataFrame:
@@ -138,11 +138,14 @@ def folded(valid: DataFrame) -> DataFrame:
     return by.select("source", "target", "type", F.col("x.last_chunk").alias("chunk_id"), F.col("x.chaos").alias("chaos"), "mentions", "weight")
 
 
-def upserted(valid: DataFrame, nodes_: DataFrame) -> DataFrame:
-    """The folded edges both of whose ends are nodes."""
-    ends = lambda name, kind: nodes_.select(F.col("id").alias(name), F.col("type").alias(kind))
+def upserted(valid: DataFrame, nodes_: DataFrame | None = None) -> DataFrame:
+    """The folded edges both of whose ends are nodes. Without ``nodes_`` they are those of the episodes that ``valid`` was made of: it has no other names."""
+    some = folded(valid)
+    if nodes_ is None:
+        return some
+    ends = lambda name, kind: sent_if_small(nodes_.select(F.col("id").alias(name), F.col("type").alias(kind)))
     source_kind = F.when(F.col("type") == "DISCUSSED", "PERSON").otherwise("CONCEPT")
-    some = folded(valid).withColumns({"source_kind": source_kind, "target_kind": F.lit("CONCEPT")})
+    some = some.withColumns({"source_kind": source_kind, "target_kind": F.lit("CONCEPT")})
     met = some.join(ends("source", "source_kind"), ["source", "source_kind"], "left_semi").join(ends("target", "target_kind"), ["target", "target_kind"], "left_semi")
     return met.select("source", "target", "type", "chunk_id", "chaos", "mentions", "weight")
 

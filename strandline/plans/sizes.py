@@ -27,5 +27,8 @@ def few_phrases(df: DataFrame, column: str) -> list[str] | None:
 
 
 def sent_if_small(df: DataFrame, most: int = MOST) -> DataFrame:
-    """``df`` with a broadcast hint if it is small; else as it is, to be joined by shuffle with AQE's skew handling."""
-    return F.broadcast(df) if small(df, most) else df
+    """``df`` with a broadcast hint if it is small; else to be joined by shuffle with AQE's skew handling.
+
+    The second hint is needed too: AQE goes by compressed bytes, and a table of ten times as many in memory would pass through the driver.
+    """
+    return F.broadcast(df) if small(df, most) else df.hint("merge")
