@@ -4,45 +4,160 @@ Candidates are runs of two to four words inside a sentence that neither begin no
 a stop word. A candidate's C-value is its frequency less the mean frequency of the longer
 candidates that hold it, times the logarithm of its length: "neural network" counts where it
 isn't part of "deep neural network". The association of its words (normalised mutual
-information) keeps out words that meet by chance. A document marks each of its terms once, so
-occurrences and documents are sums by term: one pass and one shuffle of what tasks have added up.
+information) keeps out words that meet by chance.
+
+Texts become words once. Most candidates are in too few documents, so they are numbers first:
+tasks pack them, four bytes each, and what isn't in enough documents is never made text. The
+rest, a few others among it, is counted by its text: a document marks each of its terms once, so
+occurrences and documents are sums by term.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..plans.sizes import sent_if_small
+from ..plans.sizes import MOST_HASHED, small
 from ..sources.shelf import Shelf
+from . import grams
 
 LENGTHS = (2, 3, 4)
+#: Characters of a candidate's first and last word at least.
+SHORTEST = 3
+#: Bits of a number inside its part and of the part, and bits for the rows of a stretch, which has at most so many words.
+LOW, PART, ROW = 32, 10, 20
+
+
+def lines(text: Column) -> Column:
+    """The lower-cased words of a text with blanks between them, a sentence a line; empty for a null one. The same words and sentences as in ``functions.text``."""
+    ends = F.regexp_replace(text, rf"[.!?]{t.SPACE}+|[\n{t.MARK}]", "\n")
+    told = F.regexp_replace(F.lower(ends), r"[^\p{L}\p{N}_\n]+", " ")
+    return F.coalesce(F.trim(F.replace(F.replace(told, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))), F.lit(""))
+
 
+def _hashed(words: pa.Array) -> np.ndarray:
+    """A number for each word."""
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words.cast(pa.binary()).to_pylist()), np.uint64)
 
-def candidates(text: Column, stop: Sequence[str], shortest: int = 3) -> Column:
-    """An array of ``term, n, sentence, place`` for each candidate of a text."""
-    kind = "array<struct<term:string,n:int,sentence:int,place:int>>"
 
-    def of(s: Column, i: Column) -> Column:
-        def runs(w: Column) -> Column:
-            fit = lambda x: (F.length(x) >= shortest) & (~x.isin(*stop) if stop else F.lit(True))
-            each = []
-            for n in LENGTHS:
-                starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-                good = F.filter(starts, _ends_fit(w, n, fit))
-                each.append(F.transform(good, _named(w, n, i)).cast(kind))
-            return F.concat(*each)
+def _laid(told: pa.Array, stop: Sequence[str]):
+    """For each stretch of rows: where their words begin, where their sentences' words begin, how many sentences are before
+    each row, the words, their numbers, and for each length where the candidates begin."""
+    sentences = pc.split_pattern(told, "\n")
+    words = pc.split_pattern(sentences.flatten(), " ")
+    rows, ends = grams._offsets(sentences), grams._offsets(words)
+    coded = words.flatten().dictionary_encode()
+    known, ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    fits = pc.and_(pc.greater_equal(pc.utf8_length(known), SHORTEST), pc.invert(pc.is_in(known, value_set=pa.array(stop, pa.string()))))
+    fits, hashes = fits.to_numpy(zero_copy_only=False), _hashed(known)
+    for a, b in grams._stretches(ends[rows]):
+        at, own = rows[a : b + 1] - rows[a], ends[rows[a] : rows[b] + 1]
+        code = ids[own[0] : own[-1]]
+        own = own - own[0]
+        fit = fits[code]
+        begins = [grams._starts(own, n)[0] for n in LENGTHS]
+        yield own[at], own, at, pa.DictionaryArray.from_arrays(pa.array(code), known), hashes[code], [x[fit[x] & fit[x + n - 1]] for n, x in zip(LENGTHS, begins)]
 
-        return t.let(t.words(s), runs)
 
-    return F.flatten(F.transform(t.sentences(text), of))
+def _row_of(at: np.ndarray) -> np.ndarray:
+    """The row of each word."""
+    return np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+
+def _often(docs: DataFrame, words: str, least: int, stop: Sequence[str]) -> DataFrame:
+    """``number`` of the candidates that may be in at least ``least`` rows: all of those, and what shares a number with others.
+
+    A stretch of rows sends a number ``least`` times at most, so a part stays near even whatever is frequent.
+    """
 
+    def packed(batches):
+        for batch in batches:
+            for at, _, _, _, h, begins in _laid(batch.column(0), stop):
+                row = _row_of(at).astype(np.uint64)  # each row has a word, if an empty one, so the rows fit the bits
+                key = [(grams._numbers(h, n, grams.FACTORS[0])[x] & np.uint64((1 << LOW + PART) - 1)) << np.uint64(ROW) | row[x] for n, x in zip(LENGTHS, begins)]
+                key = np.sort(np.concatenate(key))
+                key = key[np.concatenate([[True], key[1:] != key[:-1]])] >> np.uint64(ROW) if len(key) else key
+                key = key[np.concatenate([np.ones(min(least, len(key)), bool), key[least:] != key[:-least]])]
+                part = (key >> np.uint64(LOW)).astype(np.int32)
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(key) else np.zeros(0, np.int64)
+                sent = [pa.py_buffer((4 * np.append(cuts, len(key))).astype(np.int32)), pa.py_buffer(key.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.Array.from_buffers(pa.binary(), len(cuts), [None, *sent])], ["part", "packed"])
 
-def _ends_fit(w: Column, n: int, fit):
-    return lambda j: fit(F.get(w, j - 1)) & fit(F.get(w, j + (n - 2)))
+    def counted(table: pa.Table) -> pa.Table:
+        h = np.sort(np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint32))
+        last = h[least - 1 :]
+        found = np.unique(last[last == h[: len(last)]]).astype(np.int64)
+        return pa.table({"number": found | table.column("part")[0].as_py() << LOW})
+
+    return docs.select(words).mapInArrow(packed, "part int, packed binary").groupBy("part").applyInArrow(counted, "number long")
+
+
+def _numbered(terms: DataFrame) -> DataFrame:
+    """``n, number, other`` of the terms that a text can have."""
+
+    def made(batches):
+        for batch in batches:
+            for at, _, _, _, h, begins in _laid(batch.column(0), ()):
+                row, sizes = _row_of(at), np.diff(at)
+                for n, x in zip(LENGTHS, begins):
+                    x = x[sizes[row[x]] == n]
+                    columns = [grams._numbers(h, n, f)[x].view(np.int64) for f in grams.FACTORS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), n, np.int32)), *map(pa.array, columns)], ["n", "number", "other"])
+
+    return terms.where("term IS NOT NULL").select("term").mapInArrow(made, "n int, number long, other long")
+
+
+def _found(docs: DataFrame, words: str, stop: Sequence[str], chosen: Callable, by) -> Column:
+    """An array of ``term, at`` for each candidate of a text that ``chosen(by, n, h, g)`` takes by its two numbers; equal ones side by side.
+
+    ``at`` orders candidates by sentence, by first word and the longer one first: one long, since a text has less than 2^31 bytes.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(by)
+    kind = pa.struct([("term", pa.string()), ("at", pa.int64())])
+
+    @F.arrow_udf("array<struct<term:string,at:bigint>>")
+    def made(told: pa.Array) -> pa.Array:
+        sizes, parts = [], []
+        for at, own, before, words, h, begins in _laid(told, stop):
+            terms, numbers = [], []
+            for i, (n, x) in enumerate(zip(LENGTHS, begins)):
+                both = [grams._numbers(h, n, f)[x] for f in grams.FACTORS]
+                good = chosen(sent.value, n, *both)
+                begins[i] = x = x[good]
+                numbers.append([y[good] for y in both])
+                terms.append(pc.binary_join_element_wise(*(words.dictionary.take(words.indices.take(pa.array(x + j))) for j in range(n)), " "))
+            begin, n = np.concatenate(begins), np.repeat(LENGTHS, [len(x) for x in begins])
+            row = _row_of(at)[begin]
+            sentence = np.repeat(np.arange(len(own) - 1), np.diff(own))[begin]
+            order = np.lexsort((*(np.concatenate(x) for x in zip(*numbers)), row))
+            place = (((sentence - before[row]) << 31 | begin - own[sentence]) << 2) + LENGTHS[-1] - n
+            parts.append(pa.StructArray.from_arrays([pa.concat_arrays(terms).take(pa.array(order)), pa.array(place[order])], fields=list(kind)))
+            sizes.append(np.bincount(row, minlength=len(at) - 1))
+        return grams._listed(sizes, pa.concat_arrays(parts) if parts else pa.array([], kind))
+
+    return made(words)
+
+
+def _may(bits: np.ndarray, n: int, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return grams.maybe(bits, h)
+
+
+def _known(phrases: dict[int, grams.Known], n: int, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return phrases[n].has(h, g)
+
+
+def _sent(terms: DataFrame) -> dict[int, grams.Known]:
+    """The terms of each length as two numbers; sixteen bytes a term come to the driver, so ask for their number before."""
+    got = _numbered(terms).toArrow()
+    n, *both = (got.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("n", "number", "other"))
+    return {m: grams.Known(*(x[n == m] for x in both)) for m in LENGTHS}
 
 
 def _marked(terms: Column) -> Column:
@@ -50,27 +165,40 @@ def _marked(terms: Column) -> Column:
     return F.transform(terms, lambda x, i: F.struct(x.alias("term"), (~F.get(terms, i - 1).eqNullSafe(x)).cast("long").alias("first")))
 
 
-def _named(w: Column, n: int, i: Column):
-    return lambda j: F.struct(F.array_join(F.slice(w, j, n), " ").alias("term"), F.lit(n).alias("n"), i.alias("sentence"), j.alias("place"))
+def _word_counts(docs: DataFrame, words: str) -> DataFrame:
+    """``word, f_word``, added up in tasks first."""
+
+    def counted(batches):
+        for batch in batches:
+            lists = pc.split_pattern(pc.split_pattern(batch.column(0), "\n").flatten(), " ")
+            found = pc.value_counts(lists.flatten())
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "f"])
 
+    each = docs.select(words).mapInArrow(counted, "word string, f long").where("word <> ''")
+    return each.groupBy("word").agg(F.sum("f").alias("f_word"))
 
-def term_table(docs: DataFrame, *, text: str = "text", least: int = 3, stop: Sequence[str] = ()) -> DataFrame:
+
+def term_table(docs: DataFrame, *, text: str = "text", least: int = 3, stop: Sequence[str] = (), words: str | None = None) -> DataFrame:
     """``term, n, f, df, holders, cvalue, association`` of the candidates in at least ``least`` documents; ``holders`` are the longer ones with it.
 
     Null and empty texts have no candidate. A document counts once for ``df`` however often a term occurs; repeated documents
-    count each.
+    count each. ``words`` names a column of each text's ``lines``, if there is one.
     """
     shelf = Shelf(docs.sparkSession, "terms")
-    every = t.let(F.array_sort(F.transform(candidates(F.col(text), stop), lambda x: x["term"])), _marked)
-    each = docs.select(F.explode(every).alias("x")).select("x.term", "x.first")
+    told = docs.select(F.col(words).alias("words")) if words else shelf.put(docs.select(lines(F.col(text)).alias("words")))
+    numbers = shelf.put(_often(told, "words", max(least, 1), stop))
+    every = F.transform(_found(docs, "words", stop, _may, grams.bits_of(numbers, "number")), lambda x: x["term"])
+    each = told.select(F.explode(t.let(every, _marked)).alias("x")).select("x.term", "x.first")
     found = each.groupBy("term").agg(F.count(F.lit(1)).alias("f"), F.sum("first").alias("df")).where(F.col("df") >= least)
     found = shelf.put(found.withColumn("n", F.size(F.split("term", " "))))
+    counts = shelf.put(_word_counts(told, "words"))
+    shelf.drop(numbers)
+    if not words:
+        shelf.drop(told)
     inner = F.array_distinct(F.flatten(F.array(*(t.ngrams(F.split("term", " "), n) for n in LENGTHS[:-1]))))
     held = found.select(F.col("term").alias("longer"), "f", F.explode(inner).alias("term")).where("term <> longer").groupBy("term").agg(F.count(F.lit(1)).alias("holders"), F.sum("f").alias("held"))
-    words = docs.select(F.explode(t.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("f_word"))
-    words = shelf.put(words)
-    total = float(words.agg(F.sum("f_word")).first()[0] or 1)
-    own = found.select("term", F.explode(F.split("term", " ")).alias("word")).join(words, "word").groupBy("term").agg(F.sum(F.log(F.col("f_word").cast("double"))).alias("logs"))
+    total = float(counts.agg(F.sum("f_word")).first()[0] or 1)
+    own = found.select("term", F.explode(F.split("term", " ")).alias("word")).join(counts, "word").groupBy("term").agg(F.sum(F.log(F.col("f_word").cast("double"))).alias("logs"))
     joined = found.join(held, "term", "left").join(own, "term")
     f, n = F.col("f").cast("double"), F.col("n").cast("double")
     cvalue = F.log2(n) * (f - F.coalesce(F.col("held") / F.col("holders"), F.lit(0.0)))
@@ -79,10 +207,20 @@ def term_table(docs: DataFrame, *, text: str = "text", least: int = 3, stop: Seq
     return joined.select("term", "n", "f", "df", F.coalesce("holders", F.lit(0).cast("long")).alias("holders"), cvalue.alias("cvalue"), (pmi / rarity).alias("association"))
 
 
-def document_terms(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 8, stop: Sequence[str] = ()) -> DataFrame:
-    """``key, term, count, rank``: a document's ``k`` most frequent terms, ties by first place, the longer one first there."""
-    each = docs.select(key, F.explode(candidates(F.col(text), stop)).alias("x")).select(key, "x.*")
-    own = each.join(sent_if_small(terms.select("term")), "term", "left_semi")
-    by = own.groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("sentence", "place", -F.col("n"))).alias("first"))
+def document_terms(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 8, stop: Sequence[str] = (), words: str | None = None) -> DataFrame:
+    """``key, term, count, rank``: a document's ``k`` most frequent terms, ties by first place, the longer one first there.
+
+    ``words`` names a column of each text's ``lines``, if there is one. Up to ``MOST_HASHED`` terms are sent to the tasks
+    as numbers; beyond that the candidates that pass a filter of their numbers meet them in a join.
+    """
+    told = docs.select(key, (F.col(words) if words else lines(F.col(text))).alias("words"))
+    if small(terms, MOST_HASHED):
+        found = _found(told, "words", stop, _known, _sent(terms))
+        own = told.select(key, F.explode(found).alias("x")).select(key, "x.term", "x.at")
+    else:
+        numbers = Shelf(docs.sparkSession, "terms").put(_numbered(terms))
+        found = _found(told, "words", stop, _may, grams.bits_of(numbers, "number"))
+        own = told.select(key, F.explode(found).alias("x")).select(key, "x.term", "x.at").join(terms.select("term").hint("merge"), "term", "left_semi")
+    by = own.groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "first"))
     return by.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "term", "count", "rank")

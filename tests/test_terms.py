@@ -85,3 +85,35 @@ def test_terms_are_counted_in_one_pass(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     assert terms.term_table(docs, stop=STOP).count() > 0
     assert sum("place" in x for x in plans) == 1
+
+
+def test_documents_meet_their_terms_in_tasks(spark, monkeypatch):
+    """Without a join up to a number of terms; beyond it, where candidates meet them in one, with the same rows."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    good = terms.Shelf(spark, "t").put(terms.term_table(docs, stop=STOP).where("cvalue > 10").select("term"))
+    good = good.union(spark.createDataFrame([(None,), ("",), ("neural",), ("a  b",), ("Deep Network",)], "term string"))
+    found = terms.document_terms(docs, good, k=3, stop=STOP)
+    assert "Join" not in found._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(terms, "MOST_HASHED", 0)
+    joined = terms.document_terms(docs, good, k=3, stop=STOP)
+    assert "Join" in joined._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, joined.collect())) != []
+
+
+def test_only_frequent_candidates_become_text(spark):
+    """The numbers have every candidate of enough documents, and hardly another; lines hold the words of the sentences."""
+    from pyspark.sql import functions as F
+
+    from strandline.functions import text as t
+
+    odd = "ΑΣ. ΟΔΟΣ\u0001İx \t\nA_1.. B!?  c\r\n\n end.\u0085Σ ٣x 𝒳y. "
+    docs = spark.createDataFrame([*corpus(), (94, odd), (95, odd + odd), (96, odd)], "doc_id long, text string").repartition(3)
+    split = F.transform(t.sentences(F.coalesce("text", F.lit(""))), t.words)
+    told = docs.select(terms.lines(F.col("text")).alias("words"), F.filter(split, lambda w: F.size(w) > 0).alias("want"))
+    for r in told.collect():
+        assert [x.split(" ") for x in r.words.split("\n") if x] == r.want and "  " not in r.words
+    df = Counter(g for _, text in [*corpus(), *[(0, odd)] * 3] for g in {x[0] for x in grams(text)})
+    numbers = {r.number for r in terms._often(told, "words", 3, STOP).collect()}
+    often = spark.createDataFrame([(g,) for g in df if df[g] >= 3], "term string")
+    made = [r.number & ((1 << 42) - 1) for r in terms._numbered(often).collect()]
+    assert set(made) == numbers and len(made) == len(numbers) and len(numbers) < len(df)
