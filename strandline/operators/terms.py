@@ -33,6 +33,8 @@ LENGTHS = (2, 3, 4)
 SHORTEST = 3
 #: Bits of a number inside its part and of the part, and bits for the rows of a stretch, which has at most so many words.
 LOW, PART, ROW = 32, 10, 20
+#: Bytes of a word that is hashed together with others.
+LONG = 256
 
 
 def lines(text: Column) -> Column:
@@ -43,8 +45,24 @@ def lines(text: Column) -> Column:
 
 
 def _hashed(words: pa.Array) -> np.ndarray:
-    """A number for each word."""
-    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words.cast(pa.binary()).to_pylist()), np.uint64)
+    """A number for each word, made eight bytes at a time for all words at once; of a long word by itself."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    sizes = np.diff(at)
+    out = sizes.astype(np.uint64) * np.uint64(grams.FACTORS[1])
+    own, done = np.flatnonzero((sizes > 0) & (sizes <= LONG)), 0
+    while len(own):
+        left = sizes[own] - done
+        x = out[own] ^ (eight[at[own] + done] & (np.uint64(2**64 - 1) >> np.uint64(8) * np.maximum(8 - left, 0).astype(np.uint64)))
+        for factor in grams.FACTORS:
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(factor)
+        out[own] = x ^ (x >> np.uint64(32))
+        own, done = own[left > 8], done + 8
+    for i in np.flatnonzero(sizes > LONG):
+        out[i] = int.from_bytes(blake2b(data[at[i] : at[i + 1]], digest_size=8).digest(), "little")
+    return out
 
 
 def _laid(told: pa.Array, stop: Sequence[str]):
@@ -99,6 +117,42 @@ def _often(docs: DataFrame, words: str, least: int, stop: Sequence[str]) -> Data
     return docs.select(words).mapInArrow(packed, "part int, packed binary").groupBy("part").applyInArrow(counted, "number long")
 
 
+def _texts(words: pa.DictionaryArray, begins: np.ndarray, n: int) -> pa.Array:
+    return pc.binary_join_element_wise(*(words.dictionary.take(words.indices.take(pa.array(begins + j))) for j in range(n)), " ")
+
+
+def _counted(docs: DataFrame, words: str, stop: Sequence[str], bits: np.ndarray) -> DataFrame:
+    """``term, n, f, df`` of the candidates that pass a filter, and of all words, with ``n`` 1 and no ``df``.
+
+    A stretch of rows adds up its own before they are text, where two numbers tell them apart.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def made(batches):
+        for batch in batches:
+            for at, _, _, told, h, begins in _laid(batch.column(0), stop):
+                row, uses = _row_of(at), np.bincount(told.indices.to_numpy(), minlength=len(told.dictionary))
+                code = np.flatnonzero(uses)
+                yield pa.RecordBatch.from_arrays([told.dictionary.take(pa.array(code)), pa.array(np.ones(len(code), np.int32)), pa.array(uses[code]), pa.array(0 * code)], ["term", "n", "f", "df"])
+                for n, x in zip(LENGTHS, begins):
+                    first = grams._numbers(h, n, grams.FACTORS[0])[x]
+                    good = grams.maybe(sent.value, first)
+                    x, first = x[good], first[good]
+                    second = grams._numbers(h, n, grams.FACTORS[1])[x]
+                    order = np.lexsort((second, first))  # stable, so a term's rows stay in order
+                    x, first, second = x[order], first[order], second[order]
+                    own = np.ones(len(x), bool)
+                    own[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+                    starts, rows = np.flatnonzero(own), own.copy()
+                    rows[1:] |= row[x[1:]] != row[x[:-1]]
+                    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(rows)])
+                    f, df = np.diff(np.append(starts, len(x))), np.diff(sums[np.append(starts, len(x))])
+                    yield pa.RecordBatch.from_arrays([_texts(told, x[starts], n), pa.array(np.full(len(f), n, np.int32)), pa.array(f), pa.array(df)], ["term", "n", "f", "df"])
+
+    each = docs.select(words).mapInArrow(made, "term string, n int, f long, df long").where("term <> ''")
+    return each.groupBy("term", "n").agg(F.sum("f").alias("f"), F.sum("df").alias("df"))
+
+
 def _numbered(terms: DataFrame) -> DataFrame:
     """``n, number, other`` of the terms that a text can have."""
 
@@ -132,7 +186,7 @@ def _found(docs: DataFrame, words: str, stop: Sequence[str], chosen: Callable, b
                 good = chosen(sent.value, n, *both)
                 begins[i] = x = x[good]
                 numbers.append([y[good] for y in both])
-                terms.append(pc.binary_join_element_wise(*(words.dictionary.take(words.indices.take(pa.array(x + j))) for j in range(n)), " "))
+                terms.append(_texts(words, x, n))
             begin, n = np.concatenate(begins), np.repeat(LENGTHS, [len(x) for x in begins])
             row = _row_of(at)[begin]
             sentence = np.repeat(np.arange(len(own) - 1), np.diff(own))[begin]
@@ -145,6 +199,28 @@ def _found(docs: DataFrame, words: str, stop: Sequence[str], chosen: Callable, b
     return made(words)
 
 
+def _inner(terms: DataFrame, stop: Sequence[str]) -> DataFrame:
+    """``term, f``: each shorter candidate inside a term, once for each such term, with the frequency of that."""
+
+    def made(batches):
+        for batch in batches:
+            f, done = batch.column(1).to_numpy(), 0
+            for at, _, _, told, h, begins in _laid(batch.column(0), stop):
+                row, sizes = _row_of(at), np.diff(at)
+                for n, x in zip(LENGTHS[:-1], begins):
+                    x = x[sizes[row[x]] > n]
+                    same = [grams._numbers(h, n, y)[x] for y in grams.FACTORS]
+                    order = np.lexsort((*same, row[x]))
+                    x, same = x[order], [y[order] for y in same]
+                    own = np.ones(len(x), bool)
+                    own[1:] = (row[x[1:]] != row[x[:-1]]) | (same[0][1:] != same[0][:-1]) | (same[1][1:] != same[1][:-1])
+                    x = x[own]
+                    yield pa.RecordBatch.from_arrays([_texts(told, x, n), pa.array(f[done + row[x]])], ["term", "f"])
+                done += len(at) - 1
+
+    return terms.select("term", "f").mapInArrow(made, "term string, f long")
+
+
 def _may(bits: np.ndarray, n: int, h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return grams.maybe(bits, h)
 
@@ -165,19 +241,6 @@ def _marked(terms: Column) -> Column:
     return F.transform(terms, lambda x, i: F.struct(x.alias("term"), (~F.get(terms, i - 1).eqNullSafe(x)).cast("long").alias("first")))
 
 
-def _word_counts(docs: DataFrame, words: str) -> DataFrame:
-    """``word, f_word``, added up in tasks first."""
-
-    def counted(batches):
-        for batch in batches:
-            lists = pc.split_pattern(pc.split_pattern(batch.column(0), "\n").flatten(), " ")
-            found = pc.value_counts(lists.flatten())
-            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "f"])
-
-    each = docs.select(words).mapInArrow(counted, "word string, f long").where("word <> ''")
-    return each.groupBy("word").agg(F.sum("f").alias("f_word"))
-
-
 def term_table(docs: DataFrame, *, text: str = "text", least: int = 3, stop: Sequence[str] = (), words: str | None = None) -> DataFrame:
     """``term, n, f, df, holders, cvalue, association`` of the candidates in at least ``least`` documents; ``holders`` are the longer ones with it.
 
@@ -187,16 +250,12 @@ def term_table(docs: DataFrame, *, text: str = "text", least: int = 3, stop: Seq
     shelf = Shelf(docs.sparkSession, "terms")
     told = docs.select(F.col(words).alias("words")) if words else shelf.put(docs.select(lines(F.col(text)).alias("words")))
     numbers = shelf.put(_often(told, "words", max(least, 1), stop))
-    every = F.transform(_found(docs, "words", stop, _may, grams.bits_of(numbers, "number")), lambda x: x["term"])
-    each = told.select(F.explode(t.let(every, _marked)).alias("x")).select("x.term", "x.first")
-    found = each.groupBy("term").agg(F.count(F.lit(1)).alias("f"), F.sum("first").alias("df")).where(F.col("df") >= least)
-    found = shelf.put(found.withColumn("n", F.size(F.split("term", " "))))
-    counts = shelf.put(_word_counts(told, "words"))
+    both = shelf.put(_counted(told, "words", stop, grams.bits_of(numbers, "number")).where((F.col("n") == 1) | (F.col("df") >= least)))
+    found, counts = both.where("n > 1"), both.where("n = 1").select(F.col("term").alias("word"), F.col("f").alias("f_word"))
     shelf.drop(numbers)
     if not words:
         shelf.drop(told)
-    inner = F.array_distinct(F.flatten(F.array(*(t.ngrams(F.split("term", " "), n) for n in LENGTHS[:-1]))))
-    held = found.select(F.col("term").alias("longer"), "f", F.explode(inner).alias("term")).where("term <> longer").groupBy("term").agg(F.count(F.lit(1)).alias("holders"), F.sum("f").alias("held"))
+    held = _inner(found, stop).groupBy("term").agg(F.count(F.lit(1)).alias("holders"), F.sum("f").alias("held"))
     total = float(counts.agg(F.sum("f_word")).first()[0] or 1)
     own = found.select("term", F.explode(F.split("term", " ")).alias("word")).join(counts, "word").groupBy("term").agg(F.sum(F.log(F.col("f_word").cast("double"))).alias("logs"))
     joined = found.join(held, "term", "left").join(own, "term")
